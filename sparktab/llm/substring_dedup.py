@@ -36,46 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_binary, durable, slices
+from .hashing import grams, joined_words, signed, word_numbers
 
 WINDOW, SEED = 50, 16
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
-
-
-def word_numbers(joined: bytes, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each word of a text whose words are joined by one space."""
-    raw = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    lengths = ends - starts
-    place = np.arange(len(raw)) - np.repeat(starts, lengths + 1)[: len(raw)]
-    powers = _powers(_ODD, int(lengths.max()) + 1)
-    value = raw * powers[place]
-    value[ends[:-1]] = 0
-    return _mixed(np.add.reduceat(value, starts) + lengths.astype(np.uint64))
-
-
-def grams(numbers: np.ndarray, k: int) -> np.ndarray:
-    """A fingerprint for every run of ``k`` words."""
-    n = len(numbers) - k + 1
-    prefix = np.zeros(len(numbers) + 1, np.uint64)
-    np.cumsum(numbers * _powers(_ODD, len(numbers)), out=prefix[1:], dtype=np.uint64)
-    return _mixed((prefix[k:] - prefix[:n]) * _powers(_INVERSE, n))
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` neighbours, by doubling."""
     done, out = 1, x
@@ -88,15 +52,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _joined(raw: bytes) -> tuple[bytes, np.ndarray]:
-    """The words joined by one space, and where each of them ends."""
-    words = raw.split()
-    return b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-
-
 def blocks_of(raw: bytes, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """(seed fingerprint, first window, last window, digest) of each block of a text."""
-    joined, ends = _joined(raw)
+    joined, ends = joined_words(raw)
     n = len(ends)
     if n < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
@@ -109,10 +67,6 @@ def blocks_of(raw: bytes, window: int, seed: int) -> tuple[np.ndarray, np.ndarra
     return low[first], first, last, digests
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64), pa.int64())
-
-
 def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, fp): fp tells apart different texts under one id."""
     return as_binary(documents, id_col, text_col).withColumn("fp", F.crc32("text"))
@@ -131,7 +85,7 @@ def _blocks(rows: DataFrame, window: int, seed: int) -> DataFrame:
                     parts.append((np.full(n, doc, np.int64), np.full(n, fp, np.int64), seeds, np.frombuffer(b"".join(digests), np.int64), first, last))
             if parts:
                 doc, fp, seeds, block, first, last = (np.concatenate(c) for c in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(fp), _signed(seeds), pa.array(block), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc_id", "fp", "seed", "block", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(fp), signed(seeds), pa.array(block), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc_id", "fp", "seed", "block", "first", "last"])
 
     return rows.mapInArrow(run, "doc_id long, fp long, seed long, block long, first int, last int")
 
@@ -143,7 +97,7 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
         for batch in slices(batches, 1, 1 << 20):
             docs, fps, seeds, wins, ats = [], [], [], [], []
             for doc, raw, fp, todo in zip(*(c.to_pylist() for c in batch.columns)):
-                joined, ends = _joined(raw)
+                joined, ends = joined_words(raw)
                 ends = ends.tolist()
                 for one in todo:
                     for at in range(one["first"], one["last"] + 1):

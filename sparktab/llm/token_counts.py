@@ -120,14 +120,11 @@ class PrefixCounter:
     def count_at(self, text: str, table: bytes, n_bytes: int) -> int:
         """Tokens of the first ``n_bytes`` bytes of a text (a character boundary).
 
-        Whole pieces come from the stored table; the cut piece is split again together with
+        Whole pieces come from the stored table; the last piece is split again together with
         the one before it, since a cut can change where white space or a special string splits.
         """
         rows = np.frombuffer(table, np.uint32).reshape(-1, 2)
-        k = int(np.searchsorted(rows[:, 0], n_bytes, "left"))
-        if k < len(rows) and rows[k, 0] == n_bytes:
-            k += 1
-        k = max(0, k - 1)
+        k = max(0, int(np.searchsorted(rows[:, 0], n_bytes, "left")) - 1)
         start, before = (int(rows[k - 1, 0]), int(rows[k - 1, 1])) if k else (0, 0)
         cut = text.encode()[start:n_bytes].decode()
         return before + sum(n for _, n in self.sizes(cut))
@@ -175,8 +172,9 @@ def prefix_tables(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
 
 def counts(tables: DataFrame, limit: int) -> DataFrame:
     """Whole-text counts, read from the last entry of each stored table."""
-    last = F.expr("reverse(substring(prefixes, octet_length(prefixes) - 3, 4))")
-    n = F.when(F.octet_length("prefixes") == 0, F.lit(0)).otherwise(F.conv(F.hex(last), 16, 10)).cast("long")
+    low_first = F.expr("hex(substring(prefixes, octet_length(prefixes) - 3, 4))")
+    last = F.concat(*(F.substring(low_first, at, 2) for at in (7, 5, 3, 1)))
+    n = F.when(F.octet_length("prefixes") == 0, F.lit(0)).otherwise(F.conv(last, 16, 10)).cast("long")
     return tables.select("doc_id", "n_bytes", n.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
