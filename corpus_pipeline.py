@@ -1,12 +1,73 @@
-"""A corpus pipeline over ``documents``: language, near duplicates, leaks, secrets, tokens."""
+"""A corpus pipeline over ``documents``, in stages that each call one operator of ``sparktab.llm``.
+
+1. language: documents of no known language go.
+2. near_duplicates: of each group of similar texts (five-word shingles, similarity 0.8) the one with
+   the smallest id stays; of rows that repeat an id, one.
+3. decontaminate: documents that hold a ten-word passage of a benchmark item go.
+4. secrets: secrets are replaced by a mark.
+5. tokens: token ids of what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparktab.llm import bpe, decontaminate, jaccard_join, langid
+from sparktab.llm import secrets as secret_scan
+from sparktab.llm.common import durable, read
+from sparktab.llm.queries import TOKENIZERS
+
+#: Documents whose language is less certain than this are rejected.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_sure(docs, langid.fit(docs.filter(~langid.held_out())), LEAST_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.join(docs, width=5, num=4, den=5)
+    others = groups.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"), window=10)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminated),
+    ("secrets", secrets),
+    ("tokens", tokens),
+]
 
+#: Language scores and token ids cannot be had in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = durable(docs)
+    return docs

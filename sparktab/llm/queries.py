@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embeddings, jaccard_join, langid, substring_dedup, token_counts
+from . import bpe, decontaminate, embeddings, jaccard_join, langid, licenses, substring_dedup, token_counts, warc
 from . import secrets as secret_scan
 from .common import read
 
@@ -30,6 +30,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.resolve(warc.captures(read(spark, sf_dir, "pages"))))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
 
@@ -42,6 +46,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.98)
 
@@ -57,9 +65,11 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_license_scan": op8_license_scan,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
 }
@@ -144,7 +154,45 @@ r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM
 SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
 
+_TRACKING = warc.TRACKING
+_WARC_SQL = rf"""
+WITH t AS (SELECT page_id, html, trim(url) AS u, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS x FROM pages),
+h AS (SELECT *, split_part(x, '?', 1) AS head, CASE WHEN contains(x, '?') THEN regexp_replace(x, '^[^?]*\?', '') ELSE '' END AS q FROM t),
+c AS (SELECT page_id, html, CASE WHEN u <> '' THEN
+    regexp_replace(regexp_replace(regexp_replace(lower(split_part(head, '/', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www[0-9]*\.', '')
+    || regexp_replace(regexp_replace(head, '^[^/]*', ''), '/+$', '')
+    || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END END AS k, substr(sha256(html), 1, 16) AS tag
+  FROM (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '{_TRACKING}'))) AS ps FROM h)),
+s AS (SELECT r.page_id, r.k, r.tag AS rtag, max(p.page_id) AS src FROM c r LEFT JOIN c p ON p.k = r.k AND 2 * p.page_id < 2 * r.page_id + 7 GROUP BY r.page_id, r.k, r.tag),
+f AS (SELECT s.*, c.html, c.tag FROM s LEFT JOIN c ON c.page_id = s.src),
+g AS (SELECT *, CASE WHEN k IS NULL THEN 'no-url' WHEN src IS NULL THEN 'no-response' WHEN rtag IS NULL OR tag IS NULL THEN 'no-validator' WHEN rtag <> tag THEN 'mismatch' ELSE 'resolved' END AS state FROM f)
+SELECT page_id, state, CASE WHEN state = 'resolved' THEN src END AS source_id,
+  CASE WHEN state = 'resolved' THEN concat('age: ', page_id, '; cache-control: max-age=600; content-length: ', strlen(html), '; content-type: text/html') END AS headers,
+  CASE WHEN state = 'resolved' THEN sha256(html) END AS payload_sha256
+FROM g
+"""
+
+
+def license_sql() -> str:
+    def canonical(x: str) -> str:
+        x = f"lower({x})"
+        x = f"regexp_replace({x}, '{licenses.COPYRIGHT_LINE}', '\n', 'g')".replace("'\n'", "chr(10)")
+        x = f"regexp_replace({x}, '{licenses.RESERVED_LINE}', chr(10), 'g')"
+        for old, new in licenses.SPELLINGS:
+            x = f"replace({x}, '{old}', '{new}')"
+        return f"sha256(trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g')))"
+
+    texts = ", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in sorted(licenses.LICENSES.items()))
+    return f"""
+WITH known AS (SELECT license_id, {canonical("text")} AS digest FROM (VALUES {texts}) AS t(license_id, text)),
+d AS (SELECT doc_id, {canonical("text")} AS digest FROM documents)
+SELECT doc_id, d.digest, license_id FROM d LEFT JOIN known ON known.digest = d.digest
+"""
+
+
 SQL = {
+    "op4_warc_revisits": _WARC_SQL,
+    "op8_license_scan": license_sql(),
     "op7_jaccard_join": _JACCARD_SQL,
     "op9_embedding_dedup": _COSINE_SQL,
     "op1_substring_dedup": _SUBSTRING_SQL,
