@@ -1 +1 @@
-
+"""Column expressions: token costs, cell encodings, text helpers."""

@@ -1 +1 @@
-
+"""Relational operators over cells, documents and stores."""

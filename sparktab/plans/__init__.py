@@ -1 +1 @@
-
+"""Whole plans: compression and decompression of many payloads, and the query workload."""

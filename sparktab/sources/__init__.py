@@ -1 +1 @@
-
+"""Payloads and documents as tables."""
