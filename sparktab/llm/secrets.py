@@ -193,13 +193,14 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return by_doc.select("doc_id", "fp", F.array_compact(F.array(*passed)).alias("kinds")).filter(F.size("kinds") > 0)
 
 
-def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, spans) for every row, and the columns named in ``keep``.
+def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
+    """(doc_id, text, spans) for every row, and ``kept``: the column given as ``keep``, if any.
 
     spans: array of (start, kind_order, end, kind), by start and then by the order of the rules.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp"), *keep)
+    more = [] if keep is None else [keep.alias("kept")]
+    rows = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp"), *more)
     found = candidates(postings(rows, rules), rules).withColumnsRenamed({"doc_id": "hit_id", "fp": "hit_fp"})
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("fp") == F.col("hit_fp")), "left")
     none = F.expr("cast(array() as array<struct<start:int,kind_order:int,end:int,kind:string>>)")
@@ -209,7 +210,7 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "d
         if trigram_query(rule.pattern):
             spans = F.when(F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)), spans).otherwise(none)
         every.append(spans)
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*every)).alias("spans"), *keep)
+    return joined.select("doc_id", "text", F.array_sort(F.concat(*every)).alias("spans"), *(["kept"] if more else []))
 
 
 def _written(spans: Column) -> Column:
@@ -231,9 +232,9 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[
 
     Overlapping spans of several kinds are replaced as one.
     """
-    others = tuple(c for c in documents.columns if c not in ("doc_id", "text"))
-    kept = documents.withColumn("was_null", F.col("text").isNull())
-    found = scan(kept, rules, keep=(*others, "was_null"))
+    # The other columns travel as one struct, so their names cannot clash with the scan's own.
+    others = [c for c in documents.columns if c != "text"]
+    found = scan(documents, rules, keep=F.struct(F.col("text").isNull().alias("was_null"), F.struct(*others).alias("row")))
     pieces = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -242,5 +243,5 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[
         .otherwise(F.struct(s["end"].alias("at"), F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit(mark)).alias("out"))),
         lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.char_length("text"))),
     )
-    text = F.when(F.col("was_null"), F.lit(None).cast("string")).when(F.size("spans") == 0, F.col("text")).otherwise(pieces)
-    return found.withColumn("text", text).select(*documents.columns)
+    text = F.when(F.col("kept.was_null"), F.lit(None).cast("string")).when(F.size("spans") == 0, F.col("text")).otherwise(pieces)
+    return found.select(*(text.alias("text") if c == "text" else F.col(f"kept.row.`{c}`").alias(c) for c in documents.columns))
