@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 #: Text handed to one step of a Python worker, in bytes; bounds what a worker holds at once.
 SLICE_BYTES = 4 << 20
 
@@ -20,38 +19,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_written: list[str] = []
-
-
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read again.
+    """A copy of ``df`` in the shared checkpoint folder, with its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a laptop) is a
-    temporary folder taken.  The table outlives lost executors and cuts the lineage;
-    it is removed by ``release``, at the latest when the driver's process ends.
+    The shuffles that made it are of no more use; the driver is told to let go of them, which frees their
+    files on the executors' disks.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp("-sparktab")
-    path = f"{folder.rstrip('/')}/sparktab-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Remove every table that ``durable`` wrote; results that still read one must be written before."""
-    spark = SparkSession.getActiveSession()
-    while _written and spark is not None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@atexit.register
-def _at_exit() -> None:
-    try:
-        release()
-    except Exception:  # the JVM may have ended before; what remains is in the cluster's own checkpoint folder
-        _written.clear()
+    out = tables.durable(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def file_bytes(path: str) -> bytes:

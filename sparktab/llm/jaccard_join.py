@@ -7,8 +7,9 @@ documents are dealt into buckets, one for each shingle that two different sets h
 their first ones.
 
 1. Documents with equal sets are one class from the start.
-2. Every class is compared with the first class of one of its buckets, then of all; verified links give
-   components, and most buckets then lie within one component: nothing is left to find there.
+2. Every class is compared with the first class of each of its buckets, by size and token bitmap and, where these
+   allow a link, by the sets themselves: one leader first, then those of another component.
+   Verified links give components, and most buckets then lie within one: nothing is left to find there.
 3. In every other bucket a signature tree decides.  Classes are its leaves; a node holds the
    OR of the token bitmaps below it and their range of sizes.  A dual traversal compares pairs of
    nodes, drops those whose largest possible overlap is too small, and ends at pairs of
@@ -38,7 +39,7 @@ from .graph import components
 from .hashing import grams, joined_words, signed, word_numbers
 
 #: Classes in a part of a bucket; children of a tree node; bits of a token bitmap.
-PART, FAN, BITS = 512, 8, 1024
+PART, FAN, BITS = 512, 8, 2048
 #: Frequent shingles told to the workers: at most so many, with at least so many documents each.
 FREQUENT, LEAST_FREQUENT = 1 << 19, 16
 
@@ -94,13 +95,13 @@ def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _classes(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, set, n, prefix): the digest and size of each set, and its first shingles in the order."""
+    """(doc_id, set, n, prefix, bits): digest, size and token bitmap of each set, and its first shingles."""
     frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, magnitude = frequent.value
         for batch in slices(batches, 1):
-            sets, sizes, prefixes = [], [], []
+            sets, sizes, prefixes, bits = [], [], [], []
             for raw in batch.column(1).to_pylist():
                 tokens = shingles(raw, width)
                 n = len(tokens)
@@ -109,41 +110,55 @@ def _classes(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 # So small a set links with equal sets only.
                 if not n or num * (n + 1) > den * n:
                     prefixes.append(None)
+                    bits.append(None)
                     continue
+                bits.append(bitmap(tokens).tobytes())
                 if len(often):
                     at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
                     tokens = tokens[np.argsort(np.where(often[at] == tokens, magnitude[at], 0), kind="stable")]
                 prefixes.append(tokens[: prefix_size(n, num, den)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "set", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "set", "n", "prefix", "bits"])
 
-    return rows.mapInArrow(run, "doc_id long, set long, n long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, set long, n long, prefix array<long>, bits binary")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(set, n, tokens binary, bits binary) of listed texts."""
+    """(set, tokens binary) of texts (doc_id, text, wanted); texts of another set are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            found = [shingles(raw, width) for raw in batch.column(1).to_pylist()]
-            sets = [int.from_bytes(blake2b(t.tobytes(), digest_size=8).digest(), "little", signed=True) for t in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sets, pa.int64()), pa.array([len(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary()), pa.array([bitmap(t).tobytes() for t in found], pa.binary())],
-                ["set", "n", "tokens", "bits"],
-            )
+            found = [shingles(raw, width).tobytes() for raw in batch.column(1).to_pylist()]
+            sets = [int.from_bytes(blake2b(t, digest_size=8).digest(), "little", signed=True) for t in found]
+            same = [s == w for s, w in zip(sets, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(found, pa.binary())], ["set", "tokens"]).filter(pa.array(same, pa.bool_()))
+
+    return texts.mapInArrow(run, "set long, tokens binary")
+
+
+def _possible(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sizes and token bitmaps allow the similarity."""
+    sides = [signatures.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    both = both.filter((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n_a, n_b = (batch.column(c).to_numpy() for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n_a), -1) for c in (4, 5))
+            slack = np.minimum(*(n - np.bitwise_count(z).sum(axis=1, dtype=np.int64) for n, z in ((n_a, x), (n_b, y))))
+            most = np.minimum(np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + slack, np.minimum(n_a, n_b))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(most * (num + den) >= num * (n_a + n_b)))
 
-    return texts.mapInArrow(run, "set long, n long, tokens binary, bits binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets are similar enough."""
-    sized = sets.select("set", "n", "tokens")
-    one = sized.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("of_a"))
-    two = sized.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("of_b"))
-    sizes = sets.select(F.col("set").alias("b"), F.col("n").alias("size_b"))
-    # The sizes settle many pairs before any set is moved.
-    near = pairs.join(sets.select(F.col("set").alias("a"), F.col("n").alias("size_a")), "a").join(sizes, "b")
-    near = near.filter((F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)).select("a", "b")
-    both = near.join(one, "a").select("a", "b", "of_a").join(two, "b").select("a", "b", "of_a", "of_b")
+    two = sets.select(F.col("set").alias("b"), F.col("tokens").alias("of_b"))
+    one = sets.select(F.col("set").alias("a"), F.col("tokens").alias("of_a"))
+    both = pairs.join(two, "b").select("a", "b", "of_b").join(one, "a").select("a", "b", "of_a", "of_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 16 << 20):
@@ -158,6 +173,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
+def _verified_in_blocks(pairs: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``_verified`` for many pairs among few classes: each set moves once for a block, not for a pair.
+
+    A family (what pairs and links connect) is cut into parts of about ``PART`` classes; a block holds
+    the pairs between two parts, and the sets that these pairs name.
+    """
+    family = durable(components(links.unionByName(pairs)))
+    sizes = family.groupBy("component").agg(F.count("*").alias("size")).select(F.bitwise_not("component").alias("key"), F.ceil((F.col("size") + 1) / PART).alias("parts"))
+    placed = pairs.join(family.select(F.col("id").alias("b"), F.bitwise_not("component").alias("key")), "b").join(sizes, "key")
+    part = {x: F.pmod(F.xxhash64(x), "parts") for x in ("a", "b")}
+    placed = durable(placed.select("key", F.least(part["a"], part["b"]).alias("low"), F.greatest(part["a"], part["b"]).alias("high"), "a", "b"))
+    named = placed.select("key", "low", "high", F.explode(F.array("a", "b")).alias("set")).distinct().join(sets, "set")
+    given = named.select("key", "low", "high", F.col("set").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    place = ["key", "low", "high"]
+    # In a block the sets come before the pairs (their b is null).
+    rows = given.unionByName(placed.withColumn("tokens", F.lit(None).cast("binary"))).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        for batch in slices(batches, 5):
+            out = []
+            for *at, a, b, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != key:
+                    key, held = at, {}
+                if b is None:
+                    held[a] = np.frombuffer(tokens, np.uint64)
+                    continue
+                x, y = held[a], held[b]
+                merged = np.sort(np.concatenate([x, y]), kind="stable")
+                same = int((merged[1:] == merged[:-1]).sum())
+                if den * same >= num * (len(x) + len(y) - same):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 class Tree:
     """A signature tree: level 0 holds the classes by size, each level above the OR of ``FAN`` nodes."""
 
@@ -269,44 +321,46 @@ def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, id
     # itself and adaptive execution can split a hot bucket.
     shared = classes.select("set", first).groupBy("token").agg(F.min("set").alias("leader"), F.max("set").alias("last")).filter("leader < last")
     placed = classes.select("set", first).select("set", F.bitwise_not("token").alias("key"))
-    buckets = durable(placed.join(shared.select(F.bitwise_not("token").alias("key"), "leader"), "key").select("key", "set", "leader").distinct())
+    buckets = durable(placed.join(shared.select(F.bitwise_not("token").alias("key"), "leader"), "key").select("key", "set", "leader"))
     firsts = classes.filter("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("first"))
-    listed = durable(buckets.select("set").distinct().join(firsts, "set").select(F.col("first").alias("doc_id"), F.col("set").alias("wanted")))
-    texts = rows.join(listed, "doc_id").select("doc_id", "text", "wanted")
-    sets = durable(_sets(texts, width).join(listed.select(F.col("wanted").alias("set")), "set", "left_semi").dropDuplicates(["set"]))
+    signatures = durable(classes.filter("prefix is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
 
     def parts(links: DataFrame) -> DataFrame:
         return components(links).withColumnsRenamed({"id": "set"})
 
-    # One leader for each class, then all leaders of another component.
-    pairs = buckets.filter("set > leader").groupBy("set").agg(F.min("leader").alias("leader")).select(F.col("leader").alias("a"), F.col("set").alias("b"))
-    links = durable(_verified(pairs, sets, num, den))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the classes of pairs, from the text of the first document of each."""
+        some = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(firsts, "set")
+        listed = some.select(F.col("first").alias("doc_id"), F.col("set").alias("wanted"))
+        return durable(_sets(rows.join(listed, "doc_id").select("doc_id", "text", "wanted"), width))
+
+    # Every class and the leaders of its buckets: one leader for each first, then those of another component.
+    pairs = buckets.filter("set > leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
+    pairs = durable(_possible(pairs, signatures, num, den))
+    sets = sets_of(pairs)
+    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = durable(_verified(nearest, sets, num, den))
     done = parts(links)
-    named = done.select(F.col("set").alias("leader"), F.col("component").alias("of_leader"))
-    rest = (
-        buckets.filter("set > leader").select("set", "leader").distinct().join(done, "set", "left").join(named, "leader", "left")
-        .filter(F.coalesce("component", "set") != F.coalesce("of_leader", "leader"))
-        .select(F.col("leader").alias("a"), F.col("set").alias("b"))
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    links = durable(links.unionByName(_verified(rest, sets, num, den)))
+    of = [done.select(F.col("set").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
+    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    links = durable(links.unionByName(_verified_in_blocks(durable(rest), links, sets, num, den)))
     done = parts(links)
     # Buckets that still hold several components go to the signature trees.
     open_ = buckets.select("key", "set").join(done, "set", "left").select("key", "set", F.coalesce("component", "set").alias("component"))
     mixed = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y and size > 2")
-    held = open_.select(F.bitwise_not("key").alias("key"), "set", "component").join(mixed.select(F.bitwise_not("key").alias("key"), F.ceil(F.col("size") / PART).cast("int").alias("parts")), "key")
+    held = open_.select(F.bitwise_not("key").alias("key"), "set", "component").join(mixed.select(F.bitwise_not("key").alias("key"), F.ceil(F.col("size") / PART).cast("int").alias("parts")), "key").distinct()
     dealt = (
         held.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", "set", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-        .join(sets.select("set", "n", "bits"), "set")
+        .join(signatures, "set")
     )
     place = ["key", "low", "high"]
-    left = _tree_pairs(dealt.repartition(*place).sortWithinPartitions(*place), num, den).distinct()
-    more = _verified(left, sets, num, den)
-    final = parts(links.unionByName(more))
+    left = durable(_tree_pairs(dealt.repartition(*place).sortWithinPartitions(*place), num, den).distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not left.isEmpty():
+        done = parts(links.unionByName(_verified_in_blocks(left, links, sets_of(left), num, den)))
     # From classes to documents: the component is named by its smallest document.
-    named = firsts.join(final, "set", "left").select("set", "first", F.coalesce("component", "set").alias("component"))
+    named = firsts.join(done, "set", "left").select("set", "first", F.coalesce("component", "set").alias("component"))
     low = named.groupBy("component").agg(F.min("first").alias("component_id")).select(F.bitwise_not("component").alias("low_key"), "component_id")
     by_set = named.select(F.col("set").alias("of_set"), F.bitwise_not("component").alias("low_key")).join(low, "low_key").select("of_set", "component_id")
     return classes.select("doc_id", "set", "n").join(by_set, F.col("set") == F.col("of_set"), "left").select(
