@@ -50,3 +50,42 @@ def joined_words(raw: bytes) -> tuple[bytes, np.ndarray]:
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
+
+
+class Lookup:
+    """A fixed map from 64-bit keys to numbers, asked for many keys at once; -1 for unknown ones."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys = keys.astype(np.int64)
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.keys = np.zeros(self.mask + 1, np.int64)
+        self.values = np.full(self.mask + 1, -1, np.int64)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = self.values[at[todo]] < 0
+            # Of several keys for one free slot the first gets it; the others go on.
+            _, first = np.unique(at[todo[free]], return_index=True)
+            mine = todo[free][first]
+            self.keys[at[mine]], self.values[at[mine]] = keys[mine], values[mine]
+            left = np.ones(len(keys), bool)
+            left[mine] = False
+            todo = todo[left[todo]]
+            at[todo] = (at[todo] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(_ODD)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if keys.ndim > 1:
+            return self(keys.ravel()).reshape(keys.shape)
+        at = self._slot(keys)
+        out = self.values[at]
+        todo = np.flatnonzero((self.keys[at] != keys) & (out >= 0))
+        at, keys = at[todo], keys[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            out[todo] = found = self.values[at]
+            more = (self.keys[at] != keys) & (found >= 0)
+            todo, at, keys = todo[more], at[more], keys[more]
+        return out

@@ -4,7 +4,8 @@ For a piece of text (one match of the vocabulary's split), the encoding of a pre
 encoding of a shorter prefix plus one token: the only token that ends the prefix and stays
 apart from the last token of that shorter prefix when the two are encoded together.  So one
 pass from left to right gives the last token and the count of every prefix, and questions
-about truncation or budgets need no encoding of their own.
+about truncation or budgets need no encoding of their own.  Different pieces of a slice of text go
+through the program side by side, those of a length together; long ones go alone.
 
 A stored table holds, for each piece, the byte where it ends and the tokens so far (two
 unsigned 32-bit integers, little-endian); ``PrefixCounter.count_at`` and ``truncate`` fill
@@ -28,8 +29,13 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, merge_all
 from .common import as_binary, file_bytes, slices
+from .hashing import Lookup
 
-CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 1 << 17, 64, 1 << 20
+CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 1 << 18, 64, 1 << 20
+#: The longest piece, in bytes, that is counted side by side with others.
+SIDE_BY_SIDE = 48
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PrefixCounter:
@@ -57,6 +63,101 @@ class PrefixCounter:
         self._pairs: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
         self._cache: dict[str, tuple[int, int]] = {}
+        # For pieces side by side: token ids by a number of their bytes, and how each token was merged.
+        by_size: dict[int, list[int]] = {}
+        for t, b in raw.items():
+            by_size.setdefault(len(b), []).append(t)
+        numbers = [self._number(np.frombuffer(b"".join(raw[t] for t in own), np.uint8).reshape(-1, n)) for n, own in by_size.items()]
+        self._token = Lookup(np.concatenate(numbers).view(np.int64), np.array([t for own in by_size.values() for t in own], np.int64))
+        self._rank = Lookup(np.array([a << 32 | b for a, b in self.merges], np.int64), np.array([r for r, _ in self.merges.values()], np.int64))
+        size = max(raw) + 1
+        #: Rank at which a token is made (single bytes: -1) and the two parts it is made of (itself).
+        self._made, self._left, self._right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
+        for (a, b), (rank, token) in self.merges.items():
+            if self._made[token] < 0 and len(raw[token]) > 1:
+                self._made[token], self._left[token], self._right[token] = rank, a, b
+        # A token is its own encoding if its parts are, and no merge across their border comes before its own.
+        self._good = np.zeros(size, bool)
+        self._good[self.single] = True
+        made = np.flatnonzero(self._made >= 0)
+        made = made[np.argsort(self._made[made])]
+        whole = self._apart_many(self._left[made], self._right[made], self._made[made])
+        for t, a, b, ok in zip(made.tolist(), self._left[made].tolist(), self._right[made].tolist(), whole.tolist()):
+            self._good[t] = ok and self._good[a] and self._good[b]
+
+    @staticmethod
+    def _number(raw: np.ndarray) -> np.ndarray:
+        """A 64-bit number for each row of bytes."""
+        h = np.zeros(len(raw), np.uint64)
+        for i in range(raw.shape[1]):
+            h = (h ^ (raw[:, i].astype(np.uint64) + np.uint64(1))) * _BASE
+            h ^= h >> np.uint64(32)
+        return h
+
+    def _apart_many(self, left: np.ndarray, right: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """``_apart`` for many pairs: undo merges at the border, latest first, and see whether a merge
+        across it would have come before."""
+        out = np.ones(len(left), bool)
+        if limit is None:
+            limit = np.full(len(left), np.iinfo(np.int64).max)
+        own = np.arange(len(left))
+        while len(own):
+            across = self._rank(left << 32 | right)
+            crossed = (across >= 0) & (across < limit)
+            out[own[crossed]] = False
+            a, b = self._made[left], self._made[right]
+            more = ~crossed & ((a >= 0) | (b >= 0))
+            # The later merge is undone; of two equal ones (one rank) the right one, made after the left.
+            undo = a > b
+            limit = np.where(undo, a, b + 1)
+            left, right = np.where(undo, self._right[left], left), np.where(undo, right, self._left[right])
+            own, left, right, limit = own[more], left[more], right[more], limit[more]
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Count pieces that the cache does not hold, those of a length together."""
+        if len(self._cache) >= CACHE_PIECES:
+            self._cache.clear()
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for p in pieces.difference(self._cache):
+            raw = p.encode()
+            if len(raw) <= SIDE_BY_SIDE:
+                by_size.setdefault(len(raw), []).append((p, raw))
+        for size, group in by_size.items():
+            for at in range(0, len(group), 1 << 14):
+                some = group[at : at + (1 << 14)]
+                totals = self.prefixes_many(np.frombuffer(b"".join(r for _, r in some), np.uint8).reshape(-1, size))[:, -1]
+                for (p, _), n in zip(some, totals.tolist()):
+                    self._cache[p] = size, n
+
+    def prefixes_many(self, raw: np.ndarray) -> np.ndarray:
+        """Token counts of every byte prefix of pieces of one length (rows), the empty one first."""
+        n, size = raw.shape
+        counts, last = np.zeros((n, size + 1), np.int64), np.full((n, size + 1), -1, np.int64)
+        # token[start][:, k]: the token that covers bytes start to start + k, or -1.
+        tokens: list[np.ndarray] = []
+        for start in range(size):
+            h, found = np.zeros(n, np.uint64), np.full((n, size - start), -1, np.int64)
+            for k in range(size - start):
+                h = (h ^ (raw[:, start + k].astype(np.uint64) + np.uint64(1))) * _BASE
+                h ^= h >> np.uint64(32)
+                found[:, k] = self._token(h.view(np.int64))
+            tokens.append(found)
+        for end in range(1, size + 1):
+            open_ = np.arange(n)
+            for start in range(end):
+                token = tokens[start][open_, end - start - 1]
+                some = token >= 0
+                if not some.any():
+                    continue
+                rows, token = open_[some], token[some]
+                good = self._good[token] if start == 0 else self._apart_many(last[rows, start], token)
+                rows, token = rows[good], token[good]
+                counts[rows, end], last[rows, end] = counts[rows, start] + 1, token
+                open_ = open_[last[open_, end] < 0]
+                if not len(open_):
+                    break
+        return counts
 
     def _encoded(self, raw: bytes) -> list[int]:
         return merge_all([self.single[b] for b in raw], self.merges)
@@ -102,19 +203,22 @@ class PrefixCounter:
             self._cache[piece] = out
         return out
 
-    def sizes(self, text: str) -> list[tuple[int, int]]:
-        """(bytes, tokens) of every piece; a special string is a piece of one token."""
-        found, cache, at = [], self._cache, 0
+    def pieces(self, text: str) -> list[str | int]:
+        """The pieces of a text, and the bytes of each special string in it."""
+        at, found = 0, []
         for m in self._special.finditer(text):
-            found += [cache.get(p) or self.piece(p) for p in self._find(text[at : m.start()])]
-            found.append((len(m[0].encode()), 1))
+            found += [*self._find(text[at : m.start()]), len(m[0].encode())]
             at = m.end()
-        found += [cache.get(p) or self.piece(p) for p in self._find(text[at:] if at else text)]
-        return found
+        return found + self._find(text[at:] if at else text)
+
+    def sizes(self, pieces: list[str | int]) -> list[tuple[int, int]]:
+        """(bytes, tokens) of every piece; a special string is a piece of one token."""
+        get, one = self._cache.get, self.piece
+        return [get(p) or (one(p) if isinstance(p, str) else (p, 1)) for p in pieces]
 
-    def table(self, text: str) -> bytes:
+    def table(self, pieces: list[str | int]) -> bytes:
         """(end in bytes, tokens so far) of every piece, packed."""
-        found = self.sizes(text)
+        found = self.sizes(pieces)
         return np.cumsum(np.array(found, np.uint32).reshape(-1, 2), axis=0, dtype=np.uint32).tobytes()
 
     def count_at(self, text: str, table: bytes, n_bytes: int) -> int:
@@ -127,7 +231,7 @@ class PrefixCounter:
         k = max(0, int(np.searchsorted(rows[:, 0], n_bytes, "left")) - 1)
         start, before = (int(rows[k - 1, 0]), int(rows[k - 1, 1])) if k else (0, 0)
         cut = text.encode()[start:n_bytes].decode()
-        return before + sum(n for _, n in self.sizes(cut))
+        return before + sum(n for _, n in self.sizes(self.pieces(cut)))
 
     def truncate(self, text: str, table: bytes, budget: int) -> str:
         """The longest prefix of at most ``budget`` tokens."""
@@ -163,7 +267,9 @@ def prefix_tables(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
         counter = _worker(vocab.value)
         for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
-            tables = [counter.table(raw.decode()) if raw else b"" for raw in texts]
+            pieces = [counter.pieces(raw.decode()) if raw else [] for raw in texts]
+            counter.learn({p for own in pieces for p in own if isinstance(p, str)})
+            tables = list(map(counter.table, pieces))
             sizes = [len(raw or b"") for raw in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tables, pa.binary())], ["doc_id", "n_bytes", "prefixes"])
 
@@ -186,7 +292,7 @@ def truncated(df: DataFrame, vocab_path: str, budget: int, id_col: str = "doc_id
         counter = _worker(vocab.value)
         for batch in slices(batches, 1):
             texts = [None if raw is None else raw.decode() for raw in batch.column(1).to_pylist()]
-            cut = [None if t is None else counter.truncate(t, counter.table(t), budget) for t in texts]
+            cut = [None if t is None else counter.truncate(t, counter.table(counter.pieces(t)), budget) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string())], ["doc_id", "text"])
 
     return as_binary(df, id_col, text_col).mapInArrow(run, "doc_id long, text string")
