@@ -19,7 +19,6 @@ document at all every text is ``und``.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +33,8 @@ from .common import slices
 #: Bounds of fitting: labelled documents, hashed n-grams; smoothing; cost of a switch (nats).
 SAMPLE_DOCS, BUCKETS, SMOOTH, SWITCH = 8192, 1 << 16, 0.5, 12.0
 SCRIPT_SHARE = 0.01
+#: Text that goes through the Viterbi pass at once, in bytes: long texts share its steps with others.
+PASS_BYTES = 12 << 20
 CACHE_WORDS, CACHE_CHARS = 1 << 17, 48
 
 #: Script ranges by code point, fixed values: (first, last, script).
@@ -48,16 +49,42 @@ SCRIPTS = (
 _words = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
-def script_of(word: str) -> str:
-    c = ord(word[0])
-    return next((s for a, b, s in SCRIPTS if a <= c <= b), "other")
+_STARTS = np.array([a for a, _, _ in SCRIPTS], np.int64)
+_ENDS = np.array([b for _, b, _ in SCRIPTS], np.int64)
+NAMES = [*sorted({name for _, _, name in SCRIPTS}), "other"]
+_NAMES = np.array([NAMES.index(name) for _, _, name in SCRIPTS])
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _grams(word: str) -> list[int]:
-    """Hashed n-grams of a lower-cased word, one to four characters, with its ends."""
-    w = f"<{word}>".encode("utf-32-le")
-    n = len(w) // 4
-    return [zlib.crc32(w[4 * i : 4 * (i + k)]) % BUCKETS for k in (1, 2, 3, 4) for i in range(n - k + 1)]
+def scripts_of(words: list[str]) -> np.ndarray:
+    """The script of each word's first letter, as its place in ``NAMES``."""
+    first = np.array([ord(w[0]) for w in words], np.int64)
+    at = np.maximum(np.searchsorted(_STARTS, first, "right") - 1, 0)
+    return np.where((first >= _STARTS[at]) & (first <= _ENDS[at]), _NAMES[at], len(NAMES) - 1)
+
+
+def grams_of(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of words, their hashed n-grams one row each), words of a length together.
+
+    n-grams are of one to four characters of the lower-cased word with its ends marked; of a
+    word beyond ``CACHE_CHARS`` characters they are of its beginning.
+    """
+    marked = [f"<{w.lower()[:CACHE_CHARS]}>" for w in words]
+    by_size: dict[int, list[int]] = {}
+    for i, w in enumerate(marked):
+        by_size.setdefault(len(w), []).append(i)
+    for size, own in by_size.items():
+        for at in range(0, len(own), 4096):
+            some = own[at : at + 4096]
+            codes = np.frombuffer("".join([marked[i] for i in some]).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
+            out = []
+            for k in range(1, min(4, size) + 1):
+                h = np.full((len(some), size - k + 1), k, np.uint64)
+                for j in range(k):
+                    h = (h + codes[:, j : size - k + 1 + j]) * _BASE
+                    h ^= h >> np.uint64(29)
+                out.append(h * _BASE >> np.uint64(65 - BUCKETS.bit_length()))
+            yield np.array(some), np.concatenate(out, axis=1).astype(np.int64)
 
 
 class Model:
@@ -65,31 +92,39 @@ class Model:
 
     def __init__(self, langs: list[str], table: np.ndarray, scripts: dict[str, list[int]]):
         self.langs, self.table, self.scripts = langs, table, scripts
-        self._cache: dict[str, tuple] = {}
-
-    def word(self, word: str) -> tuple:
-        """Mean n-gram log probability by language, times the letters of the word."""
-        low = word.lower()[:CACHE_CHARS]
-        scores = self.table[:, _grams(low)].mean(axis=1) * min(len(low) + 1, 12)
-        allowed = self.scripts.get(script_of(word))
-        if allowed and len(allowed) < len(self.langs):
-            shut = np.full(len(self.langs), -40.0)
-            shut[allowed] = 0
-            scores = scores + shut
-        scores -= scores.max()
-        out = tuple(scores.tolist())
-        if len(word) <= CACHE_CHARS:
-            if len(self._cache) >= CACHE_WORDS:
-                self._cache.clear()
-            self._cache[word] = out
-        return out
+        #: What a script adds to a score: much less for languages that do not use it.
+        self._shut = np.zeros((len(NAMES), max(1, len(langs))))
+        for name, own in scripts.items():
+            self._shut[NAMES.index(name)] = -40.0
+            self._shut[NAMES.index(name), own] = 0
+        self._place: dict[str, int] = {}
+        self._held = np.zeros((0, len(langs)))
+
+    def learn(self, words: set[str]) -> None:
+        """Score words that the cache does not hold: mean n-gram log probability by language, times
+        the length of the word (up to twelve), less the best of them."""
+        if len(self._place) >= CACHE_WORDS:
+            self._place, self._held = {}, self._held[:0]
+        new = list(words.difference(self._place))
+        if not new:
+            return
+        scores = np.zeros((len(new), len(self.langs)))
+        for places, grams in grams_of(new):
+            scores[places] = self.table[:, grams].mean(axis=2, dtype=np.float64).T
+        scores *= np.array([min(len(w) + 1, 12) for w in new])[:, None]
+        scores += self._shut[scripts_of(new)]
+        scores -= scores.max(axis=1, keepdims=True)
+        n = len(self._held)
+        self._place.update(zip(new, range(n, n + len(new))))
+        self._held = np.concatenate([self._held, scores])
 
     def scores(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Words of each text, and all word scores after each other with their offsets."""
-        get, make = self._cache.get, self.word
         words = [_words(t) if t else [] for t in texts]
-        flat = [get(w) or make(w) for ws in words for w in ws]
-        return words, np.array(flat, np.float64).reshape(-1, len(self.langs)), np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        self.learn({w for own in words for w in own})
+        offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        at = np.fromiter((self._place[w] for own in words for w in own), np.int64, int(offsets[-1]))
+        return words, self._held[at], offsets
 
     def paths(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
         """(words, offsets, scores, best language of each word), all texts at once.
@@ -101,27 +136,24 @@ class Model:
         n = np.diff(offsets)
         order = np.argsort(-n, kind="stable")
         starts, lengths = offsets[:-1][order], n[order]
-        langs = len(self.langs)
-        back = np.zeros((len(scores), langs), np.int8)
-        value = np.zeros((len(order), langs))
-        own = np.arange(langs)
+        back = np.zeros((len(scores), len(self.langs)), np.int8)
+        value = np.zeros((len(order), len(self.langs)))
+        own = np.arange(len(self.langs), dtype=np.int8)
         longest = int(lengths[0]) if len(lengths) else 0
-        alive = np.searchsorted(-lengths, -np.arange(longest), "left") if longest else []
-        for t in range(longest):
-            k = int(alive[t])
+        alive = np.searchsorted(-lengths, -np.arange(longest), "left").tolist() if longest else []
+        for t, k in enumerate(alive):
             at = starts[:k] + t
+            v = value[:k]
             if t:
-                v = value[:k]
-                best = v.argmax(axis=1)
-                switched = v[np.arange(k), best] - SWITCH
-                stay = v >= switched[:, None]
-                back[at] = np.where(stay, own, best[:, None])
-                value[:k] = np.where(stay, v, switched[:, None])
-            value[:k] += scores[at]
+                switched = v.max(axis=1, keepdims=True) - SWITCH
+                stay = v >= switched
+                back[at] = np.where(stay, own, v.argmax(axis=1)[:, None])
+                v = np.where(stay, v, switched)
+            value[:k] = v + scores[at]
         path = np.zeros(len(scores), np.int8)
         state = value.argmax(axis=1) if len(value) else np.zeros(0, np.int64)
         for t in range(longest - 1, -1, -1):
-            k = int(alive[t])
+            k = alive[t]
             at = starts[:k] + t
             path[at] = state[:k]
             state[:k] = back[at, state[:k]]
@@ -161,33 +193,28 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     share = min(1.0, sample_docs / max(n, 1))
     slot = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 20))
     sample = rows.filter(slot < math.ceil(share * (1 << 20))).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    names = sorted({name for _, _, name in SCRIPTS}) + ["other"]
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             seen: dict[str, Counter] = {}
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen.setdefault(lang, Counter()).update(_words(raw.decode()))
-            tables = {lang: np.zeros(BUCKETS + len(names), np.int64) for lang in seen}
             for lang, own in seen.items():
-                grams, times = [], []
-                for w, n in own.items():
-                    new = _grams(w.lower()[:CACHE_CHARS])
-                    grams += new
-                    times += [n] * len(new)
-                    tables[lang][BUCKETS + names.index(script_of(w))] += n * len(w)
-                tables[lang][:BUCKETS] += np.bincount(grams, times, BUCKETS).astype(np.int64)
-            for lang, table in tables.items():
+                words, times = list(own), np.array(list(own.values()), np.int64)
+                table = np.zeros(BUCKETS + len(NAMES), np.int64)
+                if words:
+                    for places, grams in grams_of(words):
+                        np.add.at(table, grams, times[places][:, None])
+                    np.add.at(table, BUCKETS + scripts_of(words), times * np.array([len(w) for w in words]))
                 some = np.flatnonzero(table)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(table[some], pa.int64())], ["lang", "bucket", "n"])
 
     counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
-    full = np.zeros((len(langs), BUCKETS + len(names)))
+    full = np.zeros((len(langs), BUCKETS + len(NAMES)))
     full[[langs.index(x) for x in counts.column("lang").to_pylist()], counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     table, letters = full[:, :BUCKETS], full[:, BUCKETS:]
     share = letters / np.maximum(letters.sum(axis=1, keepdims=True), 1)
-    scripts = {name: np.flatnonzero(share[:, j] >= SCRIPT_SHARE).tolist() for j, name in enumerate(names)}
+    scripts = {name: np.flatnonzero(share[:, j] >= SCRIPT_SHARE).tolist() for j, name in enumerate(NAMES)}
     scripts = {name: own for name, own in scripts.items() if own}
     if langs:
         table = np.log((table + SMOOTH) / (table + SMOOTH).sum(axis=1, keepdims=True))
@@ -205,7 +232,7 @@ def detect(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, PASS_BYTES):
             found = own.predict([None if raw is None else raw.decode() for raw in batch.column(1).to_pylist()])
             spans = [[{"start": a, "end": b, "lang": x} for a, b, x in f[2]] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
@@ -226,7 +253,7 @@ def keep_sure(documents: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, PASS_BYTES):
             found = own.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
 
