@@ -3,7 +3,8 @@
 Each leaf of the tree holds the merge rank of the pair that begins at a symbol, packed with
 its position, so that the root is always the leftmost pair of the lowest rank.  A merge
 changes three leaves, and each change climbs the tree once: a word of n symbols takes
-O(n log n) however long it is.
+O(n log n) however long it is.  Different words of a slice of text go through their trees side by
+side, one merge of each at a time; words beyond ``SIDE_BY_SIDE`` bytes go alone.
 
 Texts are prepared as the vocabulary file says (NFC, runs of white space to one space,
 lower case character by character, split into words), special strings inside a text are
@@ -20,15 +21,19 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_binary, file_bytes, slices
+from .hashing import Lookup
 
 #: Words held in a worker's cache before it starts anew, and the longest word it holds.
-CACHE_WORDS, CACHE_CHARS = 1 << 17, 64
+CACHE_WORDS, CACHE_CHARS = 1 << 18, 64
+#: The longest word, in bytes, that is merged side by side with others.
+SIDE_BY_SIDE = 64
 
 _NONE = 1 << 62
 
@@ -95,6 +100,63 @@ def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]
     return [s for s in symbols if s >= 0]
 
 
+class Forest:
+    """Segment trees of many words at once: column w of every array belongs to word w."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        ranks = np.array([r for r, _ in merges.values()], np.int64)
+        self.rank = Lookup(np.array([a << 32 | b for a, b in merges], np.int64), ranks)
+        self.made = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.int64)
+        self.made[ranks] = [m for _, m in merges.values()]
+
+    def packed(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank and place of pairs of symbols; none where a symbol is negative or nothing merges."""
+        rank = self.rank(left << 32 | right)
+        return np.where((rank >= 0) & (left >= 0) & (right >= 0), rank << 32 | at, _NONE)
+
+    def merge(self, symbols: np.ndarray) -> np.ndarray:
+        """Merge words given as columns (symbols down, -1 below the last); merged-away symbols become -1."""
+        height, width = symbols.shape
+        if height < 2:
+            return symbols
+        leaves = 1 << (height - 1).bit_length()
+        # One more row, always -1, stands for "no neighbour" at either end.
+        held = np.full((height + 1, width), -1, np.int64)
+        held[:height] = symbols
+        after = np.broadcast_to(np.arange(1, height + 2)[:, None], (height + 1, width)).copy()
+        before = np.broadcast_to(np.arange(-1, height)[:, None], (height + 1, width)).copy()
+        tree = np.full((2 * leaves, width), _NONE, np.int64)
+        places = np.arange(height - 1)[:, None]
+        tree[leaves : leaves + height - 1] = self.packed(held[: height - 1], held[1:height], places)
+        for i in range(leaves - 1, 0, -1):
+            np.minimum(tree[2 * i], tree[2 * i + 1], out=tree[i])
+        todo = np.flatnonzero(tree[1] != _NONE)
+
+        def put(at: np.ndarray, value: np.ndarray, words: np.ndarray) -> None:
+            at = at + leaves
+            tree[at, words] = value
+            while at[0] > 1:
+                at = at >> 1
+                tree[at, words] = np.minimum(tree[2 * at, words], tree[2 * at + 1, words])
+
+        while len(todo):
+            root = tree[1, todo]
+            i = root & 0xFFFFFFFF
+            j = after[i, todo]
+            k = np.minimum(after[j, todo], height)
+            new = self.made[root >> 32]
+            held[i, todo], held[j, todo] = new, -1
+            after[i, todo], before[k, todo] = k, i
+            put(j, np.full(len(todo), _NONE), todo)
+            put(i, self.packed(new, held[k, todo], i), todo)
+            h = before[i, todo]
+            some = h >= 0
+            if some.any():
+                put(h[some], self.packed(held[h[some], todo[some]], new[some], h[some]), todo[some])
+            todo = todo[tree[1, todo] != _NONE]
+        return held[:height]
+
+
 class WordBpe:
     """Encoder and decoder of a BPE vocabulary with word ends (``</w>``)."""
 
@@ -115,6 +177,33 @@ class WordBpe:
         self._find = regex.compile(self.WORDS).findall
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self._cache: dict[str, tuple[bytes, str]] = {}
+        self._forest = Forest(self.merges)
+        self._first = np.array(self.inner, np.int64)
+        self._last = np.array(self.last, np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        """Encode words that the cache does not hold, those of a length together."""
+        if len(self._cache) >= CACHE_WORDS:
+            self._cache.clear()
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for w in words.difference(self._cache):
+            raw = w.encode()
+            if len(raw) <= SIDE_BY_SIDE:
+                by_size.setdefault(len(raw), []).append((w, raw))
+        for size, group in by_size.items():
+            for at in range(0, len(group), 1 << 14):
+                some = group[at : at + (1 << 14)]
+                raw = np.frombuffer(b"".join(r for _, r in some), np.uint8).reshape(-1, size).T
+                symbols = self._first[raw]
+                symbols[-1] = self._last[raw[-1]]
+                done = self._forest.merge(symbols).T
+                kept = done >= 0
+                packed, ends = done[kept].astype("<u4").tobytes(), np.cumsum(kept.sum(axis=1) * 4).tolist()
+                names = list(map(self.tokens.__getitem__, done[kept].tolist()))
+                start = 0
+                for (w, _), end in zip(some, ends):
+                    self._cache[w] = packed[start:end], " ".join(names[start // 4 : end // 4])
+                    start = end
 
     def word(self, word: str) -> tuple[bytes, str]:
         """The ids of one prepared word (packed) and its token strings (joined)."""
@@ -134,19 +223,21 @@ class WordBpe:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """(packed ids, joined token strings) for each word and special string of a text."""
-        found, cache = [], self._cache
-        at = 0
+    def words(self, text: str) -> list[str | int]:
+        """The words of a text, and the id of each special string in it."""
+        at, found = 0, []
         for m in self._special.finditer(text):
-            found += [cache.get(w) or self.word(w) for w in self._find(self.prepared(text[at : m.start()]))]
-            found.append((struct.pack("<I", self.special[m[0]]), m[0]))
+            found += [*self._find(self.prepared(text[at : m.start()])), self.special[m[0]]]
             at = m.end()
-        found += [cache.get(w) or self.word(w) for w in self._find(self.prepared(text[at:] if at else text))]
-        return found
+        return found + self._find(self.prepared(text[at:] if at else text))
+
+    def parts(self, words: list[str | int]) -> list[tuple[bytes, str]]:
+        """(packed ids, joined token strings) for each word or special id."""
+        get, one = self._cache.get, self.word
+        return [get(w) or (one(w) if isinstance(w, str) else (struct.pack("<I", w), self.tokens[w])) for w in words]
 
     def encode(self, text: str) -> list[int]:
-        packed = b"".join(p for p, _ in self.parts(text))
+        packed = b"".join(p for p, _ in self.parts(self.words(text)))
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
     def decode(self, ids: list[int]) -> str:
@@ -175,8 +266,10 @@ def encode_decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
         bpe = _worker(vocab.value)
         for batch in slices(batches, 1):
             ids, decoded = [], []
-            for raw in batch.column(1).to_pylist():
-                parts = bpe.parts(raw.decode()) if raw else []
+            texts = [bpe.words(raw.decode()) if raw else [] for raw in batch.column(1).to_pylist()]
+            bpe.learn({w for words in texts for w in words if isinstance(w, str)})
+            for words in texts:
+                parts = bpe.parts(words)
                 ids.append(b"".join([p for p, _ in parts]))
                 decoded.append(" ".join([d for _, d in parts]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
