@@ -9,7 +9,8 @@ Parsing.  A document is factored greedily against the blocks of all documents wi
 a block that an earlier document holds is a copy factor whole.  Where a factor begins or
 ends, the block differs from its source in some words; there the windows of the block are
 looked up one by one against the windows of every other block with the same seed, so that a
-factor reaches exactly as far as an earlier document repeats it.  Touching factors are
+factor reaches exactly as far as an earlier document repeats it.  This goes for every place at
+which the first holder of a block has it, in each text under its id.  Touching factors are
 merged; each is at least ``window`` words long, and its words are the duplicate spans.
 
 Work and data: a block needs one row in the index (about one row for 18 words), only blocks
@@ -73,6 +74,8 @@ def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, window: int, seed: int) -> DataFrame:
+    """Each block of each text; again: the text holds the same block further up."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             parts = []
@@ -82,12 +85,15 @@ def _blocks(rows: DataFrame, window: int, seed: int) -> DataFrame:
                 seeds, first, last, digests = blocks_of(raw, window, seed)
                 n = len(seeds)
                 if n:
-                    parts.append((np.full(n, doc, np.int64), np.full(n, fp, np.int64), seeds, np.frombuffer(b"".join(digests), np.int64), first, last))
+                    block = np.frombuffer(b"".join(digests), np.int64)
+                    again = np.ones(n, bool)
+                    again[np.unique(block, return_index=True)[1]] = False
+                    parts.append((np.full(n, doc, np.int64), np.full(n, fp, np.int64), seeds, block, first, last, again))
             if parts:
-                doc, fp, seeds, block, first, last = (np.concatenate(c) for c in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(fp), signed(seeds), pa.array(block), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc_id", "fp", "seed", "block", "first", "last"])
+                doc, fp, seeds, block, first, last, again = (np.concatenate(c) for c in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(fp), signed(seeds), pa.array(block), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(again)], ["doc_id", "fp", "seed", "block", "first", "last", "again"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long, seed long, block long, first int, last int")
+    return rows.mapInArrow(run, "doc_id long, fp long, seed long, block long, first int, last int, again boolean")
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
@@ -144,10 +150,10 @@ def factors(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     text, for rows that share an id.
     """
     rows = _rows(documents, id_col, text_col)
-    # The blocks are read three times: once for the index, once for factors, once for contexts.
+    # The blocks are read for the index, for whole blocks and for further places.
     blocks = durable(_blocks(rows, window, min(seed, window)))
     # The index: each block with its first holder.  min of a struct also brings the place.
-    index = blocks.groupBy("seed", "block").agg(F.min(F.struct("doc_id", "fp", "first", "last")).alias("holder"), F.max("doc_id").alias("latest"))
+    index = durable(blocks.groupBy("seed", "block").agg(F.min(F.struct("doc_id", "fp", "first", "last")).alias("holder"), F.max("doc_id").alias("latest")))
     # Whole blocks.  The key is written anew (~seed) so that the join shuffles both sides itself and
     # adaptive execution can split a hot block.
     held = index.filter(F.col("holder.doc_id") < F.col("latest")).select(F.bitwise_not("seed").alias("key"), "block", F.col("holder.doc_id").alias("source"))
@@ -159,12 +165,15 @@ def factors(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     )
     # Factor ends: seeds that occur in more than one context.
     contexts = index.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select(F.bitwise_not("seed").alias("key"))
-    ends = (
-        index.select(F.bitwise_not("seed").alias("key"), "seed", "holder.*")
-        .join(contexts, "key", "left_semi")
-        .groupBy("doc_id", "fp")
-        .agg(F.collect_list(F.struct("seed", "first", "last")).alias("todo"))
-    )
+    opened = index.select(F.bitwise_not("seed").alias("key"), "seed", "block", "holder.*").join(contexts, "key", "left_semi")
+    # The first holder may hold its block at further places: again in the same text, or in another text
+    # under its id.  No earlier document covers those whole, so their windows are looked up too.
+    shared = durable(blocks.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("doc_id"))
+    further = blocks.filter("again").unionByName(blocks.filter("not again").join(shared, "doc_id", "left_semi"))
+    place = ["seed", "doc_id", "fp", "first", "last"]
+    # The document is part of the key, so that a block that many documents repeat is dealt out.
+    places = opened.select(place).unionByName(further.join(opened, ["seed", "block", "doc_id"], "left_semi").select(place))
+    ends = places.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("seed", "first", "last")).alias("todo"))
     windows = durable(_windows(rows.join(ends, ["doc_id", "fp"]).select("doc_id", "text", "fp", "todo"), window))
     earliest = windows.groupBy("seed", "win").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("latest")).filter("source < latest")
     partial = (

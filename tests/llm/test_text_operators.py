@@ -1,6 +1,7 @@
 """Operators on texts against brute force, on odd rows."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -44,6 +45,24 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup(data.no_documents(spark)).isEmpty()
 
 
+def test_substring_dedup_at_every_place_of_a_first_holder(spark):
+    """An earlier passage in another context, twice in a later text and in two texts under one id."""
+    rng = random.Random(3)
+    a, b, c, d, e = (data.words(rng, 40, 10**6) for _ in range(5))
+    passage = data.words(rng, 60, 10**6)
+    other = data.words(rng, 60, 10**6)
+    again = f"{a} {passage} {b}"
+    rows = [(1, f"{c} {passage} {d}"), (2, f"{again} {again} {e} {again}"), (3, f"{e} {other} {c}"), (4, f"{a} x {other} y {b}"), (4, f"z {a} x {other} y {b}"), (4, f"{a} x {other} y {b}"), (5, again)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (50, 20):
+        want, first = [], first_windows(rows, window)
+        for doc, text in rows:
+            own = spaced(text)
+            gone = {j for i in range(len(own) - window + 1) if doc > first[tuple(own[i : i + window])] for j in range(i, i + window)}
+            want.append(repr([doc, len(own), len(gone), sha(" ".join(w for i, w in enumerate(own) if i not in gone))]))
+        assert by_row(substring_dedup.digests(substring_dedup.dedup(docs, window)), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want)
+
+
 def first_windows(rows, window):
     first = {}
     for doc, text, *_ in rows:
