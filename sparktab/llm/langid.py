@@ -6,7 +6,9 @@ uses at most ``SAMPLE_DOCS`` labelled documents, chosen by a digest of their tex
 and the cost of fitting have a bound.  The scripts of a language are those that hold at
 least ``SCRIPT_SHARE`` of its sampled letters.
 
-Prediction takes every word of every whole text.  The script of a word narrows the
+Prediction takes every word of every whole text.  A word is a run of letters of one script and of at
+most ``CACHE_CHARS`` of them: a run is cut where its script changes, and a longer one goes on as the next
+word, so that unspaced writing is judged over its whole length.  The script of a word narrows the
 languages that may have it; a Viterbi pass over the words, with a penalty for switching,
 labels the spans; the document gets the language with the most letters, and as score the
 share of its letters that the language holds times the mean probability of its words.
@@ -19,8 +21,12 @@ document at all every text is ``und``.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +52,12 @@ SCRIPTS = (
     (0x3400, 0x9FFF, "han"), (0xAC00, 0xD7AF, "hangul"), (0xF900, 0xFAFF, "han"), (0x20000, 0x3FFFF, "han"),
 )
 
-_words = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
-
+_runs = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+#: Runs of letters that are one word, told at a glance: short, of Latin letters and marks alone.
+_plain = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0300-\u036f\u1e00-\u1eff]{1,%d}" % CACHE_CHARS).fullmatch
 
 _STARTS = np.array([a for a, _, _ in SCRIPTS], np.int64)
+_FIRSTS = [a for a, _, _ in SCRIPTS]
 _ENDS = np.array([b for _, b, _ in SCRIPTS], np.int64)
 NAMES = [*sorted({name for _, _, name in SCRIPTS}), "other"]
 _NAMES = np.array([NAMES.index(name) for _, _, name in SCRIPTS])
@@ -63,13 +71,43 @@ def scripts_of(words: list[str]) -> np.ndarray:
     return np.where((first >= _STARTS[at]) & (first <= _ENDS[at]), _NAMES[at], len(NAMES) - 1)
 
 
+@lru_cache(1 << 16)
+def cut_run(run: str) -> tuple[str, ...]:
+    """The words of a run of letters: cut where the script changes and after ``CACHE_CHARS`` characters.
+
+    Marks, and modifier letters without a script here, go with the letter before them.
+    """
+    cuts, last = [0], None
+    for i, c in enumerate(run):
+        kind = unicodedata.category(c)
+        if kind[0] == "M":
+            continue
+        at = bisect_right(_FIRSTS, ord(c)) - 1
+        script = SCRIPTS[at][2] if at >= 0 and ord(c) <= SCRIPTS[at][1] else "other"
+        if script == "other" and kind == "Lm":
+            script = last
+        if i and (script != last and last is not None or i - cuts[-1] >= CACHE_CHARS):
+            cuts.append(i)
+        last = script
+    return tuple(run[a:b] for a, b in zip(cuts, [*cuts[1:], len(run)]))
+
+
+def words_of(texts: list[str | None]) -> list[list[str]]:
+    """The words of each text."""
+    runs = [_runs(t) if t else [] for t in texts]
+    odd = {r: cut_run(r) for r in set().union(*runs) if not _plain(r)}
+    odd = {r: words for r, words in odd.items() if len(words) > 1}
+    if not odd:
+        return runs
+    return [own if odd.keys().isdisjoint(own) else [w for r in own for w in odd.get(r, (r,))] for own in runs]
+
+
 def grams_of(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places of words, their hashed n-grams one row each), words of a length together.
 
-    n-grams are of one to four characters of the lower-cased word with its ends marked; of a
-    word beyond ``CACHE_CHARS`` characters they are of its beginning.
+    n-grams are of one to four characters of the lower-cased word with its ends marked.
     """
-    marked = [f"<{w.lower()[:CACHE_CHARS]}>" for w in words]
+    marked = [f"<{w.lower()}>" for w in words]
     by_size: dict[int, list[int]] = {}
     for i, w in enumerate(marked):
         by_size.setdefault(len(w), []).append(i)
@@ -120,8 +158,8 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Words of each text, and all word scores after each other with their offsets."""
-        words = [_words(t) if t else [] for t in texts]
-        self.learn({w for own in words for w in own})
+        words = words_of(texts)
+        self.learn(set().union(*words))
         offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         at = np.fromiter((self._place[w] for own in words for w in own), np.int64, int(offsets[-1]))
         return words, self._held[at], offsets
@@ -197,7 +235,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
         for batch in slices(batches, 1):
             seen: dict[str, Counter] = {}
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.setdefault(lang, Counter()).update(_words(raw.decode()))
+                seen.setdefault(lang, Counter()).update(words_of([raw.decode()])[0])
             for lang, own in seen.items():
                 words, times = list(own), np.array(list(own.values()), np.int64)
                 table = np.zeros(BUCKETS + len(NAMES), np.int64)
@@ -224,7 +262,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 def detect(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, spans) for each row; no shuffle.
 
-    spans: runs of words of one language, [start, end) in words of letters.
+    spans: runs of words of one language, [start, end) in words of letters of one script.
     """
     held = documents.sparkSession.sparkContext.broadcast((model.langs, model.table.astype(np.float32), model.scripts))
     schema = "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>"

@@ -299,3 +299,19 @@ def test_language_id(spark):
     nothing = langid.fit(data.no_documents(spark))
     assert nothing.langs == [] and {r.lang_pred for r in langid.detect(docs, nothing).collect()} == {"und"}
     assert langid.detect(data.no_documents(spark), model).isEmpty()
+
+
+def test_language_of_unspaced_runs(spark):
+    """A run of letters is judged over its whole length and in each of its scripts."""
+    assert langid.cut_run("abcЖЖ漢字かな") == ("abc", "ЖЖ", "漢字", "かな")
+    assert langid.cut_run("e\u0301te\u0301Ж\u0301") == ("e\u0301te\u0301", "Ж\u0301") and langid.cut_run("Hawaiʻi") == ("Hawaiʻi",)
+    long = "あ" * 40 + "い" * 100
+    assert "".join(langid.cut_run(long)) == long and max(map(len, langid.cut_run(long))) == 48
+    assert langid.words_of(["one twoЖ", None, "x" * 100]) == [["one", "two", "Ж"], [], ["x" * 48, "x" * 48, "xxxx"]]
+    texts = ["the cat sat on the mat", "это русский текст", "これはひらがなのぶんしょうです", "ゐゑゐゑゐゑゐゑゐゑゐゑゐゑ"] * 3
+    docs, _ = data.documents(spark, texts, ["en", "ru", "ja", "xx"])
+    model = langid.fit(docs)
+    mixed = "the" + "этотекст" * 20
+    late = "これはひらがなのぶん" * 5 + "ゐゑ" * 200
+    found = model.predict([mixed, late])
+    assert [f[0] for f in found] == ["ru", "xx"] and [s[2] for s in found[1][2]] == ["ja", "xx"]
