@@ -174,9 +174,10 @@ class Model:
         n = np.diff(offsets)
         order = np.argsort(-n, kind="stable")
         starts, lengths = offsets[:-1][order], n[order]
-        back = np.zeros((len(scores), len(self.langs)), np.int8)
+        kind = np.min_scalar_type(len(self.langs))
+        back = np.zeros((len(scores), len(self.langs)), kind)
         value = np.zeros((len(order), len(self.langs)))
-        own = np.arange(len(self.langs), dtype=np.int8)
+        own = np.arange(len(self.langs), dtype=kind)
         longest = int(lengths[0]) if len(lengths) else 0
         alive = np.searchsorted(-lengths, -np.arange(longest), "left").tolist() if longest else []
         for t, k in enumerate(alive):
@@ -188,7 +189,7 @@ class Model:
                 back[at] = np.where(stay, own, v.argmax(axis=1)[:, None])
                 v = np.where(stay, v, switched)
             value[:k] = v + scores[at]
-        path = np.zeros(len(scores), np.int8)
+        path = np.zeros(len(scores), kind)
         state = value.argmax(axis=1) if len(value) else np.zeros(0, np.int64)
         for t in range(longest - 1, -1, -1):
             k = alive[t]

@@ -315,3 +315,15 @@ def test_language_of_unspaced_runs(spark):
     late = "これはひらがなのぶん" * 5 + "ゐゑ" * 200
     found = model.predict([mixed, late])
     assert [f[0] for f in found] == ["ru", "xx"] and [s[2] for s in found[1][2]] == ["ja", "xx"]
+
+
+def test_many_languages():
+    import numpy as np
+
+    langs = [f"l{i:03}" for i in range(300)]
+    table = np.full((300, langid.BUCKETS), -9.0)
+    for i in (130, 260):
+        for _, grams in langid.grams_of([f"word{i}".replace("1", "a").replace("2", "b").replace("3", "c").replace("6", "d").replace("0", "e")]):
+            table[i, grams] = -1.0
+    found = langid.Model(langs, table, {}).predict(["wordace " * 9 + "wordbde " * 20])
+    assert found[0][0] == "l260" and found[0][2] == [(0, 9, "l130"), (9, 29, "l260")]
