@@ -4,7 +4,8 @@ A text is put into canonical form (case, copyright lines, equivalent spellings,
 space), digested, and hash-joined with the digests of known licences.  A match means that the whole text is
 the licence, however it is set; a licence within a longer text is no match.
 
-The known licences are a fixed list, so their digests are broadcast.  Null text has a null
+The known licences are those of ``license_texts`` or a list that the caller gives; their digests are
+broadcast.  Texts of one canonical form under several names match the first name.  Null text has a null
 digest and no match; a text without any letter or digit has the digest of the empty form and no match.  Every
 input row gives one output row, null and repeated ids included; extra columns are ignored.
 """
@@ -39,13 +40,14 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 
-def known(spark) -> DataFrame:
-    """(digest, license_id) of the known licences."""
-    texts = spark.createDataFrame(sorted(LICENSES.items()), "license_id string, text string")
-    return texts.select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "license_id")
+def known(spark, licenses: dict[str, str] = LICENSES) -> DataFrame:
+    """(digest, license_id) of the known licences, one row for each digest."""
+    texts = spark.createDataFrame(sorted(licenses.items()), "license_id string, text string")
+    rows = texts.select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "license_id")
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, license_id) for every row."""
+def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenses: dict[str, str] = LICENSES) -> DataFrame:
+    """(doc_id, digest, license_id) for every row; licenses: the known texts by name."""
     rows = documents.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(F.col(text_col).cast("string")).cast("binary"), 256).alias("digest"))
-    return rows.join(F.broadcast(known(documents.sparkSession)), "digest", "left").select("doc_id", "digest", "license_id")
+    return rows.join(F.broadcast(known(documents.sparkSession, licenses)), "digest", "left").select("doc_id", "digest", "license_id")

@@ -327,3 +327,11 @@ def test_many_languages():
             table[i, grams] = -1.0
     found = langid.Model(langs, table, {}).predict(["wordace " * 9 + "wordbde " * 20])
     assert found[0][0] == "l260" and found[0][2] == [(0, 9, "l130"), (9, 29, "l260")]
+
+
+def test_other_licenses(spark):
+    docs, _ = data.documents(spark, ["GNU General  Public License, the text", LICENSES["ISC"], "my own"])
+    own = {**LICENSES, "GPL-x": "GNU general public license - the text.", "Mine": "My own!", "Mine, again": "my OWN"}
+    found = licenses.scan(docs.filter("doc_id < 3"), licenses=own)
+    assert sorted((r.doc_id, r.license_id) for r in found.collect()) == [(0, "GPL-x"), (1, "ISC"), (2, "Mine")]
+    assert licenses.scan(docs, licenses={}).filter("license_id is not null").isEmpty()
