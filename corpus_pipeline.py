@@ -2,7 +2,8 @@
 
 1. language: documents of no known language go.
 2. near_duplicates: of each group of similar texts (five-word shingles, similarity 0.8) the one with
-   the smallest id stays; of rows that repeat an id, one.
+   the smallest id stays, and of rows that repeat an id and its text, one.  Different texts under an id
+   are judged each for itself.  Rows without an id are judged among each other.
 3. decontaminate: documents that hold a ten-word passage of a benchmark item go.
 4. secrets: secrets are replaced by a mark.
 5. tokens: token ids of what is left.
@@ -27,10 +28,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.join(docs, width=5, num=4, den=5)
-    others = groups.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    unnamed = docs.filter("doc_id is null")
+    named = _one_of_each(docs.filter("doc_id is not null"))
+    return named if unnamed.isEmpty() else named.unionByName(_one_of_each(unnamed))
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of similar texts, that with the smallest id; a text under an id has a key of its own."""
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    groups = jaccard_join.join(keyed, width=5, num=4, den=5, id_col="row_key").withColumnRenamed("doc_id", "row_key")
+    linked = durable(groups.filter("row_key <> component_id").select("row_key", "component_id"))
+    members = linked.unionByName(linked.select(F.col("component_id").alias("row_key"), "component_id")).distinct()
+    first = members.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key"))["row_key"].alias("row_key"))
+    others = members.join(first, "row_key", "left_anti").select("row_key")
+    return keyed.join(others, "row_key", "left_anti").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from sparktab.llm import secrets as scan
 from tests.llm import data
@@ -52,3 +54,16 @@ def test_whole_run_and_empty_tables(spark, tmp_path):
     data.no_documents(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_near_duplicates_by_text_and_not_by_id(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (data.words(rng, 60, 10**6) for _ in range(5))
+    rows = [(1, a), (2, a + " more"), (2, b), (2, c), (2, c), (3, b + " more"), (4, d), (4, d + " more"), (5, None), (5, ""), (None, e), (None, e), (None, e + " more"), (None, d), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()
+    named = [tuple(r) for r in kept if r.doc_id is not None]
+    assert sorted((i, t or str(t)) for i, t in named if i != 4) == sorted([(1, a), (2, b), (2, c), (5, "None"), (5, "")])
+    assert len([t for i, t in named if i == 4]) == 1
+    unnamed = [r.text for r in kept if r.doc_id is None]
+    assert len(unnamed) == 3 and {d, None} < set(unnamed) and len({e, e + " more"} & set(unnamed)) == 1
