@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import tables
+from ..sources.tables import drop, durable  # noqa: F401
 
 #: Text handed to one step of a Python worker, in bytes; bounds what a worker holds at once.
 SLICE_BYTES = 4 << 20
@@ -19,17 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A copy of ``df`` in the shared checkpoint folder, with its lineage cut.
-
-    The shuffles that made it are of no more use; the driver is told to let go of them, which frees their
-    files on the executors' disks.
-    """
-    out = tables.durable(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def file_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()

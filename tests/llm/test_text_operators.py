@@ -63,6 +63,24 @@ def test_substring_dedup_at_every_place_of_a_first_holder(spark):
         assert by_row(substring_dedup.digests(substring_dedup.dedup(docs, window)), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want)
 
 
+def test_factors_stand_in_their_sources(spark):
+    """Each factor is as long as its window, stands in its source word for word, and cannot be longer there."""
+    rng = random.Random(6)
+    texts = data.odd_texts()
+    a, b = data.words(rng, 300, 10**6).split(), data.words(rng, 200, 10**6).split()
+    texts += [" ".join(a), " ".join(a[:150] + ["x"] + a[150:] + b), " ".join(b[100:] + a[20:280] + b[:90]), " ".join(a + b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.factors for r in substring_dedup.dedup(docs, 50).collect()}
+    n = len(texts)
+    assert [(f.start, f.end, f.source, f.place) for f in found[n - 4] or []] == []
+    assert [(f.start, f.end, f.source, f.place) for f in found[n - 3]] == [(0, 150, n - 4, 0), (151, 301, n - 4, 150)]
+    assert {(f.source, f.place - f.start) for f in found[n - 2]} >= {(n - 3, 401), (n - 4, -80), (n - 3, -59)}
+    for doc, own in found.items():
+        for f in own or []:
+            assert f.source < doc and f.end - f.start >= 50
+            assert spaced(texts[doc])[f.start : f.end] == spaced(texts[f.source])[f.place : f.place + f.end - f.start]
+
+
 def first_windows(rows, window):
     first = {}
     for doc, text, *_ in rows:
