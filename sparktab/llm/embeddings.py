@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .graph import components
+from .graph import components, lowest_reachable
 
 COSINE = 0.98
 #: Tables, rotations joined in a table, probes of each table, vectors in a block, and the seed of the
@@ -100,21 +100,6 @@ def _hashed(distinct: DataFrame) -> DataFrame:
     return distinct.select("h1", "h2", "id", "label", "n", "embedding").mapInArrow(run, "h1 long, h2 int, id long, label string, n long, unit binary, buckets array<long>")
 
 
-def _linked(pairs: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
-    """For each of ``size`` nodes, the smallest node reachable by the pairs."""
-    low = np.arange(size)
-    a, b = pairs
-    while len(a):
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    return low
-
-
 def _compared(bucket: int, left: tuple, right: tuple | None, least: float):
     """Pairs (i, j) of two blocks (or within one) with the cosine, counted in this bucket first.
 
@@ -175,7 +160,7 @@ def _links(members: DataFrame, least: float) -> DataFrame:
             np.add.at(links, j, n[i])
         if not links.any():
             return None
-        low = _linked((np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])), len(unit))
+        low = lowest_reachable(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), len(unit))
         root = np.full(len(unit), np.iinfo(np.int64).max)
         np.minimum.at(root, low, ids)
         some = np.flatnonzero(links)

@@ -3,30 +3,35 @@
 Search is exact.  Two sets of the least similarity share a shingle among the first
 ``n - ceil(t n) + 1`` of each, in any one order of all shingles; the order here is by digest, with
 shingles that are frequent in the corpus last (rarer ones before more frequent ones).  So the
-documents are dealt into buckets, one for each shingle that two different sets have among
-their first ones.
-
-1. Documents with equal sets are one class from the start.
-2. Every class is compared with the first class of each of its buckets, by size and token bitmap and, where these
-   allow a link, by the sets themselves: one leader first, then those of another component.
-   Verified links give components, and most buckets then lie within one: nothing is left to find there.
-3. In every other bucket a signature tree decides.  Classes are its leaves; a node holds the
+different sets ("classes") are dealt into buckets, one for each shingle that two of them have among
+their first ones; buckets of the same members count once.
+
+1. Signature trees find the pairs.  The classes of a bucket are the leaves of a tree; a node holds the
    OR of the token bitmaps below it and their range of sizes.  A dual traversal compares pairs of
-   nodes, drops those whose largest possible overlap is too small, and ends at pairs of
-   classes from different components.  A bucket is cut into parts of at most ``PART`` classes, and each pair of
-   parts is a task's work of its own, so no bucket is gathered whole.
-4. What remains is verified on the sets; links and components are final.
+   nodes, drops those whose largest possible overlap is too small, and ends at pairs of classes.  Bitmaps
+   have 8 to 16 bits for a shingle, in trees at most ``TREE_BITS``; there is one tree for each width, and
+   of two widths the wider bitmaps are folded.
+2. A bucket is cut into parts of at most about ``PART`` classes and ``PART_TOKENS`` shingles, and each pair of
+   parts is a task's work of its own, so no bucket is gathered whole.  In a first round a part meets itself and the
+   next part, and of the pairs that are left only a spanning forest of the likeliest goes on, since that is
+   enough to connect a group of copies; most buckets then lie within one component.
+3. The second round takes the buckets that still hold several components, every part with every other, and
+   passes on every pair of different components.
+4. In both rounds pairs go on to the whole bitmaps and then to the sets themselves, each of which moves once for
+   a part of a bucket and not for a pair.  Verified links give the components.
 
 Words are maximal runs of characters other than space and U+0009 to U+000D, with A-Z in lower
 case.  A text with fewer words than a shingle has its whole sequence as the only shingle;
 one without words, or null, has no shingle and links with nothing.  Sets are of 64-bit
-digests of shingles, and classes have 64-bit digests of sets.  Rows that repeat an id are nodes of one name; a
-null id gets a null component.  Extra columns are ignored; every input row gives one output row.
+digests of shingles; classes are told apart by 128-bit digests of sets and numbered by 64 bits of these, anew
+where two numbers agree.  Rows that repeat an id are nodes of one name; a
+null id gets a null component and connects nothing.  A very long text is a slice of its own.  Extra columns are ignored;
+every input row gives one output row, none for an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -34,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, durable, slices
-from .graph import components
+from .common import as_binary, drop, durable, slices
+from .graph import components, lowest_reachable
 from .hashing import grams, joined_words, signed, word_numbers
 
-#: Classes in a part of a bucket; children of a tree node; bits of a token bitmap.
-PART, FAN, BITS = 512, 8, 2048
+#: Classes in a part of a bucket and their shingles; children of a tree node.
+PART, PART_TOKENS, FAN = 512, 1 << 21, 8
+#: Bits of a token bitmap: at least, for a shingle, and at most in a tree.
+LEAST_BITS, BITS, TREE_BITS = 256, 8, 4096
 #: Frequent shingles told to the workers: at most so many, with at least so many documents each.
 FREQUENT, LEAST_FREQUENT = 1 << 19, 16
 
@@ -54,19 +61,54 @@ def shingles(raw: bytes | None, width: int) -> np.ndarray:
     return np.unique(grams(word_numbers(joined, ends), min(width, len(ends))) ^ np.uint64(min(width, len(ends))))
 
 
+def digest_of(tokens: np.ndarray) -> bytes:
+    """The 128-bit digest of a set."""
+    return blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def number_of(digest: bytes) -> int:
+    """The 64-bit number of a class, from its digest."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     """How many first shingles of a set of ``n`` hold one that is shared at similarity num/den."""
     return n - -(-num * n // den) + 1
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """The token bitmap of a set, as 64-bit words."""
-    out = np.zeros(BITS // 64, np.uint64)
-    at = tokens >> np.uint64(64 - BITS.bit_length() + 1)
+    """The token bitmap of a set, as 64-bit words; its width, a power of two, goes with the size."""
+    width = max(LEAST_BITS, 1 << (BITS * len(tokens) - 1).bit_length())
+    out = np.zeros(width // 64, np.uint64)
+    at = tokens & np.uint64(width - 1)
     np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (along the last axis) as those of a smaller width."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def possible(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether sets of these sizes and bitmaps can be similar enough."""
+    words = min(len(a), len(b))
+    a, b = folded(a, words), folded(b, words)
+    slack = min(n_a - int(np.bitwise_count(a).sum()), n_b - int(np.bitwise_count(b).sum()))
+    most = min(int(np.bitwise_count(a & b).sum()) + slack, n_a, n_b)
+    return most * (num + den) >= num * (n_a + n_b)
+
+
+def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets are similar enough."""
+    merged = np.sort(np.concatenate([a, b]), kind="stable")
+    same = int((merged[1:] == merged[:-1]).sum())
+    return den * same >= num * (len(a) + len(b) - same)
+
+
 def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and the magnitude of their counts.
 
@@ -89,125 +131,45 @@ def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     total = counts.filter("token is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(LEAST_FREQUENT, -(-total // FREQUENT))
     held = counts.filter(F.col("token").isNotNull() & (F.col("n") >= least)).toArrow()
+    drop(counts)
     tokens = held.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], np.log2(held.column("n").to_numpy().astype(np.float64)[order] + 1).astype(np.int8)
 
 
 def _classes(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, set, n, prefix, bits): digest, size and token bitmap of each set, and its first shingles."""
+    """(doc_id, digest, number, n, prefix, sig, bits): digest, number and size of each set, its first shingles, its bitmap folded for
+    a tree, and the whole bitmap where that is wider."""
     frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, magnitude = frequent.value
         for batch in slices(batches, 1):
-            sets, sizes, prefixes, bits = [], [], [], []
+            digests, numbers, sizes, prefixes, sigs, wholes = [], [], [], [], [], []
             for raw in batch.column(1).to_pylist():
                 tokens = shingles(raw, width)
                 n = len(tokens)
                 sizes.append(n)
-                sets.append(int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None)
+                digests.append(digest_of(tokens) if n else None)
+                numbers.append(number_of(digests[-1]) if n else None)
                 # So small a set links with equal sets only.
                 if not n or num * (n + 1) > den * n:
                     prefixes.append(None)
-                    bits.append(None)
+                    sigs.append(None)
+                    wholes.append(None)
                     continue
-                bits.append(bitmap(tokens).tobytes())
+                bits = bitmap(tokens)
+                sig = folded(bits, TREE_BITS // 64)
+                sigs.append(sig.tobytes())
+                wholes.append(bits.tobytes() if len(bits) > len(sig) else None)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
                     tokens = tokens[np.argsort(np.where(often[at] == tokens, magnitude[at], 0), kind="stable")]
                 prefixes.append(tokens[: prefix_size(n, num, den)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "set", "n", "prefix", "bits"])
-
-    return rows.mapInArrow(run, "doc_id long, set long, n long, prefix array<long>, bits binary")
-
-
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(set, tokens binary) of texts (doc_id, text, wanted); texts of another set are passed over."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            found = [shingles(raw, width).tobytes() for raw in batch.column(1).to_pylist()]
-            sets = [int.from_bytes(blake2b(t, digest_size=8).digest(), "little", signed=True) for t in found]
-            same = [s == w for s, w in zip(sets, batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(found, pa.binary())], ["set", "tokens"]).filter(pa.array(same, pa.bool_()))
-
-    return texts.mapInArrow(run, "set long, tokens binary")
-
-
-def _possible(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sizes and token bitmaps allow the similarity."""
-    sides = [signatures.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b")]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    both = both.filter((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n_a, n_b = (batch.column(c).to_numpy() for c in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n_a), -1) for c in (4, 5))
-            slack = np.minimum(*(n - np.bitwise_count(z).sum(axis=1, dtype=np.int64) for n, z in ((n_a, x), (n_b, y))))
-            most = np.minimum(np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + slack, np.minimum(n_a, n_b))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(most * (num + den) >= num * (n_a + n_b)))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets are similar enough."""
-    two = sets.select(F.col("set").alias("b"), F.col("tokens").alias("of_b"))
-    one = sets.select(F.col("set").alias("a"), F.col("tokens").alias("of_a"))
-    both = pairs.join(two, "b").select("a", "b", "of_b").join(one, "a").select("a", "b", "of_a", "of_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 16 << 20):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                merged = np.sort(np.concatenate([a, b]), kind="stable")
-                same = int((merged[1:] == merged[:-1]).sum())
-                keep.append(den * same >= num * (len(a) + len(b) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _verified_in_blocks(pairs: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``_verified`` for many pairs among few classes: each set moves once for a block, not for a pair.
-
-    A family (what pairs and links connect) is cut into parts of about ``PART`` classes; a block holds
-    the pairs between two parts, and the sets that these pairs name.
-    """
-    family = durable(components(links.unionByName(pairs)))
-    sizes = family.groupBy("component").agg(F.count("*").alias("size")).select(F.bitwise_not("component").alias("key"), F.ceil((F.col("size") + 1) / PART).alias("parts"))
-    placed = pairs.join(family.select(F.col("id").alias("b"), F.bitwise_not("component").alias("key")), "b").join(sizes, "key")
-    part = {x: F.pmod(F.xxhash64(x), "parts") for x in ("a", "b")}
-    placed = durable(placed.select("key", F.least(part["a"], part["b"]).alias("low"), F.greatest(part["a"], part["b"]).alias("high"), "a", "b"))
-    named = placed.select("key", "low", "high", F.explode(F.array("a", "b")).alias("set")).distinct().join(sets, "set")
-    given = named.select("key", "low", "high", F.col("set").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
-    place = ["key", "low", "high"]
-    # In a block the sets come before the pairs (their b is null).
-    rows = given.unionByName(placed.withColumn("tokens", F.lit(None).cast("binary"))).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
-        for batch in slices(batches, 5):
-            out = []
-            for *at, a, b, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != key:
-                    key, held = at, {}
-                if b is None:
-                    held[a] = np.frombuffer(tokens, np.uint64)
-                    continue
-                x, y = held[a], held[b]
-                merged = np.sort(np.concatenate([x, y]), kind="stable")
-                same = int((merged[1:] == merged[:-1]).sum())
-                if den * same >= num * (len(x) + len(y) - same):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(wholes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "number", "n", "prefix", "sig", "bits"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "doc_id long, digest binary, number long, n long, prefix array<long>, sig binary, bits binary")
 
 
 class Tree:
@@ -215,6 +177,7 @@ class Tree:
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray):
         self.order = np.argsort(sizes, kind="stable")
+        self.rows = bits
         sizes, bits = sizes[self.order], bits[self.order]
         slack = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         #: For each level: bitmaps, least and largest size, most tokens without a bit of their own.
@@ -268,101 +231,260 @@ def _children(tree: Tree, nodes: np.ndarray, level: int) -> np.ndarray:
     return np.where(out < len(tree.levels[level][0]), out, -1)
 
 
-def _tree_pairs(dealt: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of classes of different components that the signature trees leave over.
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(set, n, data) of texts (doc_id, text, digest, set): their shingles; texts of another set are passed over."""
 
-    Rows come sorted by (key, low, high); a group of rows is at most two parts of a bucket.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            found = [shingles(raw, width) for raw in batch.column(1).to_pylist()]
+            same = [bool(len(t)) and digest_of(t) == d for t, d in zip(found, batch.column(2).to_pylist())]
+            sizes = pa.array([len(t) for t in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(3), sizes, pa.array([t.tobytes() for t in found], pa.binary())], ["set", "n", "data"]).filter(pa.array(same, pa.bool_()))
+
+    return texts.mapInArrow(run, "set long, n long, data binary").dropDuplicates(["set"])
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """(set, digest, first, n, prefix, sig, bits) of each different set: its number, its smallest document."""
+    some = classes.filter("digest is not null and doc_id is not null").groupBy("digest")
+    one = durable(some.agg(F.first("number").alias("set"), F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "prefix", "sig", "bits"))))
+    turn = 0
+    while not (clash := one.groupBy("set").agg(F.count("*").alias("times")).filter("times > 1")).isEmpty():
+        turn += 1
+        anew = durable(one.join(clash, "set", "left").withColumn("set", F.when(F.col("times").isNull(), F.col("set")).otherwise(F.xxhash64("digest", F.lit(turn)))).drop("times"))
+        drop(one)
+        one = anew
+    return one
+
+
+def _buckets(named: DataFrame) -> DataFrame:
+    """(key, set, n, parts): the classes of each bucket, buckets of the same members once, and into how many
+    parts a bucket is cut."""
+    placed = named.select("set", "n", F.explode("prefix").alias("token"))
+    # The key is written anew so that the joins shuffle both sides themselves and adaptive execution can split
+    # a hot bucket.
+    key = F.bitwise_not("token").alias("key")
+    shared = placed.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select(key)
+    members = durable(placed.select("set", "n", key).join(shared, "key", "left_semi"))
+    # Two buckets are the same if their members' digests add up to the same; sums of 32 bits cannot overflow.
+    low = F.lit(0xFFFFFFFF)
+    sums = [F.sum(F.col("set").bitwiseAND(low)), F.sum(F.shiftrightunsigned("set", 32)), F.sum(F.hash("set").cast("long").bitwiseAND(low))]
+    sums = [x.alias(f"sum_{i}") for i, x in enumerate(sums)]
+    alike = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), *sums)
+    parts = F.ceil(F.greatest(F.col("size") / PART, F.col("tokens") / PART_TOKENS)).cast("int").alias("parts")
+    kept = alike.groupBy("size", "tokens", "sum_0", "sum_1", "sum_2").agg(F.min("key").alias("key")).select(F.bitwise_not("key").alias("again"), parts)
+    buckets = durable(members.withColumn("again", F.bitwise_not("key")).join(kept, "again").select("key", "set", "n", "parts"))
+    drop(members)
+    return buckets
+
+
+def _dealt(buckets: DataFrame, signatures: DataFrame, every: bool) -> DataFrame:
+    """(key, low, high, part, set, n, sig, component): each class in each pair of parts it meets, sorted.
+
+    every: all pairs of parts; else a part meets itself and the next one only.
     """
+    part = F.pmod(F.xxhash64("set"), F.col("at.parts").cast("long")).cast("int")
+    around = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(1), F.lit(-1)), lambda x: F.pmod(F.col("part") + x, F.col("parts"))))
+    listed = buckets.groupBy("set").agg(F.collect_list(F.struct("key", "parts")).alias("places"))
+    spread = signatures.join(listed, "set").withColumn("at", F.explode("places"))
+    placed = spread.select("set", "n", "sig", "component", "at.key", "at.parts", part.alias("part"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1) if every else around
+    place = ["key", "low", "high"]
+    dealt = placed.withColumn("other", F.explode(others)).select(
+        "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "set", "n", "sig", "component"
+    )
+    return dealt.repartition(*place).sortWithinPartitions(*place)
+
 
-    def found(key: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+def likeliest(i: np.ndarray, j: np.ndarray, score: np.ndarray, size: int) -> np.ndarray:
+    """Places of pairs that make a spanning forest of all pairs, the highest scores first (Boruvka's way)."""
+    order = np.argsort(-score, kind="stable")
+    comp, rank, chosen = np.arange(size), np.arange(len(order)), []
+    while True:
+        x, y = comp[i[order[rank]]], comp[j[order[rank]]]
+        live = x != y
+        x, y, rank = x[live], y[live], rank[live]
+        if not len(rank):
+            return order[np.unique(np.concatenate(chosen))] if chosen else order[:0]
+        best = np.full(size, len(order))
+        np.minimum.at(best, x, rank)
+        np.minimum.at(best, y, rank)
+        picked = np.unique(best[best < len(order)])
+        chosen.append(picked)
+        comp = lowest_reachable(comp[i[order[picked]]], comp[j[order[picked]]], size)[comp]
+
+
+def pairs_of_parts(sizes: np.ndarray, sigs: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, largest possible overlap by size) of pairs that signature trees leave over.
+
+    left and right are places of classes; pairs lie between the two, or within left if right is None.
+    """
+    widths = np.array([len(x) for x in sigs])
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def tree(own: np.ndarray, words: int) -> Tree:
+        return Tree(sizes[own], folded_rows([sigs[k] for k in own], words))
+
+    for w in np.unique(widths[left]):
+        for v in np.unique(widths[left if right is None else right]):
+            if right is None and v < w:
+                continue
+            one = left[widths[left] == w]
+            two = (left if right is None else right)[widths[left if right is None else right] == v]
+            if sizes[one].min() * num > sizes[two].max() * den or sizes[two].min() * num > sizes[one].max() * den:
+                continue
+            words = int(min(w, v))
+            a = tree(one, words)
+            b = a if right is None and v == w else tree(two, words)
+            i, j = traverse(a, b, num, den)
+            if len(i):
+                most = np.bitwise_count(a.rows[i] & b.rows[j]).sum(axis=1, dtype=np.int64)
+                out.append((one[i], two[j], most / (sizes[one[i]] + sizes[two[j]])))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def folded_rows(bits: list[np.ndarray], words: int) -> np.ndarray:
+    """Bitmaps of one width as rows of a smaller one."""
+    return folded(np.stack(bits), words)
+
+
+def _tree_pairs(dealt: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """(a, b, key, low, high): pairs of classes of different components that the signature trees leave over,
+    each with one place where it was found.
+
+    Rows come sorted by (key, low, high); a group of rows is at most two parts of a bucket.  forest: only a
+    spanning forest of the pairs of a group.
+    """
+
+    def found(at: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(rows)
         ids, sizes, part, comp = (table.column(c).to_numpy() for c in ("set", "n", "part", "component"))
         if len(ids) < 2 or (comp == comp[0]).all():
             return None
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-        one = np.flatnonzero(part == key[1])
-        two = np.flatnonzero(part == key[2])
+        one, two = np.flatnonzero(part == at[1]), np.flatnonzero(part == at[2])
         if not len(one) or not len(two):
             return None
-        left = Tree(sizes[one], bits[one])
-        right = left if key[1] == key[2] else Tree(sizes[two], bits[two])
-        i, j = traverse(left, right, num, den)
-        a, b = one[i], two[j]
-        apart = comp[a] != comp[b]
-        a, b = ids[a[apart]], ids[b[apart]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
+        sigs = [np.frombuffer(x, np.uint64) for x in table.column("sig").to_pylist()]
+        i, j, score = pairs_of_parts(sizes, sigs, one, None if at[1] == at[2] else two, num, den)
+        apart = comp[i] != comp[j]
+        i, j, score = i[apart], j[apart], score[apart]
+        if forest:
+            some = likeliest(i, j, score, len(ids))
+            i, j = i[some], j[some]
+        if not len(i):
+            return None
+        a, b = ids[i], ids[j]
+        where = [pa.array(np.full(len(a), x)) for x in at]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), where[0], where[1].cast(pa.int32()), where[2].cast(pa.int32())], ["a", "b", "key", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high"))))
-            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a == b:
-                    continue
-                if keys[a] != key and rows:
-                    if (out := found(key, rows)) is not None:
-                        yield out
-                    rows = []
-                key = keys[a]
-                rows.append(batch.slice(a, b - a))
-        if rows and (out := found(key, rows)) is not None:
-            yield out
+        for at, rows in groups(batches, ("key", "low", "high")):
+            if (out := found(at, rows)) is not None:
+                yield out
+
+    pairs = dealt.mapInArrow(run, "a long, b long, key long, low int, high int")
+    return pairs.groupBy("a", "b").agg(F.min(F.struct("key", "low", "high")).alias("at")).select("a", "b", "at.*")
+
+
+def groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of rows with equal columns ``names``, of rows that come sorted by them."""
+    key, rows = None, []
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in names)))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if keys[a] != key and rows:
+                yield key, rows
+                rows = []
+            key = keys[a]
+            rows.append(batch.slice(a, b - a))
+    if rows:
+        yield key, rows
+
+
+def _checked(pairs: DataFrame, held: DataFrame, fits: Callable[[int, np.ndarray, int, np.ndarray], bool]) -> DataFrame:
+    """Those of the pairs (a, b, key, low, high) that fit by what ``held`` (set, n, data) says of them.
+
+    What a class holds moves once for a part of a bucket, not for a pair.
+    """
+    place = ["key", "low", "high"]
+    named = pairs.select(*place, F.explode(F.array("a", "b")).alias("set")).distinct().join(held, "set")
+    given = named.select(*place, F.col("set").alias("a"), F.lit(None).cast("long").alias("b"), "n", "data")
+    asked = pairs.select(*place, "a", "b", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("data"))
+    # In a group the classes come before the pairs (their b is null).
+    rows = given.unionByName(asked).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, {}
+        for batch in slices(batches, 6):
+            keep = []
+            for *here, a, b, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if here != at:
+                    at, known = here, {}
+                if b is None:
+                    known[a] = n, np.frombuffer(data, np.uint64)
+                    keep.append(False)
+                else:
+                    keep.append(fits(*known[a], *known[b]))
+            order = [batch.column(c) for c in (3, 4, 0, 1, 2)]
+            yield pa.RecordBatch.from_arrays(order, ["a", "b", *place]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, "a long, b long, key long, low int, high int")
 
-    return dealt.mapInArrow(run, "a long, b long")
+
+def links(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, named, links).
+
+    classes: (doc_id, digest, n) of every row; named: (set, digest, first, n) of every different set;
+    links (a, b) between sets: all verified, and enough to connect whatever is linked.
+    """
+    rows = as_binary(documents, id_col, text_col)
+    full = durable(_classes(rows, width, num, den))
+    named = _numbered(full)
+    classes = durable(full.select("doc_id", "digest", "n"))
+    drop(full)
+    buckets = _buckets(named.filter("prefix is not null"))
+    slim = durable(named.select("set", "digest", "first", "n", "sig", F.coalesce("bits", "sig").alias("data")))
+    drop(named)
+
+    def round_(buckets: DataFrame, signatures: DataFrame, first: bool, before: DataFrame | None) -> DataFrame:
+        pairs = _tree_pairs(_dealt(buckets, signatures, every=not first), num, den, forest=first)
+        pairs = durable(pairs if before is None else pairs.join(before.select("a", "b"), ["a", "b"], "left_anti"))
+        able = durable(_checked(pairs, slim.select("set", "n", "data"), lambda n, x, m, y: possible(n, x, m, y, num, den)))
+        wanted = able.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(slim.select("set", "digest", F.col("first").alias("doc_id")), "set")
+        sets = durable(_sets(rows.join(wanted, "doc_id").select("doc_id", "text", "digest", "set"), width))
+        out = durable(_checked(able, sets, lambda n, x, m, y: similar(x, y, num, den)).select("a", "b"))
+        drop(able, sets)
+        return out, pairs
+
+    signatures = slim.filter("sig is not null").select("set", "n", "sig")
+    near, tried = round_(buckets, signatures.withColumn("component", F.col("set")), True, None)
+    done = components(near).withColumnRenamed("id", "set")
+    # Buckets that still hold several components.
+    open_ = buckets.join(done, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    mixed = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.bitwise_not("key").alias("again"))
+    still = durable(buckets.withColumn("again", F.bitwise_not("key")).join(mixed, "again", "left_semi").drop("again"))
+    known = signatures.join(done, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    rest, others = round_(still, known, False, tried)
+    out = durable(near.unionByName(rest))
+    named = durable(slim.select("set", "digest", "first", "n"))
+    drop(slim, near, rest, tried, others, still, buckets, done)
+    return classes, named, out
 
 
 def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: groups of texts linked at num/den or more."""
-    rows = as_binary(documents, id_col, text_col)
-    classes = durable(_classes(rows, width, num, den))
-    first = F.explode("prefix").alias("token")
-    # Buckets that two different sets share; the key is written anew so that the join shuffles both sides
-    # itself and adaptive execution can split a hot bucket.
-    shared = classes.select("set", first).groupBy("token").agg(F.min("set").alias("leader"), F.max("set").alias("last")).filter("leader < last")
-    placed = classes.select("set", first).select("set", F.bitwise_not("token").alias("key"))
-    buckets = durable(placed.join(shared.select(F.bitwise_not("token").alias("key"), "leader"), "key").select("key", "set", "leader"))
-    firsts = classes.filter("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("first"))
-    signatures = durable(classes.filter("prefix is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
-
-    def parts(links: DataFrame) -> DataFrame:
-        return components(links).withColumnsRenamed({"id": "set"})
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The sets of the classes of pairs, from the text of the first document of each."""
-        some = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(firsts, "set")
-        listed = some.select(F.col("first").alias("doc_id"), F.col("set").alias("wanted"))
-        return durable(_sets(rows.join(listed, "doc_id").select("doc_id", "text", "wanted"), width))
-
-    # Every class and the leaders of its buckets: one leader for each first, then those of another component.
-    pairs = buckets.filter("set > leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
-    pairs = durable(_possible(pairs, signatures, num, den))
-    sets = sets_of(pairs)
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = durable(_verified(nearest, sets, num, den))
-    done = parts(links)
-    of = [done.select(F.col("set").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
-    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    links = durable(links.unionByName(_verified_in_blocks(durable(rest), links, sets, num, den)))
-    done = parts(links)
-    # Buckets that still hold several components go to the signature trees.
-    open_ = buckets.select("key", "set").join(done, "set", "left").select("key", "set", F.coalesce("component", "set").alias("component"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y and size > 2")
-    held = open_.select(F.bitwise_not("key").alias("key"), "set", "component").join(mixed.select(F.bitwise_not("key").alias("key"), F.ceil(F.col("size") / PART).cast("int").alias("parts")), "key").distinct()
-    dealt = (
-        held.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts").cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "set", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-        .join(signatures, "set")
-    )
-    place = ["key", "low", "high"]
-    left = durable(_tree_pairs(dealt.repartition(*place).sortWithinPartitions(*place), num, den).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not left.isEmpty():
-        done = parts(links.unionByName(_verified_in_blocks(left, links, sets_of(left), num, den)))
+    classes, named, linked = links(documents, width, num, den, id_col, text_col)
+    done = components(linked).withColumnRenamed("id", "set")
     # From classes to documents: the component is named by its smallest document.
-    named = firsts.join(done, "set", "left").select("set", "first", F.coalesce("component", "set").alias("component"))
-    low = named.groupBy("component").agg(F.min("first").alias("component_id")).select(F.bitwise_not("component").alias("low_key"), "component_id")
-    by_set = named.select(F.col("set").alias("of_set"), F.bitwise_not("component").alias("low_key")).join(low, "low_key").select("of_set", "component_id")
-    return classes.select("doc_id", "set", "n").join(by_set, F.col("set") == F.col("of_set"), "left").select(
+    parts = named.join(done, "set", "left").select("digest", "first", F.coalesce("component", "set").alias("component"))
+    low = parts.groupBy("component").agg(F.min("first").alias("component_id")).select(F.bitwise_not("component").alias("low_key"), "component_id")
+    by_set = parts.select(F.col("digest").alias("of"), F.bitwise_not("component").alias("low_key")).join(low, "low_key").select("of", "component_id")
+    return classes.join(by_set, F.col("digest") == F.col("of"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )

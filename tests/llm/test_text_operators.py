@@ -7,7 +7,8 @@ import struct
 import zlib
 
 import pytest
-from sparktab.llm import bpe, decontaminate, jaccard_join, langid, licenses, substring_dedup, token_counts
+from pyspark.sql import functions as F
+from sparktab.llm import bpe, decontaminate, graph, jaccard_join, langid, licenses, substring_dedup, token_counts
 from sparktab.llm import secrets as scan
 from sparktab.llm.license_texts import LICENSES
 from sparktab.llm.queries import TOKENIZERS
@@ -248,12 +249,13 @@ def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.join(data.no_documents(spark)).isEmpty()
 
 
-def test_jaccard_join_through_parts_and_trees(spark, monkeypatch):
-    """Chains and common passages: links that no leader gives, in buckets cut into parts."""
+@pytest.mark.parametrize("part", [8, 512])
+def test_jaccard_join_through_parts_and_trees(spark, monkeypatch, part):
+    """Chains and common passages, in buckets cut into parts and whole ones."""
     import random
 
     rng = random.Random(5)
-    monkeypatch.setattr(jaccard_join, "PART", 8)
+    monkeypatch.setattr(jaccard_join, "PART", part)
     common = data.words(rng, 30, 10**6).split()
     texts = []
     for _ in range(30):
@@ -267,26 +269,64 @@ def test_jaccard_join_through_parts_and_trees(spark, monkeypatch):
 
 
 def test_tree_traversal_loses_nothing():
+    """Every similar pair comes out of the trees, whatever the widths of the bitmaps, and few others do."""
     import numpy as np
 
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)
     sets = [np.unique(rng.choice(base, rng.integers(20, 200), replace=False)) for _ in range(60)] + [np.unique(rng.integers(0, 2**63, 90).astype(np.uint64)) for _ in range(20)]
     sets += [np.unique(np.append(s[:-2], base[:2])) for s in sets[:20]]
-    sizes, bits = np.array([len(s) for s in sets]), np.stack([jaccard_join.bitmap(s) for s in sets])
-    tree = jaccard_join.Tree(sizes, bits)
-    i, j = jaccard_join.traverse(tree, tree, 4, 5)
+    for size in (31, 32, 33, 64, 65, 127, 130, 600):
+        own = rng.integers(0, 2**63, size).astype(np.uint64)
+        sets += [np.unique(own), np.unique(own[: size - 2]), np.unique(np.append(own, own[:3] + np.uint64(1)))]
+    sizes, bits = np.array([len(s) for s in sets]), [jaccard_join.folded(jaccard_join.bitmap(s), 64) for s in sets]
+    assert len({len(x) for x in bits}) > 3
+    every = np.arange(len(sets))
+    i, j, score = jaccard_join.pairs_of_parts(sizes, bits, every, None, 4, 5)
     found = {frozenset(p) for p in zip(i.tolist(), j.tolist())}
-    half = [jaccard_join.Tree(sizes[k], bits[k]) for k in (slice(0, 33), slice(33, None))]
-    i, j = jaccard_join.traverse(*half, 4, 5)
-    across = {frozenset((a, b + 33)) for a, b in zip(i.tolist(), j.tolist())}
+    x, y, _ = jaccard_join.pairs_of_parts(sizes, bits, every[:33], every[33:], 4, 5)
+    across = {frozenset(p) for p in zip(x.tolist(), y.tolist())}
     for a in range(len(sets)):
         for b in range(a):
             same = len(np.intersect1d(sets[a], sets[b]))
             if 5 * same >= 4 * (len(sets[a]) + len(sets[b]) - same):
                 assert frozenset((a, b)) in found
                 assert (b < 33 <= a) <= (frozenset((a, b)) in across)
-    assert len(found) < len(sets) * (len(sets) - 1) // 2
+                assert jaccard_join.possible(len(sets[a]), jaccard_join.bitmap(sets[a]), len(sets[b]), jaccard_join.bitmap(sets[b]), 4, 5)
+    assert len(found) == len(i) < 3 * len(sets)
+    # The forest connects what the pairs connect, with the fewest pairs.
+    kept = jaccard_join.likeliest(i, j, score, len(sets))
+    whole, some = (graph.lowest_reachable(p, q, len(sets)) for p, q in ((i, j), (i[kept], j[kept])))
+    assert (whole == some).all() and len(kept) == len(sets) - len(set(whole.tolist()))
+
+
+def test_links_come_from_the_trees(spark):
+    """All links between different sets are found by traversal; they are true, and connect what is linked."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        own = data.words(rng, 90, 10**6).split()
+        for k in range(5):
+            own[rng.randrange(90)] = f"c{k}"
+            texts.append(" ".join(own))
+    docs, rows = data.documents(spark, texts + data.odd_texts())
+    classes, named, linked = jaccard_join.links(docs, 4, 80, 100)
+    assert classes.count() == len(rows) and named.select("set").distinct().count() == named.count()
+    first = {r.set: r["first"] for r in named.collect()}
+    text = {r[0]: r[1] for r in reversed(rows)}
+    found = [(text[first[r.a]], text[first[r.b]]) for r in linked.collect()]
+    assert len(found) >= 40
+    for a, b in found:
+        x, y = ({tuple(spaced(t.lower())[i : i + 4]) for i in range(len(spaced(t)) - 3)} for t in (a, b))
+        assert 100 * len(x & y) >= 80 * len(x | y) and x != y
+
+
+def test_sets_of_one_number_stay_apart(spark):
+    """Different sets whose 64-bit numbers agree get new numbers."""
+    rows = [(i, bytes([i // 2] * 16), i % 3, 5, [1, 2], b"x", None) for i in range(12)]
+    classes = spark.createDataFrame(rows, "doc_id long, digest binary, number long, n long, prefix array<long>, sig binary, bits binary").withColumn("number", F.when(F.col("doc_id") < 9, 1).otherwise(F.col("doc_id")).cast("long"))
+    named = jaccard_join._numbered(classes).collect()
+    assert len(named) == 6 == len({r.set for r in named}) and sorted(r["first"] for r in named) == [0, 2, 4, 6, 8, 10]
 
 
 def test_licenses(spark):
