@@ -13,6 +13,9 @@ from ..sources.tables import drop, durable  # noqa: F401
 
 #: Text handed to one step of a Python worker, in bytes; bounds what a worker holds at once.
 SLICE_BYTES = 4 << 20
+#: Rows handed to a Python worker at once, in bytes, unless the session says otherwise.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +46,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
         yield batch.slice(start, n - start)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``; the session's Arrow batches get a closer bound by bytes unless it has one set, since rows can be very long."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def as_binary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text as UTF-8 bytes): what the Python sides of operators take."""
+    df = in_batches(df)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))

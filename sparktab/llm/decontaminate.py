@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, slices
+from .common import as_binary, in_batches, slices
 
 WINDOW = 10
 #: Words of test items in one broadcast block, and words by which suffixes are filtered.
@@ -248,4 +248,4 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
                 keep[np.searchsorted(offsets, found[:, 0], "right") - 1] = False
             yield batch.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_batches(documents).mapInArrow(run, documents.schema)

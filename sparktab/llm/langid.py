@@ -13,9 +13,14 @@ languages that may have it; a Viterbi pass over the words, with a penalty for sw
 labels the spans; the document gets the language with the most letters, and as score the
 share of its letters that the language holds times the mean probability of its words.
 
-Texts that are null or hold no letter are ``und`` with score 0.  Null or repeated ids and
-extra columns are no concern; every input row gives one output row.  With no labelled
-document at all every text is ``und``.
+A text whose best single language cannot be left with profit anywhere (no run of its words gains by other
+languages what the switches cost) has that language throughout, which is what the Viterbi pass would say; only the other
+texts walk through the pass word by word.
+
+Texts that are null or hold no letter are ``und`` with score 0.  Of languages with equal scores the first in the order
+of their names wins.  Null or repeated ids and
+extra columns are no concern; every input row gives one output row, none for an empty table.  A very long text is a
+slice of its own.  With no labelled document at all every text is ``und``.
 """
 
 from __future__ import annotations
@@ -34,13 +39,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import as_binary, in_batches, slices
 
 #: Bounds of fitting: labelled documents, hashed n-grams; smoothing; cost of a switch (nats).
 SAMPLE_DOCS, BUCKETS, SMOOTH, SWITCH = 8192, 1 << 16, 0.5, 12.0
 SCRIPT_SHARE = 0.01
-#: Text that goes through the Viterbi pass at once, in bytes: long texts share its steps with others.
-PASS_BYTES = 12 << 20
+#: Words in a worker's cache, and the longest of them.
 CACHE_WORDS, CACHE_CHARS = 1 << 17, 48
 
 #: Script ranges by code point, fixed values: (first, last, script).
@@ -131,12 +135,12 @@ class Model:
     def __init__(self, langs: list[str], table: np.ndarray, scripts: dict[str, list[int]]):
         self.langs, self.table, self.scripts = langs, table, scripts
         #: What a script adds to a score: much less for languages that do not use it.
-        self._shut = np.zeros((len(NAMES), max(1, len(langs))))
+        self._shut = np.zeros((len(NAMES), max(1, len(langs))), np.float32)
         for name, own in scripts.items():
             self._shut[NAMES.index(name)] = -40.0
             self._shut[NAMES.index(name), own] = 0
         self._place: dict[str, int] = {}
-        self._held = np.zeros((0, len(langs)))
+        self._held = np.zeros((0, len(langs)), np.float32)
 
     def learn(self, words: set[str]) -> None:
         """Score words that the cache does not hold: mean n-gram log probability by language, times
@@ -146,10 +150,10 @@ class Model:
         new = list(words.difference(self._place))
         if not new:
             return
-        scores = np.zeros((len(new), len(self.langs)))
+        scores = np.zeros((len(new), len(self.langs)), np.float32)
         for places, grams in grams_of(new):
             scores[places] = self.table[:, grams].mean(axis=2, dtype=np.float64).T
-        scores *= np.array([min(len(w) + 1, 12) for w in new])[:, None]
+        scores *= np.array([min(len(w) + 1, 12) for w in new], np.float32)[:, None]
         scores += self._shut[scripts_of(new)]
         scores -= scores.max(axis=1, keepdims=True)
         n = len(self._held)
@@ -164,13 +168,42 @@ class Model:
         at = np.fromiter((self._place[w] for own in words for w in own), np.int64, int(offsets[-1]))
         return words, self._held[at], offsets
 
-    def paths(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-        """(words, offsets, scores, best language of each word), all texts at once.
+    def settled(self, scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each text the language that all its words have on the best path, or -1 where switches may pay.
+
+        Leaving the best single language for a run of words costs two switches, one at either end of the
+        text; if no run gains as much by other languages, nothing is left to find.
+        """
+        out = np.full(len(offsets) - 1, -1, np.int64)
+        some = np.flatnonzero(np.diff(offsets))
+        if not len(some):
+            return out
+        totals = np.add.reduceat(scores, offsets[some], axis=0, dtype=np.float64)
+        best = totals.argmax(axis=1)
+        if len(self.langs) == 1:
+            out[some] = 0
+            return out
+        own = np.repeat(best, np.diff(offsets)[some])
+        rows = np.arange(len(scores))
+        others = scores.astype(np.float64)
+        mine = others[rows, own].copy()
+        others[rows, own] = -np.inf
+        gain = others.max(axis=1) - mine
+        for k, a, b in zip(some.tolist(), offsets[some].tolist(), offsets[some + 1].tolist()):
+            sums = np.cumsum(gain[a:b])
+            low = np.minimum.accumulate(np.concatenate([[0.0], sums[:-1]]))
+            inside, ahead, behind = (sums - low).max(), sums.max(), sums[-1] - low.min()
+            if inside < 2 * SWITCH - 1e-3 and ahead < SWITCH - 1e-3 and behind < SWITCH - 1e-3:
+                out[k] = 0
+        out[some] = np.where(out[some] == 0, best, -1)
+        return out
+
+    def walked(self, scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The best language of each word, by the recurrence.
 
-        Texts go through the recurrence side by side, the longest first, so that each step
+        Texts go through it side by side, the longest first, so that each step
         handles the texts that still have words.
         """
-        words, scores, offsets = self.scores(texts)
         n = np.diff(offsets)
         order = np.argsort(-n, kind="stable")
         starts, lengths = offsets[:-1][order], n[order]
@@ -196,6 +229,18 @@ class Model:
             at = starts[:k] + t
             path[at] = state[:k]
             state[:k] = back[at, state[:k]]
+        return path
+
+    def paths(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+        """(words, offsets, scores, best language of each word), all texts at once."""
+        words, scores, offsets = self.scores(texts)
+        whole = self.settled(scores, offsets)
+        n = np.diff(offsets)
+        path = np.repeat(whole, n)
+        rest = np.flatnonzero((whole < 0) & (n > 0))
+        if len(rest):
+            at = np.flatnonzero(path < 0)
+            path[at] = self.walked(scores[at], np.concatenate([[0], np.cumsum(n[rest])]))
         return words, offsets, scores, path
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
@@ -203,7 +248,7 @@ class Model:
         if not self.langs:
             return [("und", 0.0, [])] * len(texts)
         words, offsets, scores, path = self.paths(texts)
-        letters = np.array([len(w) for ws in words for w in ws], np.float64)
+        letters = np.fromiter((len(w) for ws in words for w in ws), np.float64, len(path))
         chance = np.exp(scores[np.arange(len(path)), path]) / np.exp(scores).sum(axis=1) if len(path) else np.zeros(0)
         out = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -227,11 +272,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     them on average.  Counts are made where the texts are read and summed by (language, n-gram); the
     driver gets at most ``BUCKETS`` sums for each language.
     """
-    rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = in_batches(labelled).filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     n = rows.count()
     share = min(1.0, sample_docs / max(n, 1))
     slot = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 20))
     sample = rows.filter(slot < math.ceil(share * (1 << 20))).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             seen: dict[str, Counter] = {}
@@ -271,13 +317,12 @@ def detect(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
-        for batch in slices(batches, 1, PASS_BYTES):
+        for batch in slices(batches, 1):
             found = own.predict([None if raw is None else raw.decode() for raw in batch.column(1).to_pylist()])
             spans = [[{"start": a, "end": b, "lang": x} for a, b, x in f[2]] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return as_binary(documents, id_col, text_col).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -292,8 +337,8 @@ def keep_sure(documents: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
-        for batch in slices(batches, at, PASS_BYTES):
+        for batch in slices(batches, at):
             found = own.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_batches(documents).mapInArrow(run, documents.schema)
