@@ -10,8 +10,12 @@ Texts are prepared as the vocabulary file says (NFC, runs of white space to one
 lower case character by character, split into words), special strings inside a text are
 tokens of their own, and a token list is decoded by joining token strings with a space.
 
-Null text is taken as empty: no tokens, empty decoded text.  Every input row gives one
-output row, repeated rows and null ids included; extra columns are ignored.
+Letters and numbers are those of Unicode 16, which the library goes by: code points that ``regex``
+knows from later versions count as neither; capitals that Python does not know yet have their lower case from a list.
+
+Null and empty texts have no tokens and an empty decoded text.  Every input row gives one
+output row, repeated rows and null ids included, and none for an empty table; a very long text is a slice of its own;
+extra columns are ignored.  A vocabulary file that asks for other steps than these is refused.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,39 @@ SIDE_BY_SIDE = 64
 _NONE = 1 << 62
 
 
+#: Code points that are letters or numbers to ``regex`` and not in Unicode 16, fixed values: (first, last).
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA),
+    (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Lower case of capitals that came with Unicode 16 and 17, fixed values.
+LOWER_CASE = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+_NEWER = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NEWER)
+_capital = regex.compile("[" + "".join(map(chr, LOWER_CASE)) + "]").search
+
+
+class Splitter:
+    """All matches of a tokeniser's split, with the letters and numbers of Unicode 16."""
+
+    def __init__(self, pattern: str):
+        self._find = regex.compile(pattern).findall
+        self._odd = regex.compile(f"[{_NEWER}]").search
+        known = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"[^\s\p{L}\p{N}]", "\0")
+        known = known.replace(r"\p{L}", rf"[\p{{L}}--[{_NEWER}]]").replace(r"\p{N}", rf"[\p{{N}}--[{_NEWER}]]")
+        self._known = regex.compile("(?V1)" + known.replace("\0", rf"[[^\s\p{{L}}\p{{N}}]||[{_NEWER}]]")).findall
+
+    def __call__(self, text: str) -> list[str]:
+        return self._find(text) if text.isascii() or not self._odd(text) else self._known(text)
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that byte-level vocabularies use for each byte."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -160,11 +198,12 @@ class Forest:
 class WordBpe:
     """Encoder and decoder of a BPE vocabulary with word ends (``</w>``)."""
 
-    #: The tokeniser's split, a fixed value of the vocabulary file.
-    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
     def __init__(self, content: bytes):
         spec = json.loads(content)
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        first, *others = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        if steps != ["NFC", "Replace", "Lowercase"] or (first.get("type"), first.get("invert")) != ("Split", True) or [x.get("use_regex") for x in others] != [False]:
+            raise ValueError("this vocabulary asks for other steps than NFC, white space, lower case, split, bytes")
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
@@ -174,7 +213,7 @@ class WordBpe:
         alphabet = byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
         self.last = [vocab[c + self.end] for c in alphabet]
-        self._find = regex.compile(self.WORDS).findall
+        self._find = Splitter(first["pattern"]["Regex"])
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self._cache: dict[str, tuple[bytes, str]] = {}
         self._forest = Forest(self.merges)
@@ -221,7 +260,8 @@ class WordBpe:
         """NFC and lower case by single characters (a final sigma is no special case)."""
         if text.isascii():
             return text.lower()
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.translate(LOWER_CASE) if _capital(text) else text
 
     def words(self, text: str) -> list[str | int]:
         """The words of a text, and the id of each special string in it."""
@@ -248,7 +288,7 @@ _loaded: dict[bytes, WordBpe] = {}
 
 
 def _worker(content: bytes) -> WordBpe:
-    key = content[:64] + len(content).to_bytes(8, "little")
+    key = sha256(content).digest()
     if key not in _loaded:
         _loaded[key] = WordBpe(content)
     return _loaded[key]

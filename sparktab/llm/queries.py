@@ -13,11 +13,18 @@ from . import bpe, decontaminate, embeddings, jaccard_join, langid, licenses, su
 from . import secrets as secret_scan
 from .common import read
 
-#: Where the public vocabulary files are; a parameter of the operators.
-TOKENIZERS = os.environ.get("SPARKTAB_TOKENIZERS", "/opt/tokenizers")
 TOKEN_LIMIT = 1024
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file: in the folder that SPARKTAB_TOKENIZERS names, or in the package of them."""
+    if folder := os.environ.get("SPARKTAB_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.dedup(read(spark, sf_dir, "documents"), window=50))
 
@@ -35,11 +42,11 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_decode(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+    return bpe.digests(bpe.encode_decode(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.counts(token_counts.prefix_tables(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"), TOKEN_LIMIT)
+    return token_counts.counts(token_counts.prefix_tables(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")), TOKEN_LIMIT)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,23 +3,25 @@
 For a piece of text (one match of the vocabulary's split), the encoding of a prefix is the
 encoding of a shorter prefix plus one token: the only token that ends the prefix and stays
 apart from the last token of that shorter prefix when the two are encoded together.  So one
-pass from left to right gives the last token and the count of every prefix, and questions
-about truncation or budgets need no encoding of their own.  Different pieces of a slice of text go
+pass from left to right gives the last token and the count of every prefix.  Different pieces of a slice of text go
 through the program side by side, those of a length together; long ones go alone.
 
-A stored table holds, for each piece, the byte where it ends and the tokens so far (two
-unsigned 32-bit integers, little-endian); ``PrefixCounter.count_at`` and ``truncate`` fill
-in the bytes between from the piece alone.
+The stored table of a text holds its token count at every prefix that ends at a code point: how much each
+code point changes the count (``deltas``, one signed byte each; -128 stands for a larger change, held in ``wide``), and
+the counts themselves at every ``STEP`` -th code point and at the end (``marks``).  A cut can change how a text is
+split where it falls within white space, a contraction or a special string; the table holds what the cut text has, and
+so ``PrefixTable.count_at`` and ``longest_within`` answer questions about truncation and budgets by
+looking up and adding, without any encoding.
 
-Null text is taken as empty.  Every input row gives one output row, repeated rows and null
-ids included; extra columns are ignored.
+Null text is taken as empty: one mark of 0.  Every input row gives one output row, repeated rows and null ids
+included, and none for an empty table; very long texts are slices of their own; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
-import struct
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_alphabet, merge_all
+from .bpe import Splitter, byte_alphabet
 from .common import as_binary, file_bytes, slices
 from .hashing import Lookup
 
 CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 1 << 18, 64, 1 << 20
+#: Code points from one absolute count of a stored table to the next.
+STEP = 256
 #: The longest piece, in bytes, that is counted side by side with others.
 SIDE_BY_SIDE = 48
 
+#: Contractions that are one piece and, without their last letter, two; fixed values of the split.
+CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,6 +53,9 @@ class PrefixCounter:
 
     def __init__(self, content: bytes):
         spec = json.loads(content)
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] is not None or (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) != ("ByteLevel", True, False):
+            raise ValueError("this vocabulary asks for other steps than the byte-level split")
         vocab: dict[str, int] = spec["model"]["vocab"]
         back = {c: b for b, c in enumerate(byte_alphabet())}
         raw = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
@@ -53,16 +63,18 @@ class PrefixCounter:
         self.id_of = {b: i for i, b in raw.items()}
         self.single = [self.id_of[bytes([b])] for b in range(256)]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(spec["model"]["merges"])}
-        lengths: dict[int, set[int]] = {}
+        #: By the last two bytes (or the only one): how long tokens are that end so, the longest first.
+        lengths: dict[bytes, set[int]] = {}
         for b in self.id_of:
-            lengths.setdefault(b[-1], set()).add(len(b))
+            lengths.setdefault(b[-2:], set()).add(len(b))
         self.lengths = {b: sorted(n, reverse=True) for b, n in lengths.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
-        self._find = regex.compile(self.PIECES).findall
+        self._find = Splitter(self.PIECES)
+        self._space = regex.compile(r"\s").match
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
-        self._cache: dict[str, tuple[int, int]] = {}
+        #: (how much each code point of a piece changes the count, tokens); the changes as bytes if each fits in one.
+        self._cache: dict[str, tuple[bytes | list[int], int]] = {}
         # For pieces side by side: token ids by a number of their bytes, and how each token was merged.
         by_size: dict[int, list[int]] = {}
         for t, b in raw.items():
@@ -126,9 +138,22 @@ class PrefixCounter:
         for size, group in by_size.items():
             for at in range(0, len(group), 1 << 14):
                 some = group[at : at + (1 << 14)]
-                totals = self.prefixes_many(np.frombuffer(b"".join(r for _, r in some), np.uint8).reshape(-1, size))[:, -1]
-                for (p, _), n in zip(some, totals.tolist()):
-                    self._cache[p] = size, n
+                counts = self.prefixes_many(np.frombuffer(b"".join(r for _, r in some), np.uint8).reshape(-1, size))
+                # A piece of this length has a token at most for each byte, so its changes fit in a byte.
+                changes = np.diff(counts, axis=1).astype(np.int8)
+                for (p, raw), own, row, n in zip(some, changes, counts, counts[:, -1].tolist()):
+                    plain = len(p) == size and p not in CONTRACTIONS
+                    self._cache[p] = (own.tobytes() if plain else self._changes(p, raw, row.tolist())), n
+
+    @staticmethod
+    def _changes(piece: str, raw: bytes, counts: list[int]) -> bytes | list[int]:
+        """How much each code point of a piece changes the count, from the counts of its byte prefixes."""
+        ends = [i for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+        at = [0, *(counts[i] for i in ends)]
+        if piece in CONTRACTIONS:
+            at[2] = 2
+        changes = [y - x for x, y in zip(at[:-1], at[1:])]
+        return np.array(changes, np.int8).tobytes() if max(map(abs, changes), default=0) < 128 else changes
 
     def prefixes_many(self, raw: np.ndarray) -> np.ndarray:
         """Token counts of every byte prefix of pieces of one length (rows), the empty one first."""
@@ -159,145 +184,191 @@ class PrefixCounter:
                     break
         return counts
 
-    def _encoded(self, raw: bytes) -> list[int]:
-        return merge_all([self.single[b] for b in raw], self.merges)
-
     def _apart(self, left: int, right: int) -> bool:
         """Whether two tokens, encoded together, come out as these two."""
         known = self._pairs.get((left, right))
         if known is None:
-            known = self._encoded(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = bool(self._apart_many(np.array([left]), np.array([right]))[0])
             if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
             self._pairs[left, right] = known
         return known
 
-    def _alone(self, token: int) -> bool:
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self._encoded(self.bytes_of[token]) == [token]
-        return known
-
     def piece_prefixes(self, raw: bytes) -> list[int]:
         """Token counts of every byte prefix of one piece, the empty one first."""
         counts, last = [0], [-1]
-        id_of = self.id_of
+        id_of, single = self.id_of, self.single
         for end in range(1, len(raw) + 1):
-            for n in self.lengths[raw[end - 1]]:
+            for n in (*self.lengths.get(raw[end - 2 : end], ()), 1) if end > 1 else (1,):
                 start = end - n
-                if start < 0 or (token := id_of.get(raw[start:end])) is None:
+                if start < 0 or (token := single[raw[start]] if n == 1 else id_of.get(raw[start:end])) is None:
                     continue
-                if self._apart(last[start], token) if start else self._alone(token):
+                if self._apart(last[start], token) if start else self._good[token]:
                     counts.append(counts[start] + 1)
                     last.append(token)
                     break
         return counts
 
-    def piece(self, piece: str) -> tuple[int, int]:
-        """(bytes, tokens) of one piece."""
-        raw = piece.encode()
-        out = len(raw), self.piece_prefixes(raw)[-1]
-        if out[0] <= CACHE_BYTES:
-            if len(self._cache) >= CACHE_PIECES:
-                self._cache.clear()
-            self._cache[piece] = out
-        return out
+    def piece(self, piece: str) -> tuple[bytes | list[int], int]:
+        """(change of the count at each code point, tokens) of one piece."""
+        known = self._cache.get(piece)
+        if known is None:
+            raw = piece.encode()
+            counts = self.piece_prefixes(raw)
+            known = self._changes(piece, raw, counts), counts[-1]
+            if len(raw) <= CACHE_BYTES:
+                if len(self._cache) >= CACHE_PIECES:
+                    self._cache.clear()
+                self._cache[piece] = known
+        return known
 
-    def pieces(self, text: str) -> list[str | int]:
-        """The pieces of a text, and the bytes of each special string in it."""
+    def pieces(self, text: str) -> list[list[str] | str]:
+        """The text in order: lists of pieces, and between them each special string."""
         at, found = 0, []
         for m in self._special.finditer(text):
-            found += [*self._find(text[at : m.start()]), len(m[0].encode())]
+            found += [self._find(text[at : m.start()]), m[0]]
             at = m.end()
-        return found + self._find(text[at:] if at else text)
+        return [*found, self._find(text[at:] if at else text)]
+
+    def count(self, text: str) -> int:
+        """Tokens of a text."""
+        return sum(1 if isinstance(p, str) else sum(self.piece(q)[1] for q in p) for p in self.pieces(text))
 
-    def sizes(self, pieces: list[str | int]) -> list[tuple[int, int]]:
-        """(bytes, tokens) of every piece; a special string is a piece of one token."""
+    def table(self, parts: list[list[str] | str]) -> "PrefixTable":
+        """The prefix table of a text from its ``pieces``."""
+        out: list[bytes | list[int]] = []
+        #: Tokens of all pieces so far, and of the prefix that ends here (a cut one may be split otherwise).
+        base = actual = 0
         get, one = self._cache.get, self.piece
-        return [get(p) or (one(p) if isinstance(p, str) else (p, 1)) for p in pieces]
-
-    def table(self, pieces: list[str | int]) -> bytes:
-        """(end in bytes, tokens so far) of every piece, packed."""
-        found = self.sizes(pieces)
-        return np.cumsum(np.array(found, np.uint32).reshape(-1, 2), axis=0, dtype=np.uint32).tobytes()
-
-    def count_at(self, text: str, table: bytes, n_bytes: int) -> int:
-        """Tokens of the first ``n_bytes`` bytes of a text (a character boundary).
-
-        Whole pieces come from the stored table; the last piece is split again together with
-        the one before it, since a cut can change where white space or a special string splits.
-        """
-        rows = np.frombuffer(table, np.uint32).reshape(-1, 2)
-        k = max(0, int(np.searchsorted(rows[:, 0], n_bytes, "left")) - 1)
-        start, before = (int(rows[k - 1, 0]), int(rows[k - 1, 1])) if k else (0, 0)
-        cut = text.encode()[start:n_bytes].decode()
-        return before + sum(n for _, n in self.sizes(self.pieces(cut)))
-
-    def truncate(self, text: str, table: bytes, budget: int) -> str:
-        """The longest prefix of at most ``budget`` tokens."""
-        rows = np.frombuffer(table, np.uint32).reshape(-1, 2)
-        if not len(rows) or int(rows[-1, 1]) <= budget:
-            return text
-        raw = text.encode()
-        # A cut re-splits at most two pieces, so no prefix beyond two more pieces can fit.
-        over = int(np.searchsorted(rows[:, 1], budget, "right"))
-        end = int(rows[min(over + 1, len(rows) - 1), 0])
-        while end > 0:
-            if (end == len(raw) or raw[end] & 0xC0 != 0x80) and self.count_at(text, table, end) <= budget:
-                break
-            end -= 1
-        return raw[:end].decode()
+        for k, part in enumerate(parts):
+            if isinstance(part, str):
+                # Cut within a special string, that is plain text, split together with what comes before it.
+                tail = "".join(parts[k - 1][-2:])
+                before = base - sum(one(q)[1] for q in parts[k - 1][-2:])
+                at = [actual, *(before + self.count(tail + part[:j]) for j in range(1, len(part))), base + 1]
+                out.append([y - x for x, y in zip(at[:-1], at[1:])])
+                base = actual = base + 1
+                continue
+            skip = 0
+            for q, piece in enumerate(part):
+                changes, n = get(piece) or one(piece)
+                if skip or actual != base:
+                    changes = [x - 256 if x > 127 else x for x in changes] if isinstance(changes, bytes) else list(changes)
+                    # The first code points are told already; the next one brings the count to that of whole pieces.
+                    first, changes = sum(changes[: skip + 1]), changes[skip + 1 :]
+                    if len(piece) > skip:
+                        changes = [base + first - actual, *changes]
+                        actual = base + n
+                    skip = 0
+                elif q + 1 < len(part) and self._space(piece) and self._space(part[q + 1]):
+                    # White space goes to its own piece but for the last one; cut there, it is one run.
+                    run, tokens = one(piece + part[q + 1][0])
+                    changes, actual, skip = run, base + tokens, 1
+                else:
+                    actual = base + n
+                base += n
+                out.append(changes)
+        return PrefixTable.made(out, base)
+
+
+class PrefixTable:
+    """Token counts at every prefix of a text."""
+
+    def __init__(self, deltas: bytes, wide: bytes, marks: bytes):
+        self.deltas, self.wide, self.marks = deltas, wide, marks
+
+    @classmethod
+    def made(cls, changes: list[bytes | list[int]], total: int) -> "PrefixTable":
+        parts, wide, at = [], [], 0
+        for own in changes:
+            if not isinstance(own, bytes):
+                wide += [(at + i, x) for i, x in enumerate(own) if not -128 < x < 128]
+                own = np.array([x if -128 < x < 128 else -128 for x in own], np.int8).tobytes()
+            parts.append(own)
+            at += len(own)
+        out = cls(b"".join(parts), np.array(wide, "<i4").tobytes(), b"")
+        counts = out.counts()
+        assert int(counts[-1]) == total
+        out.marks = np.append(counts[:-1:STEP], counts[-1]).astype("<u4").tobytes()
+        return out
+
+    def _values(self, start: int, end: int) -> np.ndarray:
+        out = np.frombuffer(self.deltas, np.int8)[start:end].astype(np.int64)
+        if self.wide:
+            at, x = np.frombuffer(self.wide, "<i4").reshape(-1, 2).T
+            some = (at >= start) & (at < end)
+            out[at[some] - start] = x[some]
+        return out
+
+    def counts(self) -> np.ndarray:
+        """The count at every prefix, the empty one first."""
+        return np.concatenate([[0], np.cumsum(self._values(0, len(self.deltas)))])
+
+    def count_at(self, n: int) -> int:
+        """Tokens of the first ``n`` code points."""
+        step = min(n, len(self.deltas)) // STEP
+        start = step * STEP
+        return int(np.frombuffer(self.marks, "<u4")[step] if start < len(self.deltas) else 0 if not self.deltas else self.total()) + int(self._values(start, n).sum())
+
+    def total(self) -> int:
+        return int(np.frombuffer(self.marks, "<u4")[-1])
+
+    def longest_within(self, budget: int) -> int:
+        """Code points of the longest prefix of at most ``budget`` tokens."""
+        return int(np.flatnonzero(self.counts() <= budget)[-1])
 
 
 _loaded: dict[bytes, PrefixCounter] = {}
 
 
 def _worker(content: bytes) -> PrefixCounter:
-    key = content[:64] + len(content).to_bytes(8, "little")
+    key = sha256(content).digest()
     if key not in _loaded:
         _loaded[key] = PrefixCounter(content)
     return _loaded[key]
 
 
+def _tables(counter: PrefixCounter, texts: list[str | None]) -> list[PrefixTable]:
+    parts = [counter.pieces(t or "") for t in texts]
+    counter.learn({p for own in parts for group in own if not isinstance(group, str) for p in group})
+    return [counter.table(own) for own in parts]
+
+
 def prefix_tables(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes long, prefixes binary) for each row; no shuffle."""
+    """(doc_id, n_bytes long, deltas, wide, marks binary) for each row; no shuffle."""
     vocab = df.sparkSession.sparkContext.broadcast(file_bytes(vocab_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _worker(vocab.value)
         for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
-            pieces = [counter.pieces(raw.decode()) if raw else [] for raw in texts]
-            counter.learn({p for own in pieces for p in own if isinstance(p, str)})
-            tables = list(map(counter.table, pieces))
-            sizes = [len(raw or b"") for raw in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tables, pa.binary())], ["doc_id", "n_bytes", "prefixes"])
+            tables = _tables(counter, [raw.decode() if raw else None for raw in texts])
+            sizes = pa.array([len(raw or b"") for raw in texts], pa.int64())
+            held = [pa.array([getattr(t, c) for t in tables], pa.binary()) for c in ("deltas", "wide", "marks")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *held], ["doc_id", "n_bytes", "deltas", "wide", "marks"])
 
-    return as_binary(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, prefixes binary")
+    return as_binary(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, deltas binary, wide binary, marks binary")
 
 
 def counts(tables: DataFrame, limit: int) -> DataFrame:
-    """Whole-text counts, read from the last entry of each stored table."""
-    low_first = F.expr("hex(substring(prefixes, octet_length(prefixes) - 3, 4))")
-    last = F.concat(*(F.substring(low_first, at, 2) for at in (7, 5, 3, 1)))
-    n = F.when(F.octet_length("prefixes") == 0, F.lit(0)).otherwise(F.conv(last, 16, 10)).cast("long")
+    """Whole-text counts, the last mark of each stored table."""
+    low_first = F.expr("hex(substring(marks, octet_length(marks) - 3, 4))")
+    n = F.conv(F.concat(*(F.substring(low_first, at, 2) for at in (7, 5, 3, 1))), 16, 10).cast("long")
     return tables.select("doc_id", "n_bytes", n.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def truncated(df: DataFrame, vocab_path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): each text cut to its longest prefix of at most ``budget`` tokens."""
-    vocab = df.sparkSession.sparkContext.broadcast(file_bytes(vocab_path))
+def truncated(df: DataFrame, tables: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text): each text cut to its longest prefix of at most ``budget`` tokens, by stored tables
+    with one row for each id; texts of other ids, and null ones, are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _worker(vocab.value)
         for batch in slices(batches, 1):
-            texts = [None if raw is None else raw.decode() for raw in batch.column(1).to_pylist()]
-            cut = [None if t is None else counter.truncate(t, counter.table(counter.pieces(t)), budget) for t in texts]
+            cut = [
+                None if raw is None or marks is None else raw.decode()[: PrefixTable(deltas, wide, marks).longest_within(budget)]
+                for raw, deltas, wide, marks in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)))
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string())], ["doc_id", "text"])
 
-    return as_binary(df, id_col, text_col).mapInArrow(run, "doc_id long, text string")
-
-
-def unpack(table: bytes) -> list[tuple[int, int]]:
-    """A stored table as (end in bytes, tokens so far)."""
-    return list(struct.iter_unpack("<2I", table))
+    held = tables.select(F.col("doc_id").alias("of"), "deltas", "wide", "marks")
+    rows = as_binary(df, id_col, text_col).join(held, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "deltas", "wide", "marks")
+    return rows.mapInArrow(run, "doc_id long, text string")

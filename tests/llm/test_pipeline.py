@@ -4,7 +4,7 @@ import corpus_pipeline
 from sparktab.llm import secrets as scan
 from tests.llm import data
 from tests.llm.test_text_operators import jaccard_brute, marked, sha, tokenizers
-from sparktab.llm.queries import TOKENIZERS
+from sparktab.llm.queries import vocabulary
 
 
 def write(spark, folder, texts, items):
@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert safe.columns == docs.columns
     assert scan.scan(safe).filter("size(spans) > 0").isEmpty()
 
-    library = tokenizers.Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     for r in steps["tokens"](spark, docs, str(tmp_path)).collect():
         if r.doc_id is not None:
             ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids

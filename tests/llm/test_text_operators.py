@@ -1,6 +1,7 @@
 """Operators on texts against brute force, on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from sparktab.llm import bpe, decontaminate, graph, jaccard_join, langid, licenses, substring_dedup, token_counts
 from sparktab.llm import secrets as scan
 from sparktab.llm.license_texts import LICENSES
-from sparktab.llm.queries import TOKENIZERS
+from sparktab.llm.queries import vocabulary
 
 from . import data
 
@@ -180,39 +181,109 @@ def test_longest_match_and_its_place(spark):
 
 def test_bpe(spark):
     docs, rows = data.documents(spark)
-    library = tokenizers.Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     want = []
     for doc, text, *_ in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
         want.append(repr([doc, len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(library.decode(ids, skip_special_tokens=False))]))
-    done = bpe.digests(bpe.encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json"))
+    done = bpe.digests(bpe.encode_decode(docs, vocabulary("word_bpe_49k.json")))
     assert by_row(done, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want)
-    assert bpe.encode_decode(data.no_documents(spark), f"{TOKENIZERS}/word_bpe_49k.json").isEmpty()
+    assert bpe.encode_decode(data.no_documents(spark), vocabulary("word_bpe_49k.json")).isEmpty()
+
+
+def test_every_code_point_splits_as_in_the_library():
+    with open(vocabulary("word_bpe_49k.json"), "rb") as f:
+        words = bpe.WordBpe(f.read())
+    with open(vocabulary("byte_bpe_50k.json"), "rb") as f:
+        pieces = token_counts.PrefixCounter(f.read())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 37 == 0 or 0xA000 <= c < 0xB000 or any(a <= c <= b for a, b in bpe.NEWER) or c in bpe.LOWER_CASE)]
+    texts = [f"a{chr(c)}1{chr(c)}b!{chr(c)}! {chr(c)}" for c in points]
+    for name, own, wanted in (("word_bpe_49k.json", words.encode, list), ("byte_bpe_50k.json", pieces.count, len)):
+        library = tokenizers.Tokenizer.from_file(vocabulary(name))
+        for at in range(0, len(texts), 5000):
+            some = texts[at : at + 5000]
+            assert [own(t) for t in some] == [wanted(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+
+
+def test_vocabularies_are_told_apart(tmp_path):
+    """Files of equal length and beginning are vocabularies of their own; other steps are refused."""
+    with open(vocabulary("word_bpe_49k.json"), "rb") as f:
+        content = f.read()
+    other = content.replace(b"<|endoftext|>", b"<|endoftexx|>")
+    assert len(other) == len(content) and bpe._worker(content).special != bpe._worker(other).special
+    with open(vocabulary("byte_bpe_50k.json"), "rb") as f, pytest.raises(ValueError):
+        bpe.WordBpe(f.read())
+    with pytest.raises(ValueError):
+        token_counts.PrefixCounter(content)
 
 
 def test_token_counts(spark):
     docs, rows = data.documents(spark)
-    library = tokenizers.Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     counts = [(doc, len((text or "").encode()), len(library.encode(text or "", add_special_tokens=False).ids)) for doc, text, *_ in rows]
-    done = token_counts.counts(token_counts.prefix_tables(docs, f"{TOKENIZERS}/byte_bpe_50k.json"), 100)
+    done = token_counts.counts(token_counts.prefix_tables(docs, vocabulary("byte_bpe_50k.json")), 100)
     assert by_row(done, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(repr([d, b, n, n > 100]) for d, b, n in counts)
-    assert token_counts.prefix_tables(data.no_documents(spark), f"{TOKENIZERS}/byte_bpe_50k.json").isEmpty()
+    assert token_counts.prefix_tables(data.no_documents(spark), vocabulary("byte_bpe_50k.json")).isEmpty()
+
+
+PREFIX_TEXTS = [
+    "", "Hello  \n\nworld's  'real'  café 日本 12345 <|endoftext|>!!<|endof", "   \n\n\t x  ", "aaaaaaaaaaaa the the  thehe", "we'll they've you're 're '' 'r I'd 'l", "a  <|endoftext|>  b\u00a0 c\u3000\u3000d",
+    "!!<|endoftext|><|endoftext|>x", "--------------------------------------------------------------------------------- =", "\n \n  \n   end", "é" * 40 + " ﬁ\u0301\u0301 😀😀", "\r\n\r\n1 2  3", "'", " 'll", "x" + " " * 150 + "y" + "\n" * 70,
+]
 
 
 def test_every_prefix_and_budget():
-    with open(f"{TOKENIZERS}/byte_bpe_50k.json", "rb") as f:
+    with open(vocabulary("byte_bpe_50k.json"), "rb") as f:
         own = token_counts.PrefixCounter(f.read())
-    library = tokenizers.Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
-    for text in ["", "Hello  \n\nworld's  'real'  café 日本 12345 <|endoftext|>!!<|endof", "   \n\n\t x  ", "aaaaaaaaaaaa the the  thehe"]:
+    library = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    for text in PREFIX_TEXTS:
         table = own.table(own.pieces(text))
         whole = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
-        assert [own.count_at(text, table, len(text[:k].encode())) for k in range(len(text) + 1)] == whole
+        assert table.counts().tolist() == whole, text
+        assert [table.count_at(k) for k in range(len(text) + 1)] == whole
         for budget in range(max(whole) + 2):
-            assert own.truncate(text, table, budget) == text[: max(k for k, n in enumerate(whole) if n <= budget)]
+            assert table.longest_within(budget) == max(k for k, n in enumerate(whole) if n <= budget)
+    rng = random.Random(2)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "the", " ", "  ", "\n", "'", "'ll", "re", "1", "!", "é", "日", "<|", "<|endoftext|>", "\t"]) for _ in range(rng.randint(1, 25)))
+        whole = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert own.table(own.pieces(text)).counts().tolist() == whole, text
+
+
+def test_one_very_long_piece():
+    """Counts of a piece without any break, in time that grows with its length."""
+    with open(vocabulary("byte_bpe_50k.json"), "rb") as f:
+        own = token_counts.PrefixCounter(f.read())
+    library = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    table = own.table(own.pieces(text))
+    assert len(table.deltas) == len(text)
+    for k in (1, 255, 256, 257, 1000, 4321, 20_000):
+        assert table.count_at(k) == len(library.encode(text[:k], add_special_tokens=False).ids)
+
+
+def test_large_changes_are_kept():
+    table = token_counts.PrefixTable.made([bytes(5), [300, -299, 1], b"\x01\xff" * 300], 2)
+    assert table.counts().tolist()[5:9] == [0, 300, 1, 2] and table.count_at(6) == 300 and table.count_at(7) == 1 and table.total() == table.count_at(608) == 2
+    assert table.longest_within(1) == 7 and table.longest_within(2) == 608
+
+
+def test_truncation(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(PREFIX_TEXTS)] + [(None, "a b c d"), (99, None)], "doc_id long, text string")
+    tables = token_counts.prefix_tables(docs, vocabulary("byte_bpe_50k.json"))
+    library = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    for r in token_counts.truncated(docs, tables, 3).collect():
+        text = "a b c d" if r.doc_id is None else None if r.doc_id == 99 else PREFIX_TEXTS[r.doc_id]
+        if text is None:
+            assert r.text is None
+        else:
+            fits = [k for k in range(len(text) + 1) if len(library.encode(text[:k], add_special_tokens=False).ids) <= 3]
+            assert r.text == text[: max(fits)]
 
 
 def test_piece_programs_agree():
-    with open(f"{TOKENIZERS}/byte_bpe_50k.json", "rb") as f:
+    with open(vocabulary("byte_bpe_50k.json"), "rb") as f:
         own = token_counts.PrefixCounter(f.read())
     import numpy as np
 
@@ -375,6 +446,50 @@ def test_language_of_unspaced_runs(spark):
     assert [f[0] for f in found] == ["ru", "xx"] and [s[2] for s in found[1][2]] == ["ja", "xx"]
 
 
+def viterbi_brute(model, text):
+    """(language, score, spans) by the plain recurrence in Python floats."""
+    words, scores, _ = model.scores([text])
+    words, n = words[0], len(model.langs)
+    if not words:
+        return "und", 0.0, []
+    value, back = [float(x) for x in scores[0]], []
+    for row in scores[1:]:
+        best = max(range(n), key=lambda k: value[k])
+        came = [k if value[k] >= value[best] - langid.SWITCH else best for k in range(n)]
+        value = [max(value[k], value[best] - langid.SWITCH) + float(row[k]) for k in range(n)]
+        back.append(came)
+    at = max(range(n), key=lambda k: value[k])
+    path = [at]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    path.reverse()
+    letters = [sum(len(w) for w, p in zip(words, path) if p == k) for k in range(n)]
+    best = max(range(n), key=lambda k: letters[k])
+    sure = sum(len(w) * math.exp(float(row[best])) / sum(math.exp(float(x)) for x in row) for w, p, row in zip(words, path, scores) if p == best) / letters[best]
+    cuts = [0] + [i for i in range(1, len(path)) if path[i] != path[i - 1]] + [len(path)]
+    return model.langs[best], letters[best] / sum(letters) * sure, [(a, b, model.langs[path[a]]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def test_language_path_and_score_by_brute_force(spark):
+    rng = random.Random(4)
+    stock = {"en": "the cat sat on a mat and then it ran away from them all".split(), "fr": "le chat est sur la table et puis il est parti avec nous tous".split(), "de": "die katze sitzt auf der matte und dann ist sie weg von uns".split()}
+    texts = [" ".join(rng.choice(own) for _ in range(12)) for own in stock.values() for _ in range(6)]
+    docs, _ = data.documents(spark, texts, [x for x in stock for _ in range(6)])
+    model = langid.fit(docs)
+    mixed = []
+    for _ in range(60):
+        parts = [(rng.choice(list(stock)), rng.randint(1, 14)) for _ in range(rng.randint(1, 6))]
+        mixed.append(" ".join(rng.choice(stock[x] if rng.random() < 0.9 else rng.choice(list(stock.values()))) for x, n in parts for _ in range(n)))
+    mixed += ["xyz", "la " * 3000, "the cat " * 2000 + "le chat est " * 900, None, "", "1 2 3"]
+    found = model.predict(mixed)
+    settled = 0
+    for text, (lang, score, spans) in zip(mixed, found):
+        want = viterbi_brute(model, text)
+        assert (lang, spans) == (want[0], want[2]) and abs(score - want[1]) < 1e-4
+        settled += len(spans) == 1
+    assert 5 < settled < len(mixed) - 5
+
+
 def test_many_languages():
     import numpy as np
 
