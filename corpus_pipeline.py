@@ -1,12 +1,15 @@
 """A corpus pipeline over ``documents``, in stages that each call one operator of ``sparktab.llm``.
 
-1. language: documents of no known language go.
+1. language: documents of no known language go, null and empty texts among them.
 2. near_duplicates: of each group of similar texts (five-word shingles, similarity 0.8) the one with
    the smallest id stays, and of rows that repeat an id and its text, one.  Different texts under an id
    are judged each for itself.  Rows without an id are judged among each other.
 3. decontaminate: documents that hold a ten-word passage of a benchmark item go.
 4. secrets: secrets are replaced by a mark.
 5. tokens: token ids of what is left.
+
+Every stage takes empty tables and very long texts, decides row by row (repeated ids and null ids are rows of their own)
+and hands on the columns of documents, whatever they are called, but for the last, which returns ids, counts and digests.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from sparktab.llm import bpe, decontaminate, jaccard_join, langid
 from sparktab.llm import secrets as secret_scan
 from sparktab.llm.common import durable, read
-from sparktab.llm.queries import TOKENIZERS
+from sparktab.llm.queries import vocabulary
 
 #: Documents whose language is less certain than this are rejected.
 LEAST_SCORE = 0.3
@@ -53,7 +56,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    encoded = bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
