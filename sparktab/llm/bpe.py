@@ -21,6 +21,7 @@ extra columns are ignored.  A vocabulary file that asks for other steps than the
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -59,6 +60,7 @@ LOWER_CASE = {
 }
 
 _NEWER = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NEWER)
+_high = re.compile(f"[\\u{NEWER[0][0]:04x}-\U0010ffff]").search
 _capital = regex.compile("[" + "".join(map(chr, LOWER_CASE)) + "]").search
 
 
@@ -73,7 +75,7 @@ class Splitter:
         self._known = regex.compile("(?V1)" + known.replace("\0", rf"[[^\s\p{{L}}\p{{N}}]||[{_NEWER}]]")).findall
 
     def __call__(self, text: str) -> list[str]:
-        return self._find(text) if text.isascii() or not self._odd(text) else self._known(text)
+        return self._find(text) if text.isascii() or not _high(text) or not self._odd(text) else self._known(text)
 
 
 def byte_alphabet() -> list[str]:

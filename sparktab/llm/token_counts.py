@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .bpe import Splitter, byte_alphabet
 from .common import as_binary, file_bytes, slices
 from .hashing import Lookup
 
-CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 1 << 18, 64, 1 << 20
+CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 1 << 18, 1 << 24, 1 << 20
 #: Code points from one absolute count of a stored table to the next.
 STEP = 256
 #: The longest piece, in bytes, that is counted side by side with others.
@@ -71,10 +72,14 @@ class PrefixCounter:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self._find = Splitter(self.PIECES)
-        self._space = regex.compile(r"\s").match
+        self._space, self._blank = regex.compile(r"\s").match, regex.compile(r"\s+").fullmatch
         self._pairs: dict[tuple[int, int], bool] = {}
-        #: (how much each code point of a piece changes the count, tokens); the changes as bytes if each fits in one.
-        self._cache: dict[str, tuple[bytes | list[int], int]] = {}
+        #: How much each code point of a piece changes the count (as bytes if each fits in one), and its tokens.
+        self._changes_of: dict[str, bytes | list[int]] = {}
+        self._tokens_of: dict[str, int] = {}
+        #: Known pieces that need a look: white space, and such with a change beyond a byte.
+        self._odd: set[str] = set()
+        self._held = 0
         # For pieces side by side: token ids by a number of their bytes, and how each token was merged.
         by_size: dict[int, list[int]] = {}
         for t, b in raw.items():
@@ -128,30 +133,35 @@ class PrefixCounter:
 
     def learn(self, pieces: set[str]) -> None:
         """Count pieces that the cache does not hold, those of a length together."""
-        if len(self._cache) >= CACHE_PIECES:
-            self._cache.clear()
+        if len(self._tokens_of) >= CACHE_PIECES or self._held >= CACHE_BYTES:
+            self._changes_of, self._tokens_of, self._odd, self._held = {}, {}, set(), 0
         by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces.difference(self._cache):
+        for p in pieces.difference(self._tokens_of):
             raw = p.encode()
             if len(raw) <= SIDE_BY_SIDE:
                 by_size.setdefault(len(raw), []).append((p, raw))
+            else:
+                self._know(p, raw, self.piece_prefixes(raw))
         for size, group in by_size.items():
             for at in range(0, len(group), 1 << 14):
                 some = group[at : at + (1 << 14)]
                 counts = self.prefixes_many(np.frombuffer(b"".join(r for _, r in some), np.uint8).reshape(-1, size))
-                # A piece of this length has a token at most for each byte, so its changes fit in a byte.
-                changes = np.diff(counts, axis=1).astype(np.int8)
-                for (p, raw), own, row, n in zip(some, changes, counts, counts[:, -1].tolist()):
-                    plain = len(p) == size and p not in CONTRACTIONS
-                    self._cache[p] = (own.tobytes() if plain else self._changes(p, raw, row.tolist())), n
+                for (p, raw), row in zip(some, counts.tolist()):
+                    self._know(p, raw, row)
+
+    def _know(self, piece: str, raw: bytes, counts: list[int]) -> None:
+        self._changes_of[piece] = changes = self._changes(piece, raw, counts)
+        self._tokens_of[piece] = counts[-1]
+        self._held += len(raw)
+        if not isinstance(changes, bytes) or self._blank(piece):
+            self._odd.add(piece)
 
     @staticmethod
     def _changes(piece: str, raw: bytes, counts: list[int]) -> bytes | list[int]:
         """How much each code point of a piece changes the count, from the counts of its byte prefixes."""
-        ends = [i for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
-        at = [0, *(counts[i] for i in ends)]
+        at = counts if len(raw) == len(piece) else [0, *(counts[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80)]
         if piece in CONTRACTIONS:
-            at[2] = 2
+            at = [*at[:2], 2, *at[3:]]
         changes = [y - x for x, y in zip(at[:-1], at[1:])]
         return np.array(changes, np.int8).tobytes() if max(map(abs, changes), default=0) < 128 else changes
 
@@ -211,16 +221,10 @@ class PrefixCounter:
 
     def piece(self, piece: str) -> tuple[bytes | list[int], int]:
         """(change of the count at each code point, tokens) of one piece."""
-        known = self._cache.get(piece)
-        if known is None:
+        if piece not in self._tokens_of:
             raw = piece.encode()
-            counts = self.piece_prefixes(raw)
-            known = self._changes(piece, raw, counts), counts[-1]
-            if len(raw) <= CACHE_BYTES:
-                if len(self._cache) >= CACHE_PIECES:
-                    self._cache.clear()
-                self._cache[piece] = known
-        return known
+            self._know(piece, raw, self.piece_prefixes(raw))
+        return self._changes_of[piece], self._tokens_of[piece]
 
     def pieces(self, text: str) -> list[list[str] | str]:
         """The text in order: lists of pieces, and between them each special string."""
@@ -234,43 +238,54 @@ class PrefixCounter:
         """Tokens of a text."""
         return sum(1 if isinstance(p, str) else sum(self.piece(q)[1] for q in p) for p in self.pieces(text))
 
-    def table(self, parts: list[list[str] | str]) -> "PrefixTable":
-        """The prefix table of a text from its ``pieces``."""
+    def table(self, parts: list[list[str] | str], learnt: bool = False) -> "PrefixTable":
+        """The prefix table of a text from its ``pieces``; learnt: all pieces went through ``learn`` just now."""
+        if not learnt:
+            self.learn({p for part in parts if not isinstance(part, str) for p in part})
         out: list[bytes | list[int]] = []
-        #: Tokens of all pieces so far, and of the prefix that ends here (a cut one may be split otherwise).
-        base = actual = 0
-        get, one = self._cache.get, self.piece
+        changes_of, tokens_of = self._changes_of.__getitem__, self._tokens_of.__getitem__
+        base = 0
         for k, part in enumerate(parts):
             if isinstance(part, str):
                 # Cut within a special string, that is plain text, split together with what comes before it.
-                tail = "".join(parts[k - 1][-2:])
-                before = base - sum(one(q)[1] for q in parts[k - 1][-2:])
-                at = [actual, *(before + self.count(tail + part[:j]) for j in range(1, len(part))), base + 1]
+                tail = parts[k - 1][-2:]
+                before = base - sum(map(tokens_of, tail))
+                at = [base, *(before + self.count("".join(tail) + part[:j]) for j in range(1, len(part))), base + 1]
                 out.append([y - x for x, y in zip(at[:-1], at[1:])])
-                base = actual = base + 1
+                base += 1
                 continue
-            skip = 0
-            for q, piece in enumerate(part):
-                changes, n = get(piece) or one(piece)
-                if skip or actual != base:
-                    changes = [x - 256 if x > 127 else x for x in changes] if isinstance(changes, bytes) else list(changes)
-                    # The first code points are told already; the next one brings the count to that of whole pieces.
-                    first, changes = sum(changes[: skip + 1]), changes[skip + 1 :]
-                    if len(piece) > skip:
-                        changes = [base + first - actual, *changes]
-                        actual = base + n
-                    skip = 0
-                elif q + 1 < len(part) and self._space(piece) and self._space(part[q + 1]):
-                    # White space goes to its own piece but for the last one; cut there, it is one run.
-                    run, tokens = one(piece + part[q + 1][0])
-                    changes, actual, skip = run, base + tokens, 1
+            done = 0
+            for q in np.flatnonzero(np.fromiter(map(self._odd.__contains__, part), bool, len(part))).tolist():
+                if q < done:
+                    continue
+                out.append(b"".join(map(changes_of, part[done:q])))
+                base += sum(map(tokens_of, part[done:q]))
+                after = part[q + 1 : q + 3]
+                if after and self._space(part[q]) and self._space(after[0]):
+                    # White space goes to its own piece but for the last one; cut there, it is one run.  The next
+                    # code point brings the count to that of whole pieces.
+                    run, actual = self.piece(part[q] + after[0][0])
+                    actual += base
+                    last = after[:1] if len(after[0]) > 1 else after
+                    base += tokens_of(part[q])
+                    whole = [base + x for x in accumulate(x for p in last for x in _listed(changes_of(p)))]
+                    base += sum(map(tokens_of, last))
+                    told = [actual, *whole[1:]]
+                    out += [run, [y - x for x, y in zip(told[:-1], told[1:])]]
+                    done = q + 1 + len(last)
                 else:
-                    actual = base + n
-                base += n
-                out.append(changes)
+                    out.append(changes_of(part[q]))
+                    base += tokens_of(part[q])
+                    done = q + 1
+            out.append(b"".join(map(changes_of, part[done:])))
+            base += sum(map(tokens_of, part[done:]))
         return PrefixTable.made(out, base)
 
 
+def _listed(changes: bytes | list[int]) -> list[int]:
+    return np.frombuffer(changes, np.int8).tolist() if isinstance(changes, bytes) else changes
+
+
 class PrefixTable:
     """Token counts at every prefix of a text."""
 
@@ -331,7 +346,7 @@ def _worker(content: bytes) -> PrefixCounter:
 def _tables(counter: PrefixCounter, texts: list[str | None]) -> list[PrefixTable]:
     parts = [counter.pieces(t or "") for t in texts]
     counter.learn({p for own in parts for group in own if not isinstance(group, str) for p in group})
-    return [counter.table(own) for own in parts]
+    return [counter.table(own, learnt=True) for own in parts]
 
 
 def prefix_tables(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
