@@ -38,14 +38,35 @@ _ISC_KEEP = ", provided that the above copyright notice and this permission noti
 
 LICENSES = {
     "MIT": f"MIT License\n\n{_HOLDER}\n\n{_MIT_GRANT}, subject to the following conditions:\n\n{_MIT_NOTICE}\n\n{_MIT_AS_IS}",
+    "MIT, titled 'The MIT License'": f"The MIT License\n\n{_HOLDER}\n\n{_MIT_GRANT}, subject to the following conditions:\n\n{_MIT_NOTICE}\n\n{_MIT_AS_IS}",
+    "MIT, titled 'The MIT License (MIT)'": f"The MIT License (MIT)\n\n{_HOLDER}\n\n{_MIT_GRANT}, subject to the following conditions:\n\n{_MIT_NOTICE}\n\n{_MIT_AS_IS}",
     "MIT, untitled": f"{_HOLDER}\n\n{_MIT_GRANT}, subject to the following conditions:\n\n{_MIT_NOTICE}\n\n{_MIT_AS_IS}",
     "MIT-0": f"MIT No Attribution\n\n{_HOLDER}\n\n{_MIT_GRANT}.\n\n{_MIT_AS_IS}",
     "ISC": f"ISC License\n\n{_HOLDER}\n\n{_ISC_GRANT}{_ISC_KEEP}\n\n{_ISC_AS_IS}",
     "ISC, untitled": f"{_HOLDER}\n\n{_ISC_GRANT}{_ISC_KEEP}\n\n{_ISC_AS_IS}",
     "0BSD": f"{_HOLDER}\n\n{_ISC_GRANT}.\n\n{_ISC_AS_IS}",
+    "BSD-2-Clause, titled": f"BSD 2-Clause License\n\n{_HOLDER}\n\n{_BSD_HEAD}\n\n{_BSD_AS_IS}",
+    "BSD-3-Clause, titled": f"BSD 3-Clause License\n\n{_HOLDER}\n\n{_BSD_HEAD}\n\n{_BSD_THIRD}\n\n{_BSD_AS_IS}",
     "BSD-2-Clause": f"{_HOLDER}\n\n{_BSD_HEAD}\n\n{_BSD_AS_IS}",
     "BSD-3-Clause": f"{_HOLDER}\n\n{_BSD_HEAD}\n\n{_BSD_THIRD}\n\n{_BSD_AS_IS}",
     "Zlib": f"{_HOLDER}\n\n{_ZLIB}",
     "Unlicense": _UNLICENSE,
     "Apache-2.0, notice": f"{_HOLDER}\n\n{_APACHE_NOTICE}",
 }
+
+#: Digests of the canonical forms of long published texts (as Debian ships them), fixed values.
+DIGESTS = {
+    "Apache-2.0": "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f",
+    "GFDL-1.3": "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7",
+    "GPL-1.0": "e80b630fa4f92f7da9cffbd75699f62bfac51ce5b33da44e74b5acc53e5187f6",
+    "GPL-2.0": "ada43b21b16dd64b4b8f1d9c2ab43ff16f75a8f0f835fc2f37a0c7e65f28d243",
+    "GPL-3.0": "861bd38e22ab70ae8dcfee80ab5d4466cb70842e09c5df25ffd0ff2f1661dd9c",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "4be4a6251869e153404f424bbd1c116ada60f8969d5610b406e2a430e206b0bc",
+    "MPL-2.0": "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",
+}

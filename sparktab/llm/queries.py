@@ -183,15 +183,17 @@ FROM g
 def license_sql() -> str:
     def canonical(x: str) -> str:
         x = f"lower({x})"
-        x = f"regexp_replace({x}, '{licenses.COPYRIGHT_LINE}', '\n', 'g')".replace("'\n'", "chr(10)")
-        x = f"regexp_replace({x}, '{licenses.RESERVED_LINE}', chr(10), 'g')"
+        for _ in range(2):
+            x = f"regexp_replace({x}, '{licenses.COPYRIGHT}', chr(10) || '\\1', 'g')"
         for old, new in licenses.SPELLINGS:
             x = f"replace({x}, '{old}', '{new}')"
         return f"sha256(trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g')))"
 
     texts = ", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in sorted(licenses.LICENSES.items()))
+    digests = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.DIGESTS.items()))
     return f"""
-WITH known AS (SELECT license_id, {canonical("text")} AS digest FROM (VALUES {texts}) AS t(license_id, text)),
+WITH named AS (SELECT license_id, {canonical("text")} AS digest FROM (VALUES {texts}) AS t(license_id, text) UNION ALL SELECT * FROM (VALUES {digests}) AS t(license_id, digest)),
+known AS (SELECT digest, min(license_id) AS license_id FROM named WHERE digest <> sha256('') GROUP BY digest),
 d AS (SELECT doc_id, {canonical("text")} AS digest FROM documents)
 SELECT doc_id, d.digest, license_id FROM d LEFT JOIN known ON known.digest = d.digest
 """

@@ -410,6 +410,40 @@ def test_licenses(spark):
     assert licenses.scan(docs).count() == len(rows) and licenses.scan(data.no_documents(spark)).isEmpty()
 
 
+def test_licenses_on_one_line_and_their_notices(spark):
+    """Notices go without the text beside them; hostile lines take no long time; long texts match by digest."""
+    import os
+    import time
+
+    mit = LICENSES["MIT"]
+    line = " ".join(mit.replace("<year> <holder>", "2020 Some One and Others").split())
+    texts = [
+        line, mit.replace("<year> <holder>", "Some One"), mit.replace("Copyright (c) <year> <holder>", "© 2019, 2020 X\n(C) Copyright 2021 Y GmbH. All Rights Reserved."), "Copyright (c) 2020 Some One",
+        " ".join(LICENSES["BSD-2-Clause"].replace("<year> <holder>", "1999 X. All rights reserved.").split()), "(c) " * 60_000, "(c) 2020 " * 30_000, "copyright " * 30_000, mit.replace("Permission is hereby granted", "Permission is not granted"),
+        "Copyright (c) " + "x" * 300 + " " + mit, "The MIT License (MIT)\n" + LICENSES["MIT, untitled"],
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert time.time() - began < 30
+    assert [found[i].license_id for i in range(len(texts))] == ["MIT", "MIT", "MIT", None, "BSD-2-Clause", None, None, None, None, None, "MIT, titled 'The MIT License (MIT)'"]
+    assert found[3].digest == sha("") != found[5].digest
+    folder = "/usr/share/common-licenses"
+    if os.path.isdir(folder):
+        for name, file in (("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")):
+            with open(f"{folder}/{file}") as f:
+                text = f.read()
+            own = spark.createDataFrame([(1, text), (2, " ".join(text.upper().split())), (3, text + " more")], "doc_id long, text string")
+            assert sorted((r.doc_id, r.license_id) for r in licenses.scan(own).collect() if r.license_id) == [(1, name), (2, name)]
+
+
+def test_license_table(spark):
+    """A table of licences, with nulls, an empty text and two names of one text."""
+    table = spark.createDataFrame([("A", "my own terms"), ("B", "My own, terms!"), ("C", None), ("D", "..."), (None, "no name")], "license_id string, text string")
+    docs = spark.createDataFrame([(1, "MY OWN TERMS"), (2, "!!"), (3, None), (4, "no name")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license_id) for r in licenses.scan(docs, licenses=table).collect()) == [(1, "A"), (2, None), (3, None), (4, None)]
+
+
 def test_language_id(spark):
     english, french = "the cat sat on the mat and then it ran away from them", "le chat est sur la table et puis il est parti avec nous"
     texts = [english, french, "ЖЖЖ это русский текст", None, "", "123 !!", f"{english} {english} {french} {french} {french}", english, french, "это ещё один текст", english, french] * 2
