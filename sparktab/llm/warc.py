@@ -11,15 +11,17 @@ end by the response's id.
 
 States of a revisit: ``resolved``; ``no-url``; ``no-response`` (no earlier full response);
 ``no-validator`` (none in common); ``mismatch`` (a validator differs).  Only ``resolved`` rows
-get a payload and headers.  A response with the revisit's own time is not earlier; of
+get a payload and headers; headers that differ in case alone are one.  A response with the revisit's own time is not earlier; of
 responses with one time the largest record_id is the latest.  Records without time cannot be ordered: such
-responses are ignored and such revisits are ``no-response``.  Repeated rows are records of their own.
+responses are ignored and such revisits are ``no-response``.  Repeated rows are records of their own; extra columns are ignored; an empty table
+gives none.  Very long payloads travel once, with their revisit.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -29,11 +31,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable
+from .common import SLICE_BYTES, durable, in_batches
 
 #: Header fields that a not-modified answer must not change, fixed values (lower case).
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 
+#: Bytes of a compressed member that are read at once.
+CHUNK = 1 << 16
+
+_filled = re.compile(b"[^\\0]").search
+
 #: Query parameters that do not name a page, as a pattern.
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(=|$)"
 
@@ -74,11 +81,23 @@ def _weak(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
+def folded_headers(headers: Column) -> Column:
+    """Headers by lower-case name, in order of names; the values of names that differ in case alone are joined
+    by comma and space, in order, as those of a repeated field."""
+    entries = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("own"), e["value"].alias("value"))))
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+
+    def joined(name: Column) -> Column:
+        values = F.filter(F.transform(F.filter(entries, lambda e: e["key"] == name), lambda e: e["value"]), lambda v: v.isNotNull())
+        return F.when(F.size(values) > 0, F.array_join(values, ", "))
+
+    return F.map_from_arrays(names, F.transform(names, joined))
+
+
 def merged_headers(stored: Column, update: Column) -> Column:
     """Stored headers (names in lower case) under the permitted ones of a not-modified answer."""
-    low = lambda m: F.map_from_entries(F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
-    permitted = F.map_filter(low(update), lambda k, v: ~k.isin(*KEPT_HEADERS))
-    return F.map_concat(F.map_filter(low(stored), lambda k, v: ~F.array_contains(F.map_keys(permitted), k)), permitted)
+    permitted = F.map_filter(folded_headers(update), lambda k, v: ~k.isin(*KEPT_HEADERS))
+    return F.map_concat(F.map_filter(folded_headers(stored), lambda k, v: ~F.array_contains(F.map_keys(permitted), k)), permitted)
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -120,33 +139,65 @@ def _fields(block: bytes) -> tuple[bytes, dict[str, str]]:
     return first, fields
 
 
-def _members(raw: bytes) -> Iterator[bytes]:
-    """The file's bytes, or what each gzip member of it holds."""
+def _members(raw: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """The file's bytes, or what each gzip member of it holds, with what is wrong about it.
+
+    A member is read in chunks from its own place, so the work grows with the file's length; behind a broken one the
+    next that can be one is tried.
+    """
     if raw[:2] != b"\x1f\x8b":
-        yield raw
+        yield raw, None
         return
-    while raw:
-        one = zlib.decompressobj(31)
-        yield one.decompress(raw) + one.flush()
-        raw = one.unused_data.lstrip(b"\0")
+    view, at = memoryview(raw), 0
+    while (found := _filled(raw, at)) is not None:
+        at = pos = found.start()
+        one, parts = zlib.decompressobj(31), []
+        try:
+            while not one.eof and pos < len(raw):
+                parts.append(one.decompress(view[pos : pos + CHUNK]))
+                pos += CHUNK
+        except zlib.error:
+            yield b"".join(parts), "broken compression"
+            at = raw.find(b"\x1f\x8b\x08", at + 1)
+            if at < 0:
+                return
+            continue
+        if not one.eof:
+            yield b"".join(parts), "cut short"
+            return
+        at = min(pos, len(raw)) - len(one.unused_data)
+        yield b"".join(parts), None
+
+
+def _broken(reason: str) -> dict:
+    return {"kind": "broken", "url": None, "ts": None, "status": None, "etag": None, "last_modified": None, "digest": None, "headers": {"error": reason}, "payload": b""}
 
 
 def parse(raw: bytes) -> Iterator[dict]:
     """The response and revisit records of a WARC file (plain, or one gzip member for each record).
 
-    A record that is cut short ends its file; other kinds of records are passed over.
+    Other kinds of records are passed over.  What cannot be read gives a record of kind ``broken`` with the
+    reason under the header ``error``: a length that is no number (reading goes on at the next record's mark), a record
+    or member that is cut short, broken compression.
     """
-    for part in _members(raw):
+    for part, wrong in _members(raw):
         at = 0
+        whole = True
         while (at := part.find(b"WARC/", at)) >= 0:
             end = part.find(b"\r\n\r\n", at)
             if end < 0:
+                whole = False
                 break
             _, warc = _fields(part[at:end])
-            length = int(warc.get("content-length", "0") or 0)
-            body = part[end + 4 : end + 4 + length]
-            at = end + 4 + length
-            if len(body) < length:
+            length = warc.get("content-length", "")
+            if not (length.isascii() and length.isdigit() and len(length) < 19):
+                yield _broken("bad length")
+                at = end + 4
+                continue
+            body = part[end + 4 : end + 4 + int(length)]
+            at = end + 4 + int(length)
+            if len(body) < int(length):
+                whole = False
                 break
             if warc.get("warc-type") not in ("response", "revisit"):
                 continue
@@ -154,14 +205,20 @@ def parse(raw: bytes) -> Iterator[dict]:
             status, headers = _fields(head)
             code = status.split(b" ")[1:2]
             yield {
-                "kind": warc["warc-type"], "url": warc.get("warc-target-uri"), "ts": warc.get("warc-date"), "status": int(code[0]) if code and code[0].isdigit() else None,
+                "kind": warc["warc-type"], "url": warc.get("warc-target-uri"), "ts": warc.get("warc-date"), "status": int(code[0]) if code and re.fullmatch(rb"[0-9]{1,9}", code[0]) else None,
                 "etag": headers.get("etag"), "last_modified": headers.get("last-modified"), "digest": warc.get("warc-payload-digest"), "headers": headers, "payload": payload,
             }
+        if wrong or not whole:
+            yield _broken(wrong or "cut short")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files as a table (``SCHEMA``); record_id numbers them by file and place."""
-    kind = pa.struct([("kind", pa.string()), ("url", pa.string()), ("ts", pa.string()), ("status", pa.int32()), ("etag", pa.string()), ("last_modified", pa.string()), ("digest", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+    """Records of WARC files as a table (``SCHEMA``); record_id numbers them by file and place.
+
+    A file is one task's work and goes through it as a whole (Spark's limit is 2 GB), its records leave it in slices.
+    """
+    fields = [("kind", pa.string()), ("url", pa.string()), ("ts", pa.string()), ("status", pa.int32()), ("etag", pa.string()), ("last_modified", pa.string()), ("digest", pa.string())]
+    kind = pa.struct([*fields, ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,14 +227,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 size = 0
                 for one in parse(raw.as_py()):
                     held.append(one | {"headers": list(one["headers"].items())})
-                    size += len(one["payload"])
-                    if size > 8 << 20:
+                    size += len(one["payload"]) + 1024
+                    if size > SLICE_BYTES:
                         yield pa.RecordBatch.from_struct_array(pa.array(held, kind))
                         held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_struct_array(pa.array(held, kind))
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = in_batches(spark.read.format("binaryFile").load(path).select("content"))
     found = files.mapInArrow(run, "kind string, url string, ts string, status int, etag string, last_modified string, digest string, headers map<string,string>, payload binary")
     return found.select(F.monotonically_increasing_id().alias("record_id"), "kind", "url", F.try_to_timestamp("ts").alias("ts"), "status", "etag", "last_modified", "digest", "headers", "payload")
 

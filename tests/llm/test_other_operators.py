@@ -141,6 +141,41 @@ def test_warc_files(spark, tmp_path):
         folder.mkdir()
         (folder / name).write_bytes(warc.to_warc(records, packed) + (b"" if packed else b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut"))
         table = warc.read_warc(spark, str(folder))
-        assert sorted(r.kind for r in table.collect()) == ["response", "revisit"]
+        assert sorted(r.kind for r in table.collect()) == ["broken", "response", "revisit"][packed:]
         row = warc.resolve(table).first()
         assert (row.state, bytes(row.payload), row.headers["date"]) == ("resolved", records[0]["payload"], "now")
+
+
+def test_headers_that_differ_in_case(spark):
+    rows = [
+        (1, "response", "http://a.com", at(1), 200, '"1"', None, None, {"ETag": '"1"', "etag": '"2"', "Link": "x", "LINK": None, "Vary": "a"}, b"x" * 3_000_000),
+        (2, "revisit", "http://a.com", at(2), 304, '"1"', None, None, {"Vary": "b", "vary": "c", "Te": "no", "X": None}, None),
+        (3, "revisit", "http://a.com", at(3), 304, '"1"', None, None, None, None),
+    ]
+    found = {r.record_id: r for r in warc.resolve(spark.createDataFrame(rows, warc.SCHEMA)).collect()}
+    assert found[2].headers == {"etag": '"1", "2"', "link": "x", "vary": "b, c", "x": None} and len(found[2].payload) == 3_000_000
+    assert found[3].headers == {"etag": '"1", "2"', "link": "x", "vary": "a"}
+
+
+def test_broken_warc_files(spark, tmp_path):
+    def one(i, size=100):
+        return warc.to_warc([{"kind": "response", "url": f"http://a.com/{i}", "ts": "2024-01-01T00:00:01Z", "headers": {}, "payload": b"z" * size}], True)
+
+    middle = bytearray(one(2, 5000))
+    middle[20:30] = b"\xff" * 10
+    files = {"a.gz": one(1) + bytes(middle) + one(3) + b"\0" * 50, "b.gz": one(4) + one(5)[:-20], "c": b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nx\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://a.com/6\r\nContent-Length: 0\r\n\r\n", "d": b"", "e": b"\x1f\x8b"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.url for r in found if r.kind == "response") == [f"http://a.com/{i}" for i in (1, 3, 4, 6)]
+    assert sorted(r.headers["error"] for r in found if r.kind == "broken") == ["bad length", "broken compression", "cut short", "cut short"]
+    assert warc.resolve(warc.read_warc(spark, str(tmp_path))).isEmpty()
+
+
+def test_many_members_take_time_in_proportion():
+    import time
+
+    member = warc.to_warc([{"kind": "revisit", "url": "http://a.com", "ts": "2024-01-01T00:00:01Z", "payload": bytes(np.random.default_rng(1).integers(0, 256, 30_000, dtype=np.uint8))}])
+    began = time.time()
+    assert sum(1 for _ in warc.parse(member * 3000)) == 3000
+    assert time.time() - began < 20
