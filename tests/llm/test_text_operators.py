@@ -179,6 +179,33 @@ def test_longest_match_and_its_place(spark):
     assert (row.longest, row.longest_item, row.longest_at, [(h.start, h.end) for h in row.hits]) == (17, "7", 2, [(2, 19)])
 
 
+def test_longest_matches_by_brute_force(spark):
+    """Passages that many items and documents share, short windows, repeated items, in one and in several blocks."""
+    rng = random.Random(7)
+    common = data.words(rng, 30).split()
+    items = [(i, " ".join(common[i : i + 18] + data.words(rng, 9, 30).split())) for i in range(12)] + [(50, "w1 w2"), (51, " ".join(common)), (51, " ".join(common[5:])), (52, " ".join(common)), (53, "w3")]
+    texts = [" ".join(data.words(rng, 8, 30).split() + common[rng.randint(0, 9) :] + data.words(rng, 8, 30).split()) for _ in range(20)] + ["w1 w2 w1 w2", "w3", "w4"]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for doc, text in enumerate(texts):
+        own, found = text.split(), []
+        for item, t in items:
+            x = t.split()
+            n = min(10, len(x))
+            for at in range(len(own)):
+                for i in range(len(x) - n + 1):
+                    m = next((m for m in range(min(len(x) - i, len(own) - at) + 1) if m == min(len(x) - i, len(own) - at) or x[i + m] != own[at + m]), 0)
+                    if m >= n:
+                        found.append((-m, at, str(item)))
+        want[doc] = (sorted({f[2] for f in found}), -min(found)[0] if found else 0, min(found)[1] if found else None, {f[2] for f in found if f[:2] == min(found)[:2]})
+    for words in (decontaminate.BLOCK_WORDS, 25):
+        old, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, words
+        for r in decontaminate.find(docs, bench).collect():
+            names, length, at, best = want[r.doc_id]
+            assert (r["items"], r.longest, r.longest_at) == (names, length, at) and (r.longest_item in best if best else r.longest_item is None)
+        decontaminate.BLOCK_WORDS = old
+
+
 def test_bpe(spark):
     docs, rows = data.documents(spark)
     library = tokenizers.Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
