@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +14,9 @@ from ..sources.tables import drop, durable  # noqa: F401
 
 #: Text handed to one step of a Python worker, in bytes; bounds what a worker holds at once.
 SLICE_BYTES = 4 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Rows handed to a Python worker at once, in bytes, unless the session says otherwise.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -27,6 +29,13 @@ def file_bytes(path: str) -> bytes:
         return f.read()
 
 
+def _let_go() -> None:
+    """Give memory that is free in this process back to the machine: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches with about ``limit`` bytes of the given binary column.
 
@@ -44,6 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
                 start, held = i, 0
             held += size
         yield batch.slice(start, n - start)
+    _let_go()
 
 
 def in_batches(df: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +166,7 @@ class Model:
         words = words_of(texts)
         self.learn(set().union(*words))
         offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-        at = np.fromiter((self._place[w] for own in words for w in own), np.int64, int(offsets[-1]))
+        at = np.fromiter(map(self._place.__getitem__, chain.from_iterable(words)), np.int64, int(offsets[-1]))
         return words, self._held[at], offsets
 
     def settled(self, scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -248,7 +249,7 @@ class Model:
         if not self.langs:
             return [("und", 0.0, [])] * len(texts)
         words, offsets, scores, path = self.paths(texts)
-        letters = np.fromiter((len(w) for ws in words for w in ws), np.float64, len(path))
+        letters = np.fromiter(map(len, chain.from_iterable(words)), np.float64, len(path))
         chance = np.exp(scores[np.arange(len(path)), path]) / np.exp(scores).sum(axis=1) if len(path) else np.zeros(0)
         out = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
