@@ -3,7 +3,8 @@
 Links are first contracted where they lie: a task replaces the links of a slice by stars around the
 smallest id that they reach.  Every step is an aggregation of the smallest neighbour and an equi-join that brings it
 back, so no node's links are gathered; the number of rounds grows with the logarithm of the longest path.
-Each round is written to the shared checkpoint folder.
+As soon as at most ``CONTRACTED`` links are left, one task settles them.  Each round is written to the shared
+checkpoint folder.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, durable
 
-#: Links that a task contracts at once.
+#: Links that a task contracts at once (16 MB), and up to which one task settles all that are left.
 CONTRACTED = 1 << 20
 
 
@@ -47,11 +48,13 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[low[some]])], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= CONTRACTED:
+        if held and n + batch.num_rows > CONTRACTED:
             yield star(held)
-            held = []
+            held, n = [], 0
+        held.append(batch)
+        n += batch.num_rows
     if held:
         yield star(held)
 
@@ -68,6 +71,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = durable(some.mapInArrow(contracted, "a long, b long").distinct())
     mark = _mark(edges)
     while mark[0]:
+        if mark[0] <= CONTRACTED:
+            done = durable(edges.coalesce(1).mapInArrow(contracted, "a long, b long"))
+            drop(edges)
+            edges = done
+            break
         # Large star: link every neighbour above a node to the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))

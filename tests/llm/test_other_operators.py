@@ -2,6 +2,7 @@ import datetime
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from sparktab.llm import embeddings, graph, warc
 
@@ -14,7 +15,10 @@ def components_brute(links):
     return low
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components(spark, monkeypatch, few):
+    """In one task where few links are left, and by rounds of stars."""
+    monkeypatch.setattr(graph, "CONTRACTED", few)
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
     found = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
