@@ -1,12 +1,17 @@
 """Command line: ``python -m sparktab COMMAND ...``.
 
-compress [--store DIR] [-q] FILE|-   the document on standard output, notes on standard error
-decompress [--store DIR] FILE|-      the JSON value (keys in order)
-fsck DIR                             counts of a store, broken cells, leaked objects
-gc [--delete] DIR                    objects that no document reaches; with --delete they go
-export DIR DOCUMENT FILE             a document's index and objects as one JSON file
-import DIR FILE                      such a file into a store
-fetch DIR DOCUMENT ID... [--query Q] stored values
+compress [--store [DIR]] [-q] FILE|-|URL  the document on standard output, notes on standard error
+decompress [--store [DIR]] FILE|-    the JSON value (keys in order)
+fsck [--documents FILE...] [DIR]     counts of a store, broken cells, leaked objects, entries that no given document uses
+list [--objects] [DIR]               the documents of a store, or its objects, in order
+gc [--delete] [DIR]                  objects that no document reaches; with --delete they go
+export [--store DIR] DOCUMENT FILE   a document's index and objects as JSON, a line for each part
+import [--store DIR] FILE            such a file into a store
+fetch [--store DIR] DOCUMENT ID... [--query Q]  stored values
+web [--port N]                       a page on this machine
+tools [--store DIR]                  JSON-RPC on standard input and output
+
+DIR is that of SPARKTAB_STORE, or .sparktab in the home directory, unless given.
 
 Exit status: 0 fine, 1 broken cells or refused bundles, 2 called wrong or empty input.
 """
@@ -14,6 +19,7 @@ Exit status: 0 fine, 1 broken cells or refused bundles, 2 called wrong or empty
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 #: How many lines of a list are shown.
@@ -28,9 +34,20 @@ def _session():
     return spark
 
 
+def default_root() -> str:
+    return os.environ.get("SPARKTAB_STORE") or os.path.join(os.path.expanduser("~"), ".sparktab")
+
+
 def _input(name: str) -> bytes:
     if name == "-":
         return sys.stdin.buffer.read()
+    if name.startswith(("http://", "https://")):
+        from .sources.remote import fetched
+
+        raw, error = fetched(name)
+        if error:
+            _say(error)
+        return raw or b""
     with open(name, "rb") as f:
         return f.read()
 
@@ -95,9 +112,25 @@ def _fsck(args) -> int:
     print(f"{held.index.select('doc_id').distinct().count()} documents, {held.index.count()} cells, {held.objects.count()} objects")
     broken = _list("BROKEN", store.broken(held.index, held.objects), "doc_id", "cell_id", "name", "problem")
     _list("LEAKED", store.leaked(held.index, held.objects), "name")
+    if args.documents:
+        from .sources.documents import used_cells
+
+        given = held.spark.createDataFrame([(_input(name).decode(),) for name in args.documents], "document string")
+        used = used_cells(given)
+        ours = held.index.join(used.select("doc_id").distinct(), "doc_id", "left_semi")
+        _list("ORPHANED", store.orphaned(ours, used), "doc_id", "cell_id", "name")
     return 1 if broken else 0
 
 
+def _listing(args) -> int:
+    from .operators.store import Store
+
+    held = Store(_session(), args.store)
+    for r in (held.names() if args.objects else held.documents()).toLocalIterator():
+        print(r[0])
+    return 0
+
+
 def _gc(args) -> int:
     from .operators.store import Store
 
@@ -112,12 +145,15 @@ def _export(args) -> int:
     from .operators import store
 
     held = store.Store(_session(), args.store)
-    row = store.bundles(held.index.filter(F.col("doc_id") == args.document), held.objects).first()
-    if row is None:
+    if not held.has_document(args.document):
         _say(f"no document {args.document}")
         return 2
+    parts = store.bundles(held.index.filter(F.col("doc_id") == args.document), held.objects).orderBy("part").collect()
+    if any(r.bundle is None for r in parts):
+        _say("a stored value is missing or has changed")
+        return 1
     with open(args.file, "w") as f:
-        f.write(row.bundle)
+        f.writelines(r.bundle + "\n" for r in parts)
     return 0
 
 
@@ -125,7 +161,7 @@ def _import(args) -> int:
     from .operators.store import Store
 
     spark = _session()
-    refused = Store(spark, args.store).import_bundles(spark.createDataFrame([(_input(args.file).decode(),)], "bundle string")).collect()
+    refused = Store(spark, args.store).import_bundles(spark.createDataFrame([(x,) for x in _input(args.file).decode().split("\n") if x.strip()], "bundle string")).collect()
     for r in refused:
         _say(f"refused: {r.problem}")
     return 1 if refused else 0
@@ -143,6 +179,25 @@ def _fetch(args) -> int:
     return 0
 
 
+def _web(args) -> int:
+    from .serving import HOST, web_server
+
+    with web_server(_session(), args.port) as server:
+        _say(f"http://{HOST}:{server.server_address[1]}/")
+        try:
+            server.serve_forever()
+        except KeyboardInterrupt:
+            pass
+    return 0
+
+
+def _tools(args) -> int:
+    from .serving import serve_tools
+
+    serve_tools(_session(), args.store)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sparktab", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -154,19 +209,39 @@ def main(argv: list[str] | None = None) -> int:
         own.set_defaults(run=run)
         return own
 
+    def rooted(own) -> None:
+        own.add_argument("--store", default=default_root())
+
     one = command("compress", _compress, "file")
-    one.add_argument("--store")
+    one.add_argument("--store", nargs="?", const=default_root())
     one.add_argument("-q", "--quiet", action="store_true")
-    command("decompress", _decompress, "file").add_argument("--store")
-    command("fsck", _fsck, "store")
-    command("gc", _gc, "store").add_argument("--delete", action="store_true")
-    command("export", _export, "store", "document", "file")
-    command("import", _import, "store", "file")
-    one = command("fetch", _fetch, "store", "document")
+    command("decompress", _decompress, "file").add_argument("--store", nargs="?", const=default_root())
+    one = command("fsck", _fsck)
+    one.add_argument("store", nargs="?", default=default_root())
+    one.add_argument("--documents", nargs="+", default=[])
+    one = command("list", _listing)
+    one.add_argument("store", nargs="?", default=default_root())
+    one.add_argument("--objects", action="store_true")
+    one = command("gc", _gc)
+    one.add_argument("store", nargs="?", default=default_root())
+    one.add_argument("--delete", action="store_true")
+    rooted(command("export", _export, "document", "file"))
+    rooted(command("import", _import, "file"))
+    one = command("fetch", _fetch, "document")
     one.add_argument("ids", nargs="+")
     one.add_argument("--query")
+    rooted(one)
+    command("web", _web).add_argument("--port", type=int, default=8737)
+    rooted(command("tools", _tools))
     args = parser.parse_args(argv)
-    return args.run(args)
+    try:
+        status = args.run(args)
+        sys.stdout.flush()
+    except BrokenPipeError:
+        # A reader that stops early ends the program quietly; nothing is left to flush at the end.
+        os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())
+        return 0
+    return status
 
 
 if __name__ == "__main__":

@@ -11,6 +11,8 @@ NULL, EMPTY_STRING, EMPTY_ARRAY, HANDLE = "\\N", "\\E", "\\A", "\\@"
 ID_WIDTH, MAX_IDS = 4, 10_000
 #: Hex digits of a content name.
 NAME_WIDTH = 24
+#: Elements that are summed up at once.
+RUN = 256
 
 
 def escaped(text: Column) -> Column:
@@ -28,9 +30,20 @@ def deltas(numbers: Column) -> Column:
 
 
 def from_deltas(numbers: Column) -> Column:
-    """Running sums."""
-    start = F.expr("cast(array() as array<bigint>)")
-    return F.aggregate(numbers, start, lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x)))
+    """Running sums, in blocks: an array that grows is copied for each element of a block and each block."""
+    none = F.expr("cast(array() as array<bigint>)")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(numbers) - 1, F.lit(0)), F.lit(RUN)), lambda at: F.slice(numbers, at + 1, RUN))
+
+    def run(start: Column, block: Column) -> Column:
+        return F.aggregate(block, none, lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), start) + x)))
+
+    summed = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).cast("bigint").alias("so_far"), F.expr("cast(array() as array<array<bigint>>)").alias("out")),
+        lambda s, b: F.struct((s["so_far"] + F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("so_far"), F.concat(s["out"], F.array(run(s["so_far"], b))).alias("out")),
+        lambda s: F.flatten(s["out"]),
+    )
+    return F.when(F.size(numbers) == 0, none).when(numbers.isNotNull(), summed)
 
 
 def never_falls(numbers: Column) -> Column:
@@ -44,8 +57,8 @@ def content_name(text: Column) -> Column:
 
 
 def cell_id(n: Column) -> Column:
-    """A number as a cell id; an error beyond the last one."""
-    return F.when(n < MAX_IDS, F.lpad(n.cast("string"), ID_WIDTH, "0")).otherwise(F.raise_error(F.lit("too many stored cells in one document")))
+    """A number as a cell id; null beyond the last one."""
+    return F.when(n < MAX_IDS, F.lpad(n.cast("string"), ID_WIDTH, "0"))
 
 
 def requested_id(text: Column) -> Column:

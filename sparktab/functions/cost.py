@@ -7,7 +7,9 @@ tokeniser can be put in its place as any function from a string column to an int
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,25 +24,32 @@ def proxy(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))), F.lit(0)).cast("long")
 
 
+#: Punctuation is a token of its own, so a list of parts costs what the parts and the marks between them cost.
+proxy.additive = True
+
+
 def tiktoken_model(path: str, pattern: str) -> TokenModel:
     """An exact model from a rank file, as a pandas UDF; the file is read on the driver."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     with open(path, "rb") as f:
         content = f.read()
 
-    @pandas_udf("long")
+    @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        import base64
+        own = _encoding(content, pattern)
+        return texts.map(lambda t: len(own.encode_ordinary(t)) if t else 0).astype("int64")
 
-        import tiktoken
+    return count
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return texts.map(lambda t: len(own.encode_ordinary(t)) if t else 0)
 
-    return count
+@lru_cache(4)
+def _encoding(content: bytes, pattern: str):
+    """The encoder of a rank file, made once for a process."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def csv_quoted(text: Column) -> Column:

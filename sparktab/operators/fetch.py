@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import content_name, requested_document, requested_id
 from ..functions.cost import TokenModel, proxy
+from ..sources.tables import durable
 
 #: Tokens of one answer, and characters shown on either side of a match: fixed values.
 MOST_TOKENS, CONTEXT = 8_000, 240
@@ -48,8 +51,8 @@ def matching_parts(text: Column, needle: str, context: int = CONTEXT) -> Column:
 
 
 def clipped(text: Column, budget: Column, tokens: TokenModel = proxy) -> Column:
-    """A prefix of a text within a budget, found by halving: within one sixteenth of the longest."""
-    steps = F.sequence(F.lit(1), F.lit(24))
+    """A prefix of a text within a budget, found by halving, as often as the text's length asks for."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.char_length(text) + 1)).cast("int"))
     state = F.aggregate(
         steps,
         F.struct(F.lit(0).alias("low"), F.char_length(text).alias("high")),
@@ -61,21 +64,35 @@ def clipped(text: Column, budget: Column, tokens: TokenModel = proxy) -> Column:
     return F.substr(text, F.lit(1), state["low"])
 
 
-def greedy_budget(items: Column, budget: int = MOST_TOKENS) -> Column:
-    """States of items (array of structs with ``cost``, null where there is no content) in order.
+def greedy_budget(items: DataFrame, budget: int = MOST_TOKENS) -> DataFrame:
+    """(request, pos, outcome) of items (request, pos, state, cost; cost null where there is no content).
 
-    An item that fits is ``content`` and takes from the budget; one that does not is ``deferred`` and
-    takes nothing, unless it is the first with content: that one is ``truncated`` and takes all.
+    In order of pos, an item that fits is ``content`` and takes from the budget; one that does not is ``deferred``
+    and takes nothing, unless it is the first with content: that one is ``truncated`` and takes all.  Items without
+    content keep their state.  A request's items stream through one task; nothing of them is held but what is spent.
     """
-    return F.aggregate(
-        items,
-        F.struct(F.lit(0).cast("long").alias("spent"), F.expr("cast(array() as array<string>)").alias("states")),
-        lambda s, x: F.when(x["cost"].isNull(), F.struct(s["spent"].alias("spent"), F.concat(s["states"], F.array(x["state"])).alias("states")))
-        .when(s["spent"] + x["cost"] <= budget, F.struct((s["spent"] + x["cost"]).alias("spent"), F.concat(s["states"], F.array(F.lit("content"))).alias("states")))
-        .when(s["spent"] > 0, F.struct(s["spent"].alias("spent"), F.concat(s["states"], F.array(F.lit("deferred"))).alias("states")))
-        .otherwise(F.struct(F.lit(budget).cast("long").alias("spent"), F.concat(s["states"], F.array(F.lit("truncated"))).alias("states"))),
-        lambda s: s["states"],
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, spent = object(), 0
+        for batch in batches:
+            outcomes = []
+            for request, state, cost in zip(*(batch.column(c).to_pylist() for c in ("request", "state", "cost"))):
+                if request != current:
+                    current, spent = request, 0
+                if cost is None:
+                    outcomes.append(state)
+                elif spent + cost <= budget:
+                    spent += cost
+                    outcomes.append("content")
+                elif spent:
+                    outcomes.append("deferred")
+                else:
+                    spent = budget
+                    outcomes.append("truncated")
+            yield pa.RecordBatch.from_arrays([batch.column("request"), batch.column("pos"), pa.array(outcomes, pa.string())], ["request", "pos", "outcome"])
+
+    rows = items.select("request", F.col("pos").cast("long").alias("pos"), "state", F.col("cost").cast("long").alias("cost"))
+    return rows.repartition("request").sortWithinPartitions("request", "pos").mapInArrow(run, "request string, pos long, outcome string")
 
 
 def fetch(requests: DataFrame, index: DataFrame, objects: DataFrame, query: str | None = None, budget: int = MOST_TOKENS, tokens: TokenModel = proxy) -> DataFrame:
@@ -95,8 +112,8 @@ def fetch(requests: DataFrame, index: DataFrame, objects: DataFrame, query: str
     )
     priced = found.withColumn("state", state).withColumn("body", F.when(F.col("state").isNull(), body))
     # Missing content and missed queries cost nothing; the rest is dealt with in the order asked.
-    priced = priced.withColumn("cost", tokens(F.col("body"))).withColumn("cost", F.when(F.col("body").isNotNull(), F.col("cost")))
-    listed = priced.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("pos", "asked", "cell_id", "state", "body", "cost"))).alias("items"))
-    dealt = listed.withColumn("states", greedy_budget(F.col("items"), budget)).select("request", F.posexplode(F.arrays_zip("items", "states")).alias("at", "x")).select("request", "x.items.*", F.col("x.states").alias("outcome"))
+    priced = durable(priced.withColumn("cost", tokens(F.col("body"))).withColumn("cost", F.when(F.col("body").isNotNull(), F.col("cost"))).select(F.col("request").cast("string").alias("request"), F.col("pos").cast("long").alias("pos"), "asked", "cell_id", "state", "body", "cost"))
+    # Bodies do not go where the budget is dealt out, only what they cost.
+    dealt = priced.drop("state").join(greedy_budget(priced, budget), ["request", "pos"])
     content = F.when(F.col("outcome") == "content", F.col("body")).when(F.col("outcome") == "truncated", clipped(F.col("body"), F.lit(budget), tokens))
     return dealt.select("request", "pos", "asked", "cell_id", F.col("outcome").alias("state"), content.alias("content"), F.col("cost").alias("tokens"))

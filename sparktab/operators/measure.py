@@ -11,9 +11,10 @@ from ..functions.cost import TokenModel, csv_cost, proxy
 #: Bars of the threshold sweep and forms of a handle, fixed values.
 BARS = (1, 5, 10, 20, 50, 100, 200)
 HEX_WIDTHS = (4, 6, 8, 12, 16)
-LURES = {"bare": 0, "size": -1, "text_32": 32, "text_48": 48, "text_80": 80}
+LURES = {"bare": (0, False), "size": (0, True), "text_32": (32, False), "size_text_32": (32, True), "size_text_48": (48, True), "size_text_80": (80, True)}
 #: The least share of raw answers that must be right for a comparison to say anything, and allowed gaps.
 RAW_LEAST, GRADED_GAP, JUDGED_GAP = 0.8, 0, 1
+ARMS = ("raw", "compressed", "stored")
 
 
 def token_split(text: Column, leaves: Column, tokens: TokenModel = proxy) -> Column:
@@ -51,13 +52,17 @@ def encoding_sweep(cells: DataFrame, text: str, tokens: TokenModel = proxy, leas
 
 
 def lure_sweep(cells: DataFrame, text: str, tokens: TokenModel = proxy, least: int = 20) -> DataFrame:
-    """(lure, n_stored, saved): bare handles, handles with the size, and with a beginning of the text."""
-    def form(lure: str, n: int) -> Column:
-        after = F.concat(F.lit("["), tokens(F.col(text)).cast("string"), F.lit("t]")) if n < 0 else F.substring(F.col(text), 1, n)
-        return F.struct(F.lit(lure).alias("lure"), F.concat(F.lit(f"{HANDLE}0001"), after).alias("handle"))
+    """(lure, n_stored, saved): bare handles, handles with the size, with a beginning of the text (blanks as one
+    space), and with both."""
+    plain = F.regexp_replace(F.regexp_replace(F.col(text), r"\s+", " "), "^ | $", "")
+    priced = cells.select(tokens(F.col(text)).alias("size"), csv_cost(F.col(text), tokens).alias("whole"), F.substring(plain, 1, max(n for n, _ in LURES.values())).alias("head"))
 
-    spread = cells.select(text, F.explode(F.array(*(form(k, n) for k, n in LURES.items()))).alias("f")).select(text, "f.*")
-    return _stored(spread, "lure", csv_cost(F.col(text), tokens) - csv_cost(F.col("handle"), tokens), least)
+    def form(lure: str, n: int, sized: bool) -> Column:
+        size = F.concat(F.lit("["), F.col("size").cast("string"), F.lit("t] ")) if sized else F.lit("")
+        return F.struct(F.lit(lure).alias("lure"), F.concat(F.lit(f"{HANDLE}0001"), size, F.substring("head", 1, n)).alias("handle"))
+
+    spread = priced.select("whole", F.explode(F.array(*(form(k, *v) for k, v in LURES.items()))).alias("f")).select("whole", "f.*")
+    return _stored(spread, "lure", F.col("whole") - csv_cost(F.col("handle"), tokens), least)
 
 
 def _stored(spread: DataFrame, by: str, gain: Column, least: int) -> DataFrame:
@@ -65,16 +70,29 @@ def _stored(spread: DataFrame, by: str, gain: Column, least: int) -> DataFrame:
     return spread.withColumn("gain", gain).groupBy(by).agg(F.count_if(g >= least).alias("n_stored"), F.coalesce(F.sum(F.when(g >= least, g)), F.lit(0)).alias("saved"))
 
 
-def arm_tally(answers: DataFrame, raw: str = "raw") -> DataFrame:
-    """(arm, n, ok, gap, verdict) of graded answers (arm, ok boolean).
+def rendered_with_handles(encoded: DataFrame, bar: int, tokens: TokenModel = proxy) -> DataFrame:
+    """(doc_id, n_stored, before, after) of encoded cells (doc_id, row, place, cell) if cells that a bare handle
+    makes cheaper by the bar were stored under one."""
+    bare = csv_cost(F.lit(f"{HANDLE}0001"), tokens)
+    whole = csv_cost(F.col("cell"), tokens)
+    priced = encoded.select("doc_id", whole.alias("whole"), bare.alias("bare")).withColumn("goes", F.col("whole") - F.col("bare") >= bar)
+    return priced.groupBy("doc_id").agg(F.count_if("goes").alias("n_stored"), F.sum("whole").alias("before"), F.sum(F.when(F.col("goes"), F.col("bare")).otherwise(F.col("whole"))).alias("after"))
+
+
+def arm_tally(answers: DataFrame, raw: str = "raw", arms: tuple[str, ...] = ARMS, judged: bool = False) -> DataFrame:
+    """(arm, n, ok, gap, verdict) of answers (arm, ok boolean), graded or judged, one row for each arm named or seen.
 
-    gap: how many fewer right answers than the raw arm.  verdict: ``inconclusive`` if an arm has
-    another number of answers than raw, or raw itself is below ``RAW_LEAST``; else pass or fail.
+    gap: how many fewer right answers than the raw arm.  verdict: ``inconclusive`` if an arm is empty or has
+    another number of answers than raw, or raw itself is empty or below ``RAW_LEAST``; else pass (the gap is allowed) or fail.
     """
-    tally = answers.groupBy("arm").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"))
+    seen = answers.groupBy("arm").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"))
+    named = answers.sparkSession.createDataFrame([(x,) for x in arms], "arm string")
+    none = F.lit(0).cast("long")
+    tally = named.join(seen, "arm", "full_outer").select("arm", F.coalesce("n", none).alias("n"), F.coalesce("ok", none).alias("ok"))
     base = tally.filter(F.col("arm") == raw).select(F.lit(1).alias("one"), F.col("n").alias("raw_n"), F.col("ok").alias("raw_ok"))
     gap = F.col("raw_ok") - F.col("ok")
-    verdict = F.when((F.col("n") != F.col("raw_n")) | (F.col("raw_ok") < RAW_LEAST * F.col("raw_n")), "inconclusive").when(gap <= GRADED_GAP, "pass").otherwise("fail")
+    unclear = (F.col("n") == 0) | F.coalesce(F.col("raw_n") == 0, F.lit(True)) | (F.col("n") != F.col("raw_n")) | (F.col("raw_ok") < RAW_LEAST * F.col("raw_n"))
+    verdict = F.when(unclear, "inconclusive").when(gap <= (JUDGED_GAP if judged else GRADED_GAP), "pass").otherwise("fail")
     return tally.withColumn("one", F.lit(1)).join(F.broadcast(base), "one", "left").select("arm", "n", "ok", gap.alias("gap"), verdict.alias("verdict"))
 
 

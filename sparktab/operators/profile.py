@@ -48,13 +48,18 @@ def column_type(kind="kind", shape="shape"):
     )
 
 
+def short(text):
+    """A text, or the digest of a long one, to tell values apart by."""
+    return F.when(F.length(text) > 64, F.sha2(text.cast("binary"), 256)).otherwise(text)
+
+
 def columns(cells: DataFrame, counts: DataFrame) -> DataFrame:
     """(doc_id, col, n_present, n_null, n_distinct, type, nullable, n_rows).
 
     counts: (doc_id, n_rows).  n_distinct is over all present values, null as one of them.
     """
     found = cells.groupBy("doc_id", "col").agg(
-        F.count("*").alias("n_present"), F.count(F.when(F.col("kind") == "null", 1)).alias("n_null"), F.count_distinct(F.struct("kind", "canon")).alias("n_distinct"), column_type().alias("type"), F.min("json").alias("any_json")
+        F.count("*").alias("n_present"), F.count(F.when(F.col("kind") == "null", 1)).alias("n_null"), F.count_distinct(F.struct("kind", short(F.col("canon")))).alias("n_distinct"), column_type().alias("type"), F.min("json").alias("any_json")
     )
     return found.join(counts, "doc_id").withColumn("nullable", (F.col("n_present") < F.col("n_rows")) | (F.col("n_null") > 0))
 
@@ -74,13 +79,20 @@ def dictionaries(cells: DataFrame, profile: DataFrame, tokens: TokenModel = prox
     """(doc_id, col, canon, kind, key, json) of columns that are cheaper as keys into a dictionary.
 
     A column's cells are priced as they would be written; its dictionary as the JSON object of its
-    entries, and the mean cost of a key for each cell (rounded half to even).
+    entries, and the mean cost of a key for each cell (rounded half to even).  Under a model that does not add up
+    the entries of a column are put together in one row to be priced: for documents of bounded size.
     """
     from .encode import written
 
+    values = distinct_values(cells)
+    if getattr(tokens, "additive", False):
+        found = values.groupBy("doc_id", "col").agg(F.count("*").alias("n_distinct"), F.sum("n").alias("n_values"), F.sum(tokens(F.col("json"))).alias("json_cost"))
+        typed = cells.filter("kind <> 'null'").join(profile.select("doc_id", "col", "type"), ["doc_id", "col"])
+        prices = typed.groupBy("doc_id", "col").agg(F.sum(tokens(written())).alias("cells_cost"))
+        chosen = worthwhile(found.join(prices, ["doc_id", "col"]), tokens, least)
+        return values.join(chosen, ["doc_id", "col"]).select("doc_id", "col", "kind", "canon", "key", "json", "cells_cost", "dict_cost")
     typed = cells.filter("kind <> 'null'").join(profile.select("doc_id", "col", "type"), ["doc_id", "col"])
     prices = typed.groupBy("doc_id", "col").agg(F.sum(tokens(written())).alias("cells_cost"), F.count("*").alias("n_values"))
-    values = distinct_values(cells)
     entry = F.concat(F.lit('"'), F.col("key"), F.lit('":'), F.col("json"))
     listed = values.groupBy("doc_id", "col").agg(
         F.count("*").alias("n_distinct"),
@@ -98,6 +110,21 @@ def dictionaries(cells: DataFrame, profile: DataFrame, tokens: TokenModel = prox
     return values.join(chosen, ["doc_id", "col"]).select("doc_id", "col", "kind", "canon", "key", "json", "cells_cost", "dict_cost")
 
 
+def worthwhile(columns: DataFrame, tokens: TokenModel, least: int = LEAST_DICT_SAVING) -> DataFrame:
+    """(doc_id, col, cells_cost, dict_cost) of columns that a dictionary makes cheaper, under a model that adds up.
+
+    columns: (doc_id, col, n_distinct, n_values, json_cost: of the different values as JSON, cells_cost).  Keys
+    are the numbers from 0, one token for three digits; an entry has two quotes and a colon beside, and a comma
+    but for the last.
+    """
+    n = F.col("n_distinct")
+    keys = n + sum((F.greatest(n - 10**d, F.lit(0)) for d in (3, 6, 9, 12)), F.lit(0))
+    ends = tokens(F.concat(F.lit("{"), json_string("col"), F.lit(":{}}")))
+    cost = ends + F.col("json_cost") + keys + 4 * n - 1 + F.bround(keys / n * F.col("n_values"), 0).cast("long")
+    able = columns.filter("n_values >= 2 and n_distinct >= 2 and n_distinct < n_values").withColumn("dict_cost", cost)
+    return able.filter(F.col("cells_cost") - F.col("dict_cost") >= least).select("doc_id", "col", "cells_cost", "dict_cost")
+
+
 def column_order(profile: DataFrame) -> DataFrame:
     """The profile with ``place``: columns by presence, most first, then by name."""
     return profile.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n_present"), "col")) - 1)

@@ -53,8 +53,13 @@ def key_presence(df: DataFrame, row: str, key: str) -> DataFrame:
 
     A key with a null value is present.
     """
+    return df.agg(*presence(row, key))
+
+
+def presence(row: str, key: str) -> list[Column]:
+    """The counts of ``key_presence`` as aggregates."""
     has = F.map_contains_key(F.col(row), key)
-    return df.agg(F.count_if(has).alias("present"), F.count_if(has & F.element_at(row, key).isNotNull()).alias("held"), F.count_if(~has).alias("absent"))
+    return [F.count_if(has).alias("present"), F.count_if(has & F.element_at(row, key).isNotNull()).alias("held"), F.count_if(~has).alias("absent")]
 
 
 def arg_max(df: DataFrame, by: Column, order: str, *wanted: str) -> DataFrame:

@@ -13,28 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cells import cell_id, content_name, handle
+from ..functions.cells import MAX_IDS, cell_id, content_name, handle
 from ..functions.cost import TokenModel, csv_cost, proxy
-from ..sources.tables import durable
+from ..sources.tables import drop, durable
 
 #: Tokens that moving a cell must save, and the version of a bundle: fixed values of the format.
 LEAST_SAVING, BUNDLE_VERSION = 20, 1
+#: Cell ids in a part of a bundle.
+BUNDLE_CELLS = 256
 OBJECTS, INDEX = "name string, content string", "doc_id string, cell_id string, name string"
 
 
 def stashed(encoded: DataFrame, tokens: TokenModel = proxy, least: int = LEAST_SAVING) -> DataFrame:
-    """Cells with ``cell_id`` and ``handle`` where moving them out saves enough.
+    """Cells with ``cell_id``, ``handle`` and ``name`` where moving them out saves enough.
 
     A handle is priced with an id of full width, and the cells that go are then
-    numbered in page order.
+    numbered in page order.  A document that would store more cells than there are ids stores none, and its cells
+    have ``overfull``; so no task sorts more cells of a document than there are ids.
     """
     size = tokens(F.col("cell"))
-    gain = csv_cost(F.col("cell"), tokens) - csv_cost(handle(F.lit("0001"), size), tokens)
-    priced = encoded.withColumn("size", size).withColumn("goes", gain >= least)
+    priced = encoded.withColumn("size", size)
+    gain = csv_cost(F.col("cell"), tokens) - csv_cost(handle(F.lit("0001"), F.col("size")), tokens)
+    gone = priced.filter(gain >= least)
+    counts = gone.groupBy("doc_id").agg(F.count("*").alias("n_gone")).select(F.col("doc_id").alias("of"), "n_gone")
     page = W.partitionBy("doc_id").orderBy("row", "place")
-    gone = priced.filter("goes").withColumn("cell_id", cell_id(F.row_number().over(page)))
-    named = gone.select("doc_id", "row", "col", "cell_id", handle(F.col("cell_id"), F.col("size")).alias("handle"), content_name(F.col("cell")).alias("name"))
-    return encoded.join(named, ["doc_id", "row", "col"], "left")
+    fits = gone.join(counts.filter(F.col("n_gone") < MAX_IDS), F.col("doc_id") == F.col("of")).withColumn("cell_id", cell_id(F.row_number().over(page)))
+    named = fits.select("doc_id", "row", "col", "cell_id", handle(F.col("cell_id"), F.col("size")).alias("handle"), content_name(F.col("cell")).alias("name"))
+    full = counts.filter(F.col("n_gone") >= MAX_IDS).select(F.col("of").alias("doc_id"), F.lit(True).alias("overfull"))
+    return encoded.join(named, ["doc_id", "row", "col"], "left").join(full, "doc_id", "left").withColumn("overfull", F.coalesce("overfull", F.lit(False)))
 
 
 def document_ids(moved: DataFrame, compact: DataFrame) -> DataFrame:
@@ -45,14 +51,11 @@ def document_ids(moved: DataFrame, compact: DataFrame) -> DataFrame:
 
 
 def resolve(index: DataFrame, objects: DataFrame) -> DataFrame:
-    """Every cell of an index with its content; an error where one is missing or has changed."""
+    """Every cell of an index: (doc_id, cell_id, name, content, problem); the content is null where it is
+    missing or has changed, and the problem says so."""
     found = index.join(objects, "name", "left")
-    content = (
-        F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("no content for "), F.col("name"))))
-        .when(content_name(F.col("content")) != F.col("name"), F.raise_error(F.concat(F.lit("changed content under "), F.col("name"))))
-        .otherwise(F.col("content"))
-    )
-    return found.select("doc_id", "cell_id", "name", content.alias("content"))
+    problem = F.when(F.col("content").isNull(), "missing").when(content_name(F.col("content")) != F.col("name"), "content changed")
+    return found.select("doc_id", "cell_id", "name", F.when(problem.isNull(), F.col("content")).alias("content"), problem.alias("problem"))
 
 
 def missing(index: DataFrame, objects: DataFrame) -> DataFrame:
@@ -98,12 +101,18 @@ def collisions(moved: DataFrame, objects: DataFrame) -> DataFrame:
     return moved.filter("cell_id is not null").join(held, "name").filter("held <> cell").select("doc_id", "cell_id", "name")
 
 
-def bundles(index: DataFrame, objects: DataFrame) -> DataFrame:
-    """(doc_id, bundle): each document's index and objects as one JSON text; an error if one is missing."""
-    own = resolve(index, objects)
+def bundles(index: DataFrame, objects: DataFrame, block: int = BUNDLE_CELLS) -> DataFrame:
+    """(doc_id, part, bundle): each document's index and objects as JSON texts of at most ``block`` ids in a row.
+
+    Every part has the objects that its cells need, so it can be taken in by itself.  A part with a cell that cannot be
+    read back is null.
+    """
+    own = resolve(index, objects).withColumn("part", F.floor(F.col("cell_id").cast("long") / block))
     ids = F.map_from_entries(F.array_sort(F.collect_list(F.struct("cell_id", "name"))))
     texts = F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "content"))))
-    return own.groupBy("doc_id").agg(F.to_json(F.struct(F.lit(BUNDLE_VERSION).alias("sparktab_bundle"), F.col("doc_id"), ids.alias("index"), texts.alias("objects"))).alias("bundle"))
+    text = F.to_json(F.struct(F.lit(BUNDLE_VERSION).alias("sparktab_bundle"), F.col("doc_id"), F.col("ids").alias("index"), F.col("texts").alias("objects")))
+    listed = own.groupBy("doc_id", "part").agg(ids.alias("ids"), texts.alias("texts"), F.count("problem").alias("n_bad"))
+    return listed.select("doc_id", "part", F.when(F.col("n_bad") == 0, text).alias("bundle"))
 
 
 def unbundled(bundles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -111,6 +120,7 @@ def unbundled(bundles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     A bundle is refused whole if its version is unknown, an object is missing, or one does not hash to its name.
     """
+    bundles = bundles.filter("bundle is not null")
     kind = "struct<sparktab_bundle: int, doc_id: string, index: map<string,string>, objects: map<string,string>>"
     read = bundles.select(F.from_json("bundle", kind).alias("b")).select("b.*")
     lacking = F.exists(F.map_values("index"), lambda n: ~F.coalesce(F.map_contains_key(F.col("objects"), n), F.lit(False)))
@@ -125,16 +135,42 @@ def unbundled(bundles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @dataclass
 class Store:
-    """A store as Parquet tables under one path."""
+    """A store as Parquet tables under one path.
+
+    A table is a folder with a generation in its name; readers take the latest one that was written to its end.  What
+    rewrites a table writes the next generation and then removes the older ones, so a writer lost midway
+    loses nothing.
+    """
 
     spark: SparkSession
     path: str
 
+    def _place(self, name: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _generations(self, table: str) -> list[int]:
+        place, fs = self._place(f"{table}.*")
+        found = [s.getPath() for s in fs.globStatus(place) or ()]
+        return sorted(int(p.getName().rsplit(".", 1)[1]) for p in found if fs.exists(self._place(f"{p.getName()}/_SUCCESS")[0]))
+
     def _read(self, table: str, schema: str) -> DataFrame:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
+        known = self._generations(table)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}.{known[-1]}") if known else self.spark.createDataFrame([], schema)
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        # Rows depend on the table itself, so they are computed before it is written to.
+        rows = durable(rows)
+        if not rows.isEmpty():
+            rows.write.mode("append").parquet(f"{self.path}/{table}.{max([0, *self._generations(table)])}")
+        drop(rows)
+
+    def _rewrite(self, rows: DataFrame, table: str) -> None:
+        known = self._generations(table)
+        rows.write.mode("overwrite").parquet(f"{self.path}/{table}.{max([0, *known]) + 1}")
+        for n in known:
+            place, fs = self._place(f"{table}.{n}")
+            fs.delete(place, True)
 
     @property
     def objects(self) -> DataFrame:
@@ -144,6 +180,20 @@ class Store:
     def index(self) -> DataFrame:
         return self._read("store_index", INDEX)
 
+    def documents(self) -> DataFrame:
+        """The ids of all documents, in order."""
+        return self.index.select("doc_id").distinct().orderBy("doc_id")
+
+    def names(self) -> DataFrame:
+        """The names of all objects, in order."""
+        return self.objects.select("name").orderBy("name")
+
+    def has_document(self, doc_id: str) -> bool:
+        return not self.index.filter(F.col("doc_id") == doc_id).isEmpty()
+
+    def has_object(self, name: str) -> bool:
+        return not self.objects.filter(F.col("name") == name).isEmpty()
+
     def commit(self, moved: DataFrame, ids: DataFrame) -> None:
         """Write what documents moved out: objects first, then the index.  Committing again changes nothing."""
         if not collisions(moved, self.objects).isEmpty():
@@ -159,15 +209,13 @@ class Store:
         self._append(index.join(self.index, ["doc_id", "cell_id"], "left_anti"), "store_index")
         return refused
 
+    def delete(self, *names: str) -> None:
+        """Remove objects, whether documents reach them or not."""
+        self._rewrite(self.objects.filter(~F.col("name").isin(*names)), "objects")
+
     def collect(self, delete: bool = False) -> int:
         """How many objects no document reaches; with ``delete`` they go."""
         n = leaked(self.index, self.objects).count()
         if delete and n:
-            durable(kept(self.index, self.objects)).write.mode("overwrite").parquet(f"{self.path}/objects")
+            self._rewrite(kept(self.index, self.objects), "objects")
         return n
-
-    def _append(self, rows: DataFrame, table: str) -> None:
-        # Rows depend on the table itself, so they are computed before it is written to.
-        rows = durable(rows)
-        if not rows.isEmpty():
-            rows.write.mode("append").parquet(f"{self.path}/{table}")

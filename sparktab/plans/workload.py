@@ -1,23 +1,24 @@
 """The query workload over the driver's tables, with the SQL that gives the same rows.
 
 Each query applies operators of this package to whole tables.  ``QUERIES`` holds the Spark side,
-``SQL`` the DuckDB side; a query without SQL goes through the JSON edge or the document text.
+``SQL`` the DuckDB side; a query without SQL decides by the text of whole documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cells as cell_functions
 from ..functions.cost import csv_cost, csv_quoted, proxy
 from ..operators import encode, fetch, measure, profile, questions, store, verify
-from ..operators.render import rows_as_csv
-from ..sources.documents import HEADER_EVERY
-from ..sources.payloads import extract, from_column, from_rows, nodes
+from ..operators.render import header_of, rows_as_csv
+from ..sources.documents import HEADER_EVERY, header_columns
+from ..sources.payloads import extract, from_column, from_rows, leaves, nodes
+from ..sources.tables import durable
 from ..sources.typed import typed_cells
 from .compress import compress, decompress
 
@@ -61,7 +62,7 @@ UNION ALL SELECT source, 'source', source FROM documents GROUP BY source
 UNION ALL SELECT source, 'n_chars', min(n_chars)::VARCHAR FROM documents GROUP BY source HAVING count(DISTINCT n_chars) = 1 AND count(n_chars) = count(*)
 """)
 def const_columns_documents(spark, read):
-    cells = typed_cells(read("documents"), "source", ["doc_id"], ["source", "lang", "n_chars"])
+    cells = typed_cells(read("documents"), "source", "doc_id", ["source", "lang", "n_chars"])
     counts = read("documents").groupBy(F.col("source").alias("doc_id")).agg(F.count("*").alias("n_rows"))
     found = profile.constants(profile.columns(cells, counts))
     return found.select("doc_id", "col", F.regexp_replace("json", '^"|"$', "").alias("value"))
@@ -73,23 +74,26 @@ def column_types_events(spark, read):
     return found.groupBy("key", "kind").agg(F.count("*").alias("n"))
 
 
-@query("""
-SELECT 'l_quantity' AS col, 'float' AS type, 1 AS docs FROM lineitem HAVING count(*) > 0 UNION ALL SELECT 'l_linenumber', 'int', 1 FROM lineitem HAVING count(*) > 0
-UNION ALL SELECT 'l_returnflag', 'str', 1 FROM lineitem HAVING count(*) > 0
-""")
+_KIND = "CASE WHEN {0} IN ('DOUBLE', 'FLOAT') OR {0} LIKE 'DECIMAL%' THEN 'float' WHEN {0} IN ('INTEGER', 'BIGINT') THEN 'int' WHEN {0} = 'VARCHAR' THEN 'str' WHEN {0} = 'BOOLEAN' THEN 'bool' END"
+
+
+@query("\nUNION ALL ".join(f"""SELECT l_linestatus AS doc_id, '{c}' AS col, CASE WHEN count({c}) = 0 THEN 'null' ELSE any_value({_KIND.format(f"typeof({c})")}) END AS type, count({c}) AS n
+FROM lineitem GROUP BY l_linestatus""" for c in ("l_quantity", "l_linenumber", "l_returnflag")))
 def column_types_lineitem(spark, read):
-    cells = typed_cells(read("lineitem").withColumn("doc", F.lit("all")), "l_linestatus", ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_linenumber", "l_returnflag"])
-    return cells.groupBy("doc_id", "col").agg(profile.column_type().alias("type")).select("col", "type").distinct().withColumn("docs", F.lit(1))
+    cells = typed_cells(read("lineitem"), "l_linestatus", "l_orderkey", ["l_quantity", "l_linenumber", "l_returnflag"])
+    return cells.groupBy("doc_id", "col").agg(profile.column_type().alias("type"), F.count_if(F.col("kind") != "null").alias("n"))
 
 
 @query("""
-SELECT key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, key) - 1 AS place
-FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key
+WITH k AS (SELECT source, unnest(['chars' || (n_chars % 7)::VARCHAR, 'lang', 'text' || (doc_id % 3)::VARCHAR]) AS key FROM documents)
+SELECT source AS doc_id, key, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, key) - 1 AS place FROM k GROUP BY source, key
 """)
 def presence_order(spark, read):
-    found = nodes(from_column(read("events"), "event_id", "props")).filter("size(path) = 1").groupBy("key").agg(F.count("*").alias("n"))
-    ordered = profile.column_order(found.select(F.lit("events").alias("doc_id"), F.col("key").alias("col"), F.col("n").alias("n_present")))
-    return ordered.select(F.col("col").alias("key"), F.col("n_present").alias("n"), F.col("place").cast("long").alias("place"))
+    """Columns of records with keys that come and go, by how many records have them and then by name."""
+    keys = F.array(F.concat(F.lit("chars"), (F.col("n_chars") % 7).cast("string")), F.lit("lang"), F.concat(F.lit("text"), (F.col("doc_id") % 3).cast("string")))
+    found = read("documents").select(F.col("source").alias("doc_id"), F.explode(keys).alias("col")).groupBy("doc_id", "col").agg(F.count("*").alias("n_present"))
+    ordered = profile.column_order(found)
+    return ordered.select("doc_id", F.col("col").alias("key"), F.col("n_present").alias("n"), F.col("place").cast("long").alias("place"))
 
 
 @query("""
@@ -99,7 +103,7 @@ UNION ALL SELECT source, 'toxic', count(*), count(*) - count(toxic), count(*) >
 """)
 def nullability(spark, read):
     joined = read("documents").select("doc_id", "source").join(read("labels"), "doc_id", "left")
-    cells = typed_cells(joined, "source", ["doc_id"], ["quality", "toxic"])
+    cells = typed_cells(joined, "source", "doc_id", ["quality", "toxic"])
     counts = joined.groupBy(F.col("source").alias("doc_id")).agg(F.count("*").alias("n_rows"))
     return profile.columns(cells, counts).select("doc_id", "col", "n_present", "n_null", "nullable")
 
@@ -111,7 +115,7 @@ k AS (SELECT doc_id, value, n, (row_number() OVER (PARTITION BY doc_id ORDER BY
 
 
 def _priorities(read) -> DataFrame:
-    return typed_cells(read("orders"), "o_orderstatus", ["o_orderkey"], ["o_orderpriority"])
+    return typed_cells(read("orders"), "o_orderstatus", "o_orderkey", ["o_orderpriority"])
 
 
 @query(f"WITH {_SEEN} SELECT doc_id, value, n, key FROM k")
@@ -126,18 +130,17 @@ def _dictionary(cells: DataFrame) -> DataFrame:
 @query(f"WITH {_SEEN} SELECT doc_id, key, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders JOIN k ON doc_id = o_orderstatus AND value = o_orderpriority GROUP BY doc_id, key")
 def dict_encode(spark, read):
     cells = _priorities(read)
-    order = read("orders").select("o_orderkey", F.col("o_orderstatus").alias("doc_id"), (F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderkey")) - 1).alias("row"))
-    keyed = encode.to_keys(cells, _dictionary(cells)).join(order, ["doc_id", "row"])
-    return keyed.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    return encode.to_keys(cells, _dictionary(cells)).groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.sum("row").alias("keys"))
 
 
-@query("SELECT o_orderstatus AS doc_id, count(*) AS cells, 0::BIGINT AS changed FROM orders GROUP BY o_orderstatus")
+@query("SELECT o_orderstatus AS doc_id, o_orderpriority AS value, count(*) AS n, sum(o_orderkey)::BIGINT AS rows FROM orders GROUP BY ALL")
 def dict_decode_roundtrip(spark, read):
+    """Cells as dictionary keys and back: the values that come back, and the rows they come back in."""
     cells = _priorities(read)
     entries = _dictionary(cells)
-    keyed = encode.to_keys(cells, entries).withColumn("was", F.col("canon")).withColumn("canon", F.lit(None).cast("string"))
+    keyed = encode.to_keys(cells, entries).withColumn("canon", F.lit(None).cast("string"))
     back = encode.from_keys(keyed, entries)
-    return back.groupBy("doc_id").agg(F.count("*").alias("cells"), F.count_if(~F.col("was").eqNullSafe(F.col("canon"))).alias("changed"))
+    return back.groupBy("doc_id", F.regexp_replace("canon", '^"|"$', "").alias("value")).agg(F.count("*").alias("n"), F.sum("row").alias("rows"))
 
 
 @query(rf"""
@@ -172,10 +175,10 @@ def delta_encode(spark, read):
     return _id_lists(read).select("user_id", F.array_join(cell_functions.deltas(F.col("ids")), " ").alias("steps"))
 
 
-@query(f"WITH {_IDS} SELECT user_id, len(by_value) AS n, list_sum(by_value)::BIGINT AS total, true AS same FROM l")
+@query(f"WITH {_IDS} SELECT user_id, array_to_string(by_value, ' ') AS back FROM l")
 def delta_decode(spark, read):
     back = cell_functions.from_deltas(cell_functions.deltas(F.col("by_value")))
-    return _id_lists(read).select("user_id", F.size(back).cast("long").alias("n"), F.aggregate(back, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), (back == F.col("by_value")).alias("same"))
+    return _id_lists(read).select("user_id", F.array_join(back, " ").alias("back"))
 
 
 @query(f"""
@@ -184,7 +187,7 @@ t AS (SELECT user_id, col, len(v) AS n, list_bool_and(list_transform(range(2, le
 SELECT user_id::VARCHAR AS doc_id, col, CASE WHEN n = 0 THEN 'json' WHEN coalesce(up, true) THEN 'dints' ELSE 'ints' END AS type FROM t
 """)
 def array_type_class(spark, read):
-    cells = typed_cells(_id_lists(read).withColumn("doc", F.col("user_id").cast("string")), "doc", ["user_id"], ["ids", "by_value"])
+    cells = typed_cells(_id_lists(read).withColumn("doc", F.col("user_id").cast("string")), "doc", "user_id", ["ids", "by_value"])
     return cells.groupBy("doc_id", "col").agg(profile.column_type().alias("type"))
 
 
@@ -192,7 +195,7 @@ def array_type_class(spark, read):
 def space_join_strs(spark, read):
     listed = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
     words = read("events").groupBy(F.col("user_id")).agg(F.transform(listed, lambda x: x["event_type"]).alias("words"))
-    cells = typed_cells(words, "user_id", ["user_id"], ["words"]).withColumn("type", F.when(F.col("shape") == "strs", "strs").otherwise("json"))
+    cells = typed_cells(words, "user_id", "user_id", ["words"]).withColumn("type", F.when(F.col("shape") == "strs", "strs").otherwise("json"))
     return cells.select(F.col("doc_id").cast("long").alias("user_id"), encode.written().alias("cell"))
 
 
@@ -210,20 +213,28 @@ _ODD = """CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN '\\' || role WHEN 2 THEN '\\N
 @query(rf"""
 WITH c AS (SELECT conv_id, turn, {_ODD} AS v FROM conversations),
 e AS (SELECT *, CASE WHEN v = '' THEN '\E' WHEN starts_with(v, '\') THEN '\' || v ELSE v END AS cell FROM c)
-SELECT conv_id, turn, md5(cell) AS cell, true AS same FROM e
+SELECT conv_id, turn, md5(cell) AS cell, md5(v) AS back FROM e
 """.replace("\\\\", "\\"))
 def escape_sentinels(spark, read):
     odd = F.when(F.col("turn") % 4 == 0, F.lit("")).when(F.col("turn") % 4 == 1, F.concat(F.lit("\\"), F.col("role"))).when(F.col("turn") % 4 == 2, F.lit("\\N")).otherwise(F.col("text"))
     cell = cell_functions.escaped(F.col("v"))
-    return read("conversations").withColumn("v", odd).select("conv_id", "turn", _md5(cell).alias("cell"), (cell_functions.unescaped(cell) == F.col("v")).alias("same"))
+    return read("conversations").withColumn("v", odd).select("conv_id", "turn", _md5(cell).alias("cell"), _md5(cell_functions.unescaped(cell)).alias("back"))
+
+
+#: Documents in documents of bounded size: those of a source whose ids have the same thousands.
+_BLOCK = "source || '/' || (doc_id // 1000)::VARCHAR"
+
+
+def _blocks(read) -> DataFrame:
+    return read("documents").withColumn("block", F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 1000).cast("string")))
 
 
 @query(f"""
-WITH r AS (SELECT source, doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row FROM documents)
+WITH r AS (SELECT {_BLOCK} AS source, doc_id, lang, row_number() OVER (PARTITION BY {_BLOCK} ORDER BY doc_id) - 1 AS row FROM documents)
 SELECT source AS doc_id, count(*) AS lines, count(*) FILTER (WHERE row > 0 AND row % {HEADER_EVERY} = 0) AS headers, md5(string_agg(lang, chr(10) ORDER BY row)) AS body FROM r GROUP BY source
 """)
 def header_repeat_rows(spark, read):
-    cells = typed_cells(read("documents"), "source", ["doc_id"], ["lang"]).withColumn("type", F.lit("str"))
+    cells = typed_cells(_blocks(read), "block", "doc_id", ["lang"], numbered=True).withColumn("type", F.lit("str"))
     shown = cells.select("doc_id", "row", F.lit(0).alias("place"), encode.written().alias("shown"))
     size = cells.groupBy("doc_id").agg((F.max("row") + 1).alias("n_rows")).withColumn("n_cols", F.lit(1))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n")
@@ -233,23 +244,30 @@ def header_repeat_rows(spark, read):
 
 @query("SELECT source || ':str' || CASE WHEN count(*) > count(lang) THEN '?' ELSE '' END AS spec, count(*) AS n FROM documents GROUP BY source")
 def header_specs(spark, read):
-    """The text of a header's column, read back into its parts."""
-    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]{"), F.col("source"), F.lit(":str"), F.when(F.col("n") > F.col("m"), "?").otherwise(""), F.lit("}"))
-    made = read("documents").groupBy("source").agg(F.count("*").alias("n"), F.count("lang").alias("m")).select(line.alias("line"))
-    return made.select(F.regexp_extract("line", r"\{(.*)\}$", 1).alias("spec"), F.regexp_extract("line", r"^\[([0-9]+)\]", 1).cast("long").alias("n"))
+    """A header line as it is written, read back by the reader of documents."""
+    cols = F.array(F.struct(F.lit(0).alias("place"), F.col("source").alias("col"), F.lit("str").alias("type"), (F.col("n_rows") > F.col("m")).alias("nullable")))
+    made = read("documents").groupBy("source").agg(F.count("*").alias("n_rows"), F.count("lang").alias("m")).withColumn("cols", cols).select(header_of().alias("line"))
+
+    def run(batches):
+        for batch in batches:
+            found = [header_columns(line) for line in batch.column(0).to_pylist()]
+            specs = [",".join(f"{name}:{kind}{'?' if nullable else ''}" for name, kind, nullable in columns) for _, columns in found]
+            yield pa.RecordBatch.from_arrays([pa.array(specs, pa.string()), pa.array([n for n, _ in found], pa.int64())], ["spec", "n"])
+
+    return made.mapInArrow(run, "spec string, n long")
 
 
 # The store
 
 
 def _stashed(read) -> DataFrame:
-    cells = typed_cells(read("documents"), "source", ["doc_id"], ["lang", "text"]).withColumn("type", F.lit("str")).withColumn("place", F.when(F.col("col") == "lang", 0).otherwise(1))
+    cells = typed_cells(_blocks(read), "block", "doc_id", ["lang", "text"]).withColumn("type", F.lit("str")).withColumn("place", F.when(F.col("col") == "lang", 0).otherwise(1))
     return store.stashed(cells.select("doc_id", "row", "col", "place", encode.written().alias("cell")))
 
 
 _CELL = r"CASE WHEN v = '' THEN '\E' WHEN starts_with(v, '\') THEN '\' || v ELSE v END"
 _STASH = rf"""
-r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row, lang, text FROM documents),
+r AS (SELECT {_BLOCK} AS source, doc_id AS row, lang, text FROM documents),
 u AS (SELECT source, row, 0 AS place, lang AS v FROM r UNION ALL SELECT source, row, 1, text FROM r),
 e AS (SELECT source, row, place, {_CELL} AS cell FROM u),
 p AS (SELECT *, {_tok('cell')} AS size, {_tok(_csv('cell'))} - {_tok(f"concat('{chr(92)}@0001[', {_tok('cell')}, 't]')")} AS gain FROM e),
@@ -325,50 +343,68 @@ def gc_keep_set(spark, read):
 
 
 @query(f"""
-WITH {_STORE}, h AS (SELECT doc_id, count(*) AS entries, count(DISTINCT name) AS objects FROM i WHERE name >= '1' GROUP BY doc_id)
-SELECT doc_id, entries, objects, 0::BIGINT AS refused FROM h
+WITH {_STORE}, h AS (SELECT doc_id, count(*) AS entries, count(DISTINCT name) AS objects, count(DISTINCT cell_id::BIGINT // 256) AS parts FROM i WHERE name >= '1' GROUP BY doc_id)
+SELECT doc_id, entries, objects, parts, 0::BIGINT AS refused FROM h
 """)
 def bundle_roundtrip(spark, read):
-    """Indexes of intact objects, bundled as JSON and read back."""
+    """Indexes of intact objects, bundled as JSON in parts and read back."""
     good = read("documents").filter("text is not null").select(cell_functions.content_name(F.col("text")).alias("name"), F.col("text").alias("content")).dropDuplicates(["name"])
-    texts = store.bundles(_index(read).filter("name >= '1'"), good)
+    texts = durable(store.bundles(_index(read).filter("name >= '1'"), good))
     index, objects, refused = store.unbundled(texts)
     found = index.join(objects.select("name"), "name").groupBy("doc_id").agg(F.count("*").alias("entries"), F.count_distinct("name").alias("objects"))
     bad = refused.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return found.join(bad, "doc_id", "left").select("doc_id", "entries", "objects", F.coalesce("n", F.lit(0)).cast("long").alias("refused"))
+    parts = texts.groupBy("doc_id").agg(F.count("bundle").alias("parts"))
+    return found.join(parts, "doc_id").join(bad, "doc_id", "left").select("doc_id", "entries", "objects", "parts", F.coalesce("n", F.lit(0)).cast("long").alias("refused"))
 
 
 # Retrieval
 
 
+#: Requests of bounded size: the documents of a source whose ids have the same hundreds.
+_REQUEST = "source || '/' || (doc_id // 100)::VARCHAR"
+_BUDGET = rf"""
+c AS (SELECT {_REQUEST} AS request, row_number() OVER (PARTITION BY {_REQUEST} ORDER BY doc_id) - 1 AS pos, doc_id, text, {_tok('text')} AS cost FROM documents WHERE text IS NOT NULL),
+w AS (SELECT request, pos, doc_id, text, cost, CASE WHEN cost <= 8000 THEN cost ELSE 8000 END AS spent, CASE WHEN cost <= 8000 THEN 'content' ELSE 'truncated' END AS state FROM c WHERE pos = 0
+  UNION ALL SELECT c.request, c.pos, c.doc_id, c.text, c.cost, CASE WHEN w.spent + c.cost <= 8000 THEN w.spent + c.cost WHEN w.spent > 0 THEN w.spent ELSE 8000 END,
+    CASE WHEN w.spent + c.cost <= 8000 THEN 'content' WHEN w.spent > 0 THEN 'deferred' ELSE 'truncated' END FROM w JOIN c ON c.request = w.request AND c.pos = w.pos + 1)
+"""
+
+
+def _requests(read) -> DataFrame:
+    request = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"))
+    return read("documents").filter("text is not null").withColumn("request", request)
+
+
 @query(rf"""
-WITH {_STORE}, q AS (SELECT source AS doc_id, list(doc_id ORDER BY doc_id) AS ids FROM documents WHERE text IS NOT NULL GROUP BY source),
-x AS (SELECT doc_id, p - 1 AS pos, lpad(ids[p]::VARCHAR, 8, '0') AS cell_id FROM q, unnest(range(1, len(ids) + 1)) AS t(p)),
-c AS (SELECT x.doc_id AS request, pos, x.cell_id, i.text, {_tok('i.text')} AS cost FROM x JOIN i USING (doc_id, cell_id))
-SELECT request, pos, cell_id, cost AS tokens FROM c
+WITH RECURSIVE {_BUDGET}
+SELECT request, pos, lpad(doc_id::VARCHAR, 8, '0') AS cell_id, cost AS tokens, state, CASE WHEN state = 'content' THEN md5(text) END AS body FROM w
 """)
 def fetch_batch(spark, read):
-    """Every cell of every document, asked for by its bare number, with what it costs."""
-    asked = read("documents").filter("text is not null").groupBy(F.col("source").alias("request")).agg(F.array_sort(F.collect_list("doc_id")).cast("array<string>").alias("ids"))
+    """Every cell of every document, asked for by its bare number: its state under the budget, its cost and what comes."""
+    asked = _requests(read).groupBy("request", F.col("source").alias("of")).agg(F.array_sort(F.collect_list("doc_id")).cast("array<string>").alias("ids"))
     index = _index(read).withColumn("cell_id", F.regexp_replace("cell_id", "^0+(?=[0-9]{4})", ""))
     texts = read("documents").filter("text is not null").select(cell_functions.content_name(F.col("text")).alias("name"), F.col("text").alias("content")).dropDuplicates(["name"])
-    found = fetch.fetch(asked.withColumn("document", F.concat(F.lit(' "'), "request", F.lit('" '))), index, texts)
-    return found.select("request", F.col("pos").cast("long").alias("pos"), F.lpad("cell_id", 8, "0").alias("cell_id"), "tokens")
+    found = fetch.fetch(asked.withColumn("document", F.concat(F.lit(' "'), "of", F.lit('" '))), index, texts)
+    return found.select("request", "pos", F.lpad("cell_id", 8, "0").alias("cell_id"), "tokens", "state", F.when(F.col("state") == "content", _md5(F.col("content"))).alias("body"))
+
+
+@query(rf"WITH RECURSIVE {_BUDGET} SELECT request, state, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM w GROUP BY request, state")
+def fetch_budget(spark, read):
+    """States of all texts of a request under one budget, in order."""
+    priced = _requests(read).select("request", F.col("doc_id").alias("pos"), proxy(F.col("text")).alias("cost"), F.lit(None).cast("string").alias("state"))
+    return fetch.greedy_budget(priced).groupBy("request", F.col("outcome").alias("state")).agg(F.count("*").alias("n"), F.sum("pos").alias("ids"))
 
 
 @query(rf"""
-WITH RECURSIVE c AS (SELECT source AS request, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, {_tok('text')} AS cost FROM documents WHERE text IS NOT NULL),
-w AS (SELECT request, pos, CASE WHEN cost <= 8000 THEN cost ELSE 8000 END AS spent, CASE WHEN cost <= 8000 THEN 'content' ELSE 'truncated' END AS state FROM c WHERE pos = 1
-  UNION ALL SELECT c.request, c.pos, CASE WHEN w.spent + c.cost <= 8000 THEN w.spent + c.cost WHEN w.spent > 0 THEN w.spent ELSE 8000 END,
-    CASE WHEN w.spent + c.cost <= 8000 THEN 'content' WHEN w.spent > 0 THEN 'deferred' ELSE 'truncated' END FROM w JOIN c ON c.request = w.request AND c.pos = w.pos + 1)
-SELECT request, state, count(*) AS n, sum(pos)::BIGINT AS places FROM w GROUP BY request, state
+WITH t AS (SELECT doc_id, text, {_tok('text')} AS cost FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, cost > 300 AS cut, CASE WHEN cost <= 300 THEN md5(text) END AS whole FROM t
 """)
-def fetch_budget(spark, read):
-    """States of all texts of a source under one budget, in order."""
-    priced = read("documents").filter("text is not null").select("source", "doc_id", proxy(F.col("text")).alias("cost"), F.lit(None).cast("string").alias("state"))
-    listed = priced.groupBy(F.col("source").alias("request")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "state", "cost"))).alias("items"))
-    dealt = listed.select("request", F.posexplode(fetch.greedy_budget(F.col("items"))).alias("pos", "state"))
-    return dealt.groupBy("request", "state").agg(F.count("*").alias("n"), F.sum(F.col("pos") + 1).cast("long").alias("places"))
+def clip_to_budget(spark, read):
+    """Texts cut to 300 tokens: whole where they fit, else never beyond the budget nor far below it."""
+    clipped = read("documents").filter("text is not null").select("doc_id", "text", fetch.clipped(F.col("text"), F.lit(300)).alias("part"))
+    priced = clipped.select("doc_id", "text", "part", proxy(F.col("part")).alias("n"), proxy(F.col("text")).alias("cost"))
+    sound = F.col("text").startswith(F.col("part")) & (F.col("n") <= 300) & ((F.col("part") == F.col("text")) | (F.col("n") >= 280))
+    return priced.select("doc_id", F.when(sound, F.col("cost") > 300).alias("cut"), F.when(F.col("part") == F.col("text"), _md5(F.col("part"))).alias("whole"))
 
 
 @query(r"""
@@ -398,7 +434,13 @@ def _page_payloads(read) -> DataFrame:
     return read("pages").select(F.col("page_id").cast("string").alias("doc_id"), F.to_json(whole).cast("binary").alias("raw"))
 
 
-@query("SELECT page_id::VARCHAR AS doc_id, 'avatar_url,html_url,node_id,url' AS dropped, concat('{\"page_id\":', page_id, ',\"user\":{\"id\":', page_id, '}}') AS kept FROM pages WHERE url IS NOT NULL")
+@query("""
+WITH p AS (SELECT page_id, json_object('page_id', page_id, 'url', url, 'html_url', url, 'user', json_object('avatar_url', url, 'id', page_id, 'node_id', 'x')) AS j FROM pages WHERE url IS NOT NULL),
+k AS (SELECT page_id, unnest(json_keys(j) || json_keys(j, '$.user')) AS key FROM p),
+g AS (SELECT page_id, bool_or(key LIKE '%\\_url' ESCAPE '\\') AS api FROM k GROUP BY page_id)
+SELECT page_id::VARCHAR AS doc_id, string_agg(DISTINCT key, ',' ORDER BY key) FILTER (WHERE key LIKE '%\\_url' ESCAPE '\\' OR key IN ('node_id', 'gravatar_id') OR (key = 'url' AND api)) AS dropped,
+  any_value(concat('{"page_id":', page_id, ',"user":{"id":', page_id, '}}')) AS kept FROM k JOIN g USING (page_id) GROUP BY page_id
+""".replace("\\\\", "\\"))
 def strip_url_keys(spark, read):
     return extract(_page_payloads(read)).select("doc_id", F.array_join("dropped", ",").alias("dropped"), F.col("compact").alias("kept"))
 
@@ -434,14 +476,18 @@ def largest_record_array(spark, read):
     return extract(payloads).filter("state = 'records'").select("doc_id", F.array_join("path", ",").alias("path"), "n_rows")
 
 
-@query("SELECT 'even' AS doc_id, 'event_id,k' AS cols UNION ALL SELECT 'odd', 'event_id,user_id,value'")
+@query("""
+WITH r AS (SELECT 'even' AS doc_id, json_object('event_id', event_id, 'k', json_extract(props, '$.k')) AS j FROM events WHERE event_id % 2 = 0
+  UNION ALL SELECT 'odd', json_object('event_id', event_id, 'user_id', user_id, 'value', value) FROM events WHERE event_id % 2 = 1),
+k AS (SELECT doc_id, unnest(json_keys(j)) AS key FROM r) SELECT doc_id, string_agg(DISTINCT key, ',' ORDER BY key) AS cols, count(*) AS n FROM k GROUP BY doc_id
+""")
 def union_schema(spark, read):
-    """Rows of two shapes under one schema."""
+    """Rows of two shapes under one schema: the columns that each shape has, and how many cells."""
     a = read("events").filter("event_id % 2 = 0").select(F.lit("even").alias("doc"), "event_id", F.get_json_object("props", "$.k").alias("k"))
     b = read("events").filter("event_id % 2 = 1").select(F.lit("odd").alias("doc"), "event_id", "user_id", "value")
     both = a.unionByName(b, allowMissingColumns=True)
-    cells = typed_cells(both, "doc", ["event_id"], ["event_id", "k", "user_id", "value"]).filter("kind <> 'null'")
-    return cells.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("col")), ",").alias("cols"))
+    cells = typed_cells(both, "doc", "event_id", ["event_id", "k", "user_id", "value"]).filter("kind <> 'null'")
+    return cells.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("col")), ",").alias("cols"), F.count("*").alias("n"))
 
 
 @query("""
@@ -453,14 +499,14 @@ def presence_vs_null(spark, read):
     return questions.key_presence(read("documents").select(F.coalesce(row, F.create_map(F.lit("id"), F.lit("1"))).alias("row_")), "row_", "merged")
 
 
-@query("SELECT n_regionkey::VARCHAR AS doc_id, 'same' AS outcome FROM nation GROUP BY n_regionkey")
+@query("""
+SELECT n_regionkey::VARCHAR AS doc_id, concat('[', string_agg(concat('{"n_name":"', n_name, '","n_nationkey":', n_nationkey, ',"n_regionkey":', n_regionkey, '}'), ',' ORDER BY n_nationkey), ']') AS back
+FROM nation GROUP BY n_regionkey
+""")
 def compress_roundtrip(spark, read):
-    """Nations by region as payloads, compressed and read back."""
+    """Nations by region as payloads, compressed and read back: the JSON that comes back, keys in order."""
     payloads = from_rows(read("nation"), "n_regionkey", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])
-    done = compress(payloads)
-    wanted = extract(payloads).select("doc_id", F.col("canon").alias("wanted"))
-    back = decompress(done.documents.select("doc_id", "document")).join(wanted, "doc_id")
-    return back.select("doc_id", F.when(F.col("canon") == F.col("wanted"), "same").otherwise("differs").alias("outcome"))
+    return decompress(compress(payloads).documents.select("doc_id", "document")).select("doc_id", F.col("canon").alias("back"))
 
 
 @query()
@@ -548,9 +594,11 @@ def multi_value_filter(spark, read):
     return questions.having_element(read("events").groupBy("user_id").agg(F.collect_set("event_type").alias("types")), "types", "error", "user_id")
 
 
-@query("SELECT doc_id FROM documents WHERE coalesce(text, '') = ''")
+@query("SELECT doc_id FROM documents WHERE coalesce(CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE text END, '') = ''")
 def blank_texts(spark, read):
-    return questions.blank(read("documents"), "text", "doc_id")
+    """Texts that are null or empty, which some are made here."""
+    some = F.when(F.col("doc_id") % 9 == 0, F.lit("")).when(F.col("doc_id") % 9 != 1, F.col("text"))
+    return questions.blank(read("documents").withColumn("text", some), "text", "doc_id")
 
 
 @query("SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -562,9 +610,8 @@ def map_projection(spark, read):
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def keyed_lookup(spark, read):
     """A record found in an object by a key that another record names."""
-    regions = read("region").agg(F.collect_list(F.struct("r_regionkey", "r_name")).alias("all"))
-    held = regions.select(F.lit(1).alias("one"), questions.keyed("all", "r_regionkey", "r_name").alias("by_key"))
-    return read("nation").withColumn("one", F.lit(1)).join(F.broadcast(held), "one").select("n_name", F.element_at("by_key", F.col("n_regionkey")).alias("r_name")).filter("r_name is not null")
+    regions = read("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return read("nation").join(regions, "n_regionkey").select("n_name", "r_name")
 
 
 @query("SELECT c_mktsegment, count(*) AS n, min(c_custkey) AS first FROM customer WHERE c_acctbal < 0 GROUP BY c_mktsegment")
@@ -627,8 +674,8 @@ def encoding_sweep(spark, read):
 
 
 @query(rf"""
-WITH f AS (SELECT text, k AS lure, concat('{chr(92)}@0001', CASE WHEN n < 0 THEN concat('[', {_tok('text')}, 't]') ELSE substr(text, 1, n) END) AS h
-  FROM documents, (VALUES ('bare', 0), ('size', -1), ('text_32', 32), ('text_48', 48), ('text_80', 80)) AS v(k, n)),
+WITH f AS (SELECT text, k AS lure, concat('{chr(92)}@0001', CASE WHEN sized THEN concat('[', {_tok('text')}, 't] ') ELSE '' END, substr(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), 1, n)) AS h
+  FROM documents, (VALUES ('bare', 0, false), ('size', 0, true), ('text_32', 32, false), ('size_text_32', 32, true), ('size_text_48', 48, true), ('size_text_80', 80, true)) AS v(k, n, sized)),
 g AS (SELECT lure, {_tok(_csv('text'))} - {_tok(_csv('h'))} AS gain FROM f)
 SELECT lure, count(*) FILTER (WHERE gain >= 20) AS n_stored, coalesce(sum(gain) FILTER (WHERE gain >= 20), 0)::BIGINT AS saved FROM g GROUP BY lure
 """)
@@ -683,29 +730,64 @@ def answers_compared(spark, read):
 
 @query(rf"SELECT event_id, {_tok('props')} AS total, {_tok('''json_extract_string(props, '$.k')''')} AS in_values, {_tok('props')} - {_tok('''json_extract_string(props, '$.k')''')} AS structure FROM events")
 def token_split(spark, read):
-    leaves = F.array(F.get_json_object("props", "$.k"))
-    return read("events").select("event_id", measure.token_split(F.col("props"), leaves).alias("s")).select("event_id", "s.*")
+    """Tokens of payloads, in their scalars and in what is around them."""
+    found = leaves(from_column(read("events"), "event_id", "props")).select(F.col("doc_id").cast("long").alias("event_id"), "leaves")
+    return read("events").join(found, "event_id").select("event_id", measure.token_split(F.col("props"), F.col("leaves")).alias("s")).select("event_id", "s.*")
 
 
 # The flagship: what compression of the documents of each source would save
 
 
-def savings_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, n_rows, raw_cost, out_cost, n_stored, saved): constants, dictionaries and stored cells priced."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cells = typed_cells(docs, "source", ["doc_id"], ["source", "lang", "n_chars", "text"])
-    counts = docs.groupBy(F.col("source").alias("doc_id")).agg(F.count("*").alias("n_rows"))
-    profiled = profile.columns(cells, counts)
-    consts = profile.constants(profiled).withColumn("const", F.lit(True))
-    dicts = profile.dictionaries(encode.without_constants(cells, consts), profiled).select("doc_id", "col", "dict_cost").distinct()
-    typed = cells.join(profiled.select("doc_id", "col", "type"), ["doc_id", "col"]).join(consts.select("doc_id", "col", "const"), ["doc_id", "col"], "left").join(dicts, ["doc_id", "col"], "left")
-    whole = csv_cost(encode.written())
-    handle = csv_cost(cell_functions.handle(F.lit("0001"), proxy(encode.written())))
-    goes = F.col("const").isNull() & F.col("dict_cost").isNull() & (whole - handle >= store.LEAST_SAVING)
-    out = F.when(F.col("const") | F.col("dict_cost").isNotNull(), F.lit(0)).when(goes, handle).otherwise(whole)
-    per_column = typed.groupBy("doc_id", "col").agg(F.sum(whole).alias("raw"), F.sum(out).alias("out"), F.count_if(goes).alias("stored"), F.max("dict_cost").alias("dict_cost"), F.count("*").alias("n"))
-    summed = per_column.groupBy(F.col("doc_id").alias("source")).agg(F.max("n").alias("n_rows"), F.sum("raw").alias("raw_cost"), F.sum(F.col("out") + F.coalesce("dict_cost", F.lit(0))).alias("out_cost"), F.sum("stored").alias("n_stored"))
-    return summed.withColumn("saved", F.col("raw_cost") - F.col("out_cost"))
+_OWN = f"""
+u AS (SELECT source, 'source' AS col, source AS v, false AS num FROM documents UNION ALL SELECT source, 'lang', lang, false FROM documents
+  UNION ALL SELECT source, 'n_chars', n_chars::VARCHAR, true FROM documents UNION ALL SELECT source, 'text', text, false FROM documents),
+w AS (SELECT source, col, v, num, count(*) AS n, CASE WHEN v IS NULL THEN '{chr(92)}N' WHEN num THEN v ELSE {_CELL} END AS cell,
+  CASE WHEN num THEN v ELSE to_json(v)::VARCHAR END AS j FROM u GROUP BY source, col, v, num),
+p AS (SELECT *, {_tok('cell')} AS size, {_tok(_csv('cell'))} AS whole, {_tok('j')} AS json_cost FROM w),
+q AS (SELECT *, {_tok(f"concat('{chr(92)}@0001[', size, 't]')")} AS handle FROM p)
+"""
 
 
-QUERIES["savings_by_source"] = savings_by_source
+@query(f"""
+WITH {_OWN},
+c AS (SELECT source, col, sum(n) AS n_rows, count(*) AS n_kinds, count(*) FILTER (WHERE v IS NOT NULL) AS d, coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) AS m, sum(n * whole) AS raw,
+  sum(json_cost) FILTER (WHERE v IS NOT NULL) AS json_cost, sum(n * size) FILTER (WHERE v IS NOT NULL) AS cells_cost, sum(n * CASE WHEN whole - handle >= 20 THEN handle ELSE whole END) AS stashed, sum(n) FILTER (WHERE whole - handle >= 20) AS n_stored
+  FROM q GROUP BY source, col),
+k AS (SELECT *, n_kinds = 1 AS const, d + greatest(d - 1000, 0) + greatest(d - 1000000, 0) AS keys FROM c),
+e AS (SELECT *, CASE WHEN NOT const AND m >= 2 AND d >= 2 AND d < m THEN {_tok("concat('{\"', col, '\":{}}')")} + json_cost + keys + 4 * d - 1 + round_even(keys::DOUBLE / d * m, 0)::BIGINT END AS dict_cost FROM k),
+f AS (SELECT *, cells_cost - dict_cost >= 20 AS dict FROM e)
+SELECT source, max(n_rows)::BIGINT AS n_rows, sum(raw)::BIGINT AS raw_cost, sum(CASE WHEN const THEN 0 WHEN dict THEN dict_cost ELSE stashed END)::BIGINT AS out_cost,
+  sum(CASE WHEN const OR dict THEN 0 ELSE coalesce(n_stored, 0) END)::BIGINT AS n_stored, sum(raw)::BIGINT - sum(CASE WHEN const THEN 0 WHEN dict THEN dict_cost ELSE stashed END)::BIGINT AS saved
+FROM f GROUP BY source
+""".replace("\\\"", '"'))
+def savings_by_source(spark, read):
+    """(source, n_rows, raw_cost, out_cost, n_stored, saved): constants, dictionaries and stored cells priced.
+
+    Every text is priced once as a cell and once as JSON where it is read; what is shuffled are costs, and different values
+    by themselves or a digest.
+    """
+    columns = {"source": "str", "lang": "str", "n_chars": "int", "text": "str"}
+
+    def priced(name: str, kind: str) -> Column:
+        value = F.col(name).cast("string")
+        cell = F.when(value.isNull(), F.lit(cell_functions.NULL)).otherwise(cell_functions.escaped(value) if kind == "str" else value)
+        json = profile.json_string(name) if kind == "str" else value
+        return F.struct(F.lit(name).alias("col"), profile.short(value).alias("value"), proxy(cell).alias("size"), csv_cost(cell).alias("whole"), proxy(json).alias("json_cost"))
+
+    cells = read("documents").select("source", F.explode(F.array(*(priced(*c) for c in columns.items()))).alias("c")).select("source", "c.*")
+    kinds = cells.groupBy("source", "col", "value").agg(F.count("*").alias("n"), F.min("size").alias("size"), F.min("whole").alias("whole"), F.min("json_cost").alias("json_cost"))
+    handle = csv_cost(cell_functions.handle(F.lit("0001"), F.col("size")))
+    kinds = kinds.withColumn("handle", handle).withColumn("goes", F.col("whole") - F.col("handle") >= store.LEAST_SAVING)
+    some = F.col("value").isNotNull()
+    per_column = kinds.groupBy(F.col("source").alias("doc_id"), "col").agg(
+        F.sum("n").alias("n_rows"), F.count("*").alias("n_kinds"), F.count("value").alias("n_distinct"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("n_values"),
+        F.sum(F.when(some, F.col("json_cost"))).alias("json_cost"), F.sum(F.when(some, F.col("n") * F.col("size"))).alias("cells_cost"), F.sum(F.col("n") * F.col("whole")).alias("raw"),
+        F.sum(F.col("n") * F.when(F.col("goes"), F.col("handle")).otherwise(F.col("whole"))).alias("stashed"), F.coalesce(F.sum(F.when(F.col("goes"), F.col("n"))), F.lit(0)).alias("n_stored"),
+    )
+    const = F.col("n_kinds") == 1
+    dicts = profile.worthwhile(per_column.filter(~const), proxy).select("doc_id", "col", "dict_cost")
+    whole = per_column.join(dicts, ["doc_id", "col"], "left")
+    out = F.when(const, F.lit(0)).otherwise(F.coalesce("dict_cost", "stashed"))
+    stored = F.when(const | F.col("dict_cost").isNotNull(), F.lit(0)).otherwise(F.col("n_stored"))
+    summed = whole.groupBy(F.col("doc_id").alias("source")).agg(F.max("n_rows").alias("n_rows"), F.sum("raw").alias("raw_cost"), F.sum(out).alias("out_cost"), F.sum(stored).alias("n_stored"))
+    return summed.withColumn("saved", F.col("raw_cost") - F.col("out_cost"))

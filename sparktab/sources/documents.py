@@ -179,3 +179,25 @@ def restore(documents: DataFrame) -> DataFrame:
 
     rows = documents.select("doc_id", "document", F.col("stored").cast("map<string,string>").alias("stored"))
     return rows.mapInArrow(run, "doc_id string, canon string, error string")
+
+
+def used_cells(documents: DataFrame) -> DataFrame:
+    """(doc_id, cell_id) of the handles in documents (document), each once, doc_id being the document's own in the
+    store.  Texts that are no documents, or cannot be read, use none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, cells = [], []
+            for text in batch.column(0).to_pylist():
+                try:
+                    shape = parsed(text or "")
+                except (ValueError, RecursionError):
+                    continue
+                if shape["store"] is None:
+                    continue
+                found = {x[len(HANDLE) :].split("[")[0] for fields in shape["records"] for x in fields if x.startswith(HANDLE)}
+                cells += sorted(found)
+                docs += [shape["store"]] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(cells, pa.string())], ["doc_id", "cell_id"])
+
+    return documents.select("document").mapInArrow(run, "doc_id string, cell_id string").distinct()

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ SEARCH_DEPTH, FLATTEN_DEPTH, LEAST_ROWS, LEAST_IN_MAP = 4, 2, 2, 2
 NOISE_KEYS = ("node_id", "gravatar_id")
 
 COMPACT = (",", ":")
+#: Payload text that a worker takes apart at once, in bytes.
+SLICE_BYTES = 1 << 20
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -234,14 +237,26 @@ def extract(payloads: DataFrame) -> DataFrame:
     schema = _arrow(EXTRACT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text, state in zip(*(c.to_pylist() for c in batch.columns)):
-                one = taken_apart(doc_id, text) | ({} if state == "text" else {"state": state})
-                yield pa.RecordBatch.from_pylist([one], schema=schema)
+        for batch in in_slices(batches, 1):
+            held = [taken_apart(doc_id, text) | ({} if state == "text" else {"state": state}) for doc_id, text, state in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return decoded(payloads).select("doc_id", "text", "state").mapInArrow(run, EXTRACT)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of a text column; a longer one is a batch of its own."""
+    for batch in batches:
+        start = held = 0
+        for i, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            if held and held + (size or 0) > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size or 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 NODE = "doc_id string, path array<string>, place array<int>, key string, kind string, json string, n_children int, keyset string"
 
 
@@ -263,7 +278,7 @@ def nodes(payloads: DataFrame) -> DataFrame:
             todo += [((*path, k), (*place, i), k, y) for i, (k, y) in reversed(list(enumerate(inner)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             for doc_id, text, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     value = json.loads(text) if text is not None else None
@@ -281,3 +296,10 @@ def nodes(payloads: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return decoded(payloads).select("doc_id", "text", "state").mapInArrow(run, NODE)
+
+
+def leaves(payloads: DataFrame) -> DataFrame:
+    """(doc_id, leaves): the JSON of every scalar of each payload, depth first."""
+    found = nodes(payloads).filter(~F.col("kind").isin("dict", "list"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "json")))
+    return found.groupBy("doc_id").agg(F.transform(listed, lambda x: x["json"]).alias("leaves"))

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 _written: set[str] = set()
 _path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
+#: Bytes of a row group, which a task holds until it is written.
+GROUP_BYTES = 16 << 20
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -51,7 +54,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_folder(spark)}/sparktab-{uuid.uuid4().hex}"
     with _shuffles_let_go(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     _written.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     _path_of[out] = path

@@ -44,10 +44,14 @@ def _parts(name: str, kind: T.DataType) -> Column:
     )
 
 
-def typed_cells(df: DataFrame, id_col: str, order_cols: list[str], columns: list[str]) -> DataFrame:
-    """Cells (doc_id, row, col, kind, json, canon, text, shape, steps): a document for each value of
-    ``id_col``, its rows numbered in the given order."""
+def typed_cells(df: DataFrame, id_col: str, order_col: str, columns: list[str], numbered: bool = False) -> DataFrame:
+    """Cells (doc_id, row, col, kind, json, canon, text, shape, steps): a document for each value of ``id_col``.
+
+    row is the value of an integer column by which a document's rows are ordered and told apart; that needs no
+    shuffle.  With ``numbered`` it counts from 0, which sorts each document in a task of its own: for
+    documents of bounded size.
+    """
     kinds = {f.name: f.dataType for f in df.schema}
-    row = (F.row_number().over(W.partitionBy(id_col).orderBy(*order_cols)) - 1).alias("row")
+    row = F.row_number().over(W.partitionBy(id_col).orderBy(order_col)) - 1 if numbered else F.col(order_col).cast("long")
     cells = F.explode(F.array(*(_parts(c, kinds[c]) for c in columns))).alias("c")
-    return df.select(F.col(id_col).cast("string").alias("doc_id"), row, *dict.fromkeys(columns)).select("doc_id", "row", cells).select("doc_id", "row", "c.*")
+    return df.select(F.col(id_col).cast("string").alias("doc_id"), row.alias("row"), *dict.fromkeys(columns)).select("doc_id", "row", cells).select("doc_id", "row", "c.*")

@@ -167,3 +167,28 @@ def test_broken_documents_are_errors_and_not_values(spark):
     texts = ["#sparktab/v1", "#sparktab/v1\n[2]{a:int}\n1\n", '#sparktab/v1\n[1]{a:str}\n"x\n', "#sparktab/v1\n[1]{a:str,b:int}\nx\n", "not json"]
     rows = [(str(i), t) for i, t in enumerate(texts)]
     assert all(r.error and r.canon is None for r in decompress(spark.createDataFrame(rows, "doc_id string, document string")).collect())
+
+
+def test_more_stored_values_than_ids_is_one_payloads_matter(spark):
+    """A payload beyond the last id stores nothing and says so; the one beside it is stored."""
+    bulk = "many words that are worth moving out of the document, all the same length and more, " * 2
+    rows = [("big", json.dumps([{"i": i, "b": f"{bulk}{i}"} for i in range(10_050)])), ("small", json.dumps([{"i": i, "b": f"{bulk}{i}"} for i in range(12)]))]
+    done = compress(spark.createDataFrame([(i, t.encode()) for i, t in rows], "doc_id string, raw binary"), with_store=True)
+    found = {r.doc_id: r for r in done.documents.collect()}
+    assert found["small"].status == "table" and found["small"].held == 12
+    assert found["big"].status in ("json", "unchanged") and "more values to store" in found["big"].note and found["big"].held == 0
+    assert [r.doc_id for r in done.moved.select("doc_id").distinct().collect()] == ["small"]
+
+
+def test_one_broken_cell_is_one_documents_matter(spark, tmp_path):
+    bulk = "many words that are worth moving out of the document, all the same length and more, " * 2
+    rows = [(x, json.dumps([{"i": i, "b": f"{x} {bulk}{i}"} for i in range(12)]).encode()) for x in ("one", "two")]
+    done = compress(spark.createDataFrame(rows, "doc_id string, raw binary"), with_store=True)
+    own = store.Store(spark, str(tmp_path))
+    own.commit(done.moved, done.ids)
+    used = documents.used_cells(done.documents)
+    assert used.count() == 24 and store.orphaned(own.index, used).isEmpty()
+    own.delete(own.objects.filter("content like 'two%'").first().name)
+    back = {r.doc_id: r for r in decompress(done.documents.select("doc_id", "document"), own).collect()}
+    assert back["one"].error is None and json.loads(back["one"].canon)[3]["i"] == 3
+    assert back["two"].canon is None and "stored elsewhere" in back["two"].error

@@ -29,10 +29,45 @@ def test_detectors_find_what_is_wrong(held):
     assert [r.cell_id for r in store.orphaned(index, index.filter("cell_id = '0001'").select("doc_id", "cell_id")).collect()] == ["0002"]
 
 
-def test_resolving_a_broken_cell_is_an_error(held):
+def test_resolving_a_broken_cell_names_the_problem(held):
     index, objects, _ = held
-    with pytest.raises(Exception, match="no content"):
-        store.resolve(index, objects.filter("content <> 'y'")).collect()
+    changed = objects.withColumn("content", F.when(F.col("content") == "x", "other").otherwise(F.col("content"))).filter("content <> 'y'")
+    found = {(r.doc_id, r.cell_id): (r.content, r.problem) for r in store.resolve(index, changed).collect()}
+    assert found == {("d1", "0001"): (None, "content changed"), ("d1", "0002"): (None, "missing"), ("d2", "0001"): (None, "content changed")}
+    assert store.bundles(index, objects.filter("content <> 'y'")).filter("bundle is null").first().doc_id == "d1"
+
+
+def test_listings_and_single_objects(spark, held, tmp_path):
+    index, objects, name = held
+    own = store.Store(spark, str(tmp_path))
+    assert own.documents().isEmpty() and not own.has_document("d1") and not own.has_object("x")
+    own._append(objects, "objects")
+    own._append(index, "store_index")
+    assert [r.doc_id for r in own.documents().collect()] == ["d1", "d2"] and [r.name for r in own.names().collect()] == sorted(name.values())
+    assert own.has_document("d1") and not own.has_document("d3") and own.has_object(name["x"])
+    own.delete(name["y"], name["z"])
+    assert not own.has_object(name["y"]) and [r.content for r in own.objects.collect()] == ["x"]
+    own._append(objects.filter("content = 'z'"), "objects")
+    assert own.objects.count() == 2
+
+
+def test_a_rewrite_that_did_not_end_changes_nothing(spark, held, tmp_path):
+    _, objects, _ = held
+    own = store.Store(spark, str(tmp_path))
+    own._append(objects, "objects")
+    (tmp_path / "objects.1").mkdir()
+    assert own.objects.count() == 3
+    own.delete("none")
+    assert own.objects.count() == 3 and own._generations("objects") == [1]
+
+
+def test_bundles_in_parts(spark, held, tmp_path):
+    _, objects, name = held
+    index = spark.createDataFrame([("d", f"{i:04}", name["xyz"[i % 3]]) for i in range(1, 20)], store.INDEX)
+    parts = store.bundles(index, objects, block=8)
+    assert sorted((r.part, len(json.loads(r.bundle)["index"])) for r in parts.collect()) == [(0, 7), (1, 8), (2, 4)]
+    other = store.Store(spark, str(tmp_path))
+    assert other.import_bundles(parts).isEmpty() and other.index.count() == 19 and other.objects.count() == 3
 
 
 def test_collection_is_dry_unless_told(spark, held, tmp_path):
