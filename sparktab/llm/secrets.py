@@ -10,8 +10,9 @@ Trigrams are taken of lower-cased texts, so that a query also holds for letters
 case.  Spans are (kind, start, end) in code points, end exclusive, leftmost and not
 overlapping within a kind.
 
-Null text is taken as empty.  Every input row gives one output row: rows that repeat an id
-are told apart by their texts, null ids are joined null-safely, extra columns are ignored.
+Null text is taken as empty.  Every input row gives one output row, none for an empty table: rows that repeat an id
+are told apart by their texts, null ids are joined null-safely, extra columns are ignored.  The work for a very long text
+grows with its length and a little with the square of its matches (a block of 256 at a time).
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import from_deltas
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -42,8 +45,9 @@ class Rule:
 #: The three base kinds of the contract, in their order, then what this scan adds.
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    # Runs are matched as far as they go, so shorter ones need no match of their own to be dropped.
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -147,31 +151,36 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return [] if frozenset() in clauses else sorted(sorted(c) for c in clauses)
 
 
+_NONE = "cast(array() as array<struct<start:int,kind_order:int,end:int,kind:string>>)"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end, kind) of a rule's matches in a text.
 
-    Splitting at the matches gives what lies between them; lengths of both, summed in turn,
-    give the places.
+    One pass finds the matches; where there are some, a second splits the text at them, and running sums of the lengths
+    of what lies between and of the matches give the places.
     """
-    found = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1))
-    length = F.transform(found, lambda x: F.char_length(x))
-    enough = F.transform(F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(rule.measured + 1)), lambda x: F.char_length(x) >= rule.least)
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.char_length(x))
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), length.alias("length"), enough.alias("enough")),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind_order:int,end:int,kind:string>>)").alias("out")),
-        lambda done, x: F.struct(
-            (done["at"] + x["gap"] + x["length"]).alias("at"),
-            F.when(
-                x["enough"],
-                F.concat(done["out"], F.array(F.struct((done["at"] + x["gap"]).alias("start"), F.lit(order).alias("kind_order"), (done["at"] + x["gap"] + x["length"]).alias("end"), F.lit(rule.kind).alias("kind")))),
-            )
-            .otherwise(done["out"])
-            .alias("out"),
-        ),
-        lambda done: done["out"],
-    )
-    return F.when(text.rlike(rule.pattern), walked).otherwise(F.expr("cast(array() as array<struct<start:int,kind_order:int,end:int,kind:string>>)"))
+
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)), lambda x: F.char_length(x))
+        lengths = F.flatten(F.zip_with(gaps, found, lambda gap, x: F.array(gap.cast("bigint"), F.char_length(x).cast("bigint"))))
+
+        def spans(at: Column) -> Column:
+            def span(x: Column, i: Column) -> Column:
+                one = F.struct(F.get(at, 2 * i).cast("int").alias("start"), F.lit(order).alias("kind_order"), F.get(at, 2 * i + 1).cast("int").alias("end"), F.lit(rule.kind).alias("kind"))
+                enough = F.char_length(F.regexp_extract(x, rule.pattern, rule.measured)) >= rule.least if rule.least else F.lit(True)
+                return F.when(enough, one)
+
+            return F.array_compact(F.transform(found, span))
+
+        return F.when(F.size(found) == 0, F.expr(_NONE)).otherwise(_let(from_deltas(lengths), spans))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1)), placed)
 
 
 def postings(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -203,7 +212,7 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "d
     rows = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp"), *more)
     found = candidates(postings(rows, rules), rules).withColumnsRenamed({"doc_id": "hit_id", "fp": "hit_fp"})
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("fp") == F.col("hit_fp")), "left")
-    none = F.expr("cast(array() as array<struct<start:int,kind_order:int,end:int,kind:string>>)")
+    none = F.expr(_NONE)
     every = []
     for order, rule in enumerate(rules):
         spans = spans_of(F.col("text"), rule, order)
