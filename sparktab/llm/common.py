@@ -65,6 +65,10 @@ def in_batches(df: DataFrame) -> DataFrame:
 
 
 def as_binary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text as UTF-8 bytes): what the Python sides of operators take."""
+    """(id, text as UTF-8 bytes): what the Python sides of operators take.
+
+    Ids are numbers: text that is a number is taken as one, other text ends the job under ANSI rules (Spark's own) and
+    is a null id without them.
+    """
     df = in_batches(df)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))

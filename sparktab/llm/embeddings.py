@@ -16,7 +16,8 @@ partner for each vector, never the pairs.
 Vectors that are null, empty, zero, or hold a null or non-finite component, and rows with a null
 label, link with nothing.  Vectors of different lengths are never compared.  A null id links
 with nothing and is a component of its own (null); rows that repeat an id are vectors that link like
-others, and count as such.  Extra columns are ignored.
+others, and count as such.  Extra columns are ignored; an empty table gives no row; vectors may be of any length, which
+only the memory for two blocks of them bounds.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .graph import components, lowest_reachable
 COSINE = 0.98
 #: Tables, rotations joined in a table, probes of each table, vectors in a block, and the seed of the
 #: rotations.  A pair at the least cosine misses one table with probability 0.084 (64 dimensions).
-TABLES, JOINED, PROBES, BLOCK, SEED = 6, 3, 4, 2048, 20240607
+TABLES, JOINED, PROBES, BLOCK, SEED = 6, 3, 4, 512, 20240607
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
