@@ -12,17 +12,17 @@ from .profile import json_string
 
 #: What the legend says of each encoding, in its order.
 LEGEND = {
-    "dints": "type dints: the first number, then the difference of each next one from the one before (10 3 2 is 10, 13, 15)",
-    "lists": "types ints and strs: a list, its elements separated by spaces",
-    "null": r"\N: null",
-    "empty_string": r"\E: a string of no characters",
-    "empty_array": r"\A: a list of no elements",
-    "handle": r"\@nnnn[Nt]: a value of N tokens that is kept outside this document; fetch it by the id on the #store line and nnnn",
-    "absent": "a cell with nothing in it: the record has no such key",
-    "repeat": f"the header is printed again every {HEADER_EVERY} rows of the same table",
-    "dict": "type dict: a key to the column's entry on the #dict line, not the value itself",
-    "keyed": "#keyed: the named column is the key that each record had in its object, and no field of the record",
-    "dotted": "a.b: field b of the object a",
+    "dints": "dints columns list whole numbers as a start followed by steps, so 7 1 5 reads 7, 8, 13",
+    "lists": "ints and strs columns list their elements with a blank in between",
+    "null": r"\N reads null",
+    "empty_string": r"\E reads as the empty string",
+    "empty_array": r"\A reads as the empty list",
+    "handle": r"\@nnnn[Nt] is a value of N tokens held in the store: ask for nnnn of the document named on the #store line",
+    "absent": "where nothing stands, the record lacks that key",
+    "repeat": f"after {HEADER_EVERY} rows the header line comes once more, and the table goes on",
+    "dict": "dict columns give a number, whose value the #dict line tells",
+    "keyed": "the column on the #keyed line holds the name under which each record stood",
+    "dotted": "a column a.b is b within a",
 }
 
 
