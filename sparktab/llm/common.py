@@ -15,9 +15,9 @@ from ..sources.tables import drop, durable  # noqa: F401
 #: Text handed to one step of a Python worker, in bytes; bounds what a worker holds at once.
 SLICE_BYTES = 4 << 20
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-#: Rows handed to a Python worker at once, in bytes, unless the session says otherwise.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Unless the session says otherwise: bytes of rows handed to a Python worker at once, and rows that a Parquet file is
+#: read by (columns of long texts are held whole for so many rows).
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.parquet.columnarReaderBatchSize": "128"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,10 +57,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
 
 
 def in_batches(df: DataFrame) -> DataFrame:
-    """``df``; the session's Arrow batches get a closer bound by bytes unless it has one set, since rows can be very long."""
+    """``df``; batches in its session get closer bounds unless it has some set, since rows can be very long."""
     conf = df.sparkSession.conf
-    if conf.get(_BATCH, None) is None:
-        conf.set(_BATCH, str(BATCH_BYTES))
+    for name, value in SETTINGS.items():
+        if conf.get(name, None) is None:
+            conf.set(name, value)
     return df
 
 
