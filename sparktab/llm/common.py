@@ -41,21 +41,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
 
     A single row larger than the limit gets a batch of its own.
     """
+    parts: list[pa.RecordBatch] = []
+    held = 0
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sizes = [0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()]
-        start = held = 0
-        for i, size in enumerate(sizes):
+        start = 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
             if held and held + size > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
+                parts.append(batch.slice(start, i - start))
+                yield _joined(parts)
+                parts, start, held = [], i, 0
             held += size
-        yield batch.slice(start, n - start)
+        if start < batch.num_rows:
+            parts.append(batch.slice(start))
+    if parts:
+        yield _joined(parts)
     _let_go()
 
 
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    parts = [p for p in parts if p.num_rows] or parts[:1]
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def in_batches(df: DataFrame) -> DataFrame:
     """``df``; batches in its session get closer bounds unless it has some set, since rows can be very long."""
     conf = df.sparkSession.conf

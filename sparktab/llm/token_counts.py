@@ -34,7 +34,7 @@ from .bpe import Splitter, byte_alphabet
 from .common import as_binary, file_bytes, slices
 from .hashing import Lookup
 
-CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 1 << 18, 1 << 24, 1 << 20
+CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 1 << 19, 1 << 24, 1 << 20
 #: Code points from one absolute count of a stored table to the next.
 STEP = 256
 #: The longest piece, in bytes, that is counted side by side with others.
@@ -74,9 +74,8 @@ class PrefixCounter:
         self._find = Splitter(self.PIECES)
         self._space, self._blank = regex.compile(r"\s").match, regex.compile(r"\s+").fullmatch
         self._pairs: dict[tuple[int, int], bool] = {}
-        #: How much each code point of a piece changes the count (as bytes if each fits in one), and its tokens.
+        #: How much each code point of a piece changes the count (as bytes if each fits in one).
         self._changes_of: dict[str, bytes | list[int]] = {}
-        self._tokens_of: dict[str, int] = {}
         #: Known pieces that need a look: white space, and such with a change beyond a byte.
         self._odd: set[str] = set()
         self._held = 0
@@ -133,25 +132,42 @@ class PrefixCounter:
 
     def learn(self, pieces: set[str]) -> None:
         """Count pieces that the cache does not hold, those of a length together."""
-        if len(self._tokens_of) >= CACHE_PIECES or self._held >= CACHE_BYTES:
-            self._changes_of, self._tokens_of, self._odd, self._held = {}, {}, set(), 0
-        by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces.difference(self._tokens_of):
+        if len(self._changes_of) >= CACHE_PIECES or self._held >= CACHE_BYTES:
+            self._changes_of, self._odd, self._held = {}, set(), 0
+        by_size: dict[int, tuple[list[str], list[bytes]]] = {}
+        for p in pieces.difference(self._changes_of):
             raw = p.encode()
             if len(raw) <= SIDE_BY_SIDE:
-                by_size.setdefault(len(raw), []).append((p, raw))
+                own = by_size.get(len(raw)) or by_size.setdefault(len(raw), ([], []))
+                own[0].append(p)
+                own[1].append(raw)
             else:
                 self._know(p, raw, self.piece_prefixes(raw))
-        for size, group in by_size.items():
-            for at in range(0, len(group), 1 << 14):
-                some = group[at : at + (1 << 14)]
-                counts = self.prefixes_many(np.frombuffer(b"".join(r for _, r in some), np.uint8).reshape(-1, size))
-                for (p, raw), row in zip(some, counts.tolist()):
-                    self._know(p, raw, row)
+        for size, (names, raws) in by_size.items():
+            for at in range(0, len(names), 1 << 14):
+                some = names[at : at + (1 << 14)]
+                raw = np.frombuffer(b"".join(raws[at : at + (1 << 14)]), np.uint8).reshape(-1, size)
+                counts = self.prefixes_many(raw)
+                # A code point ends before each byte that does not go on with one.
+                ends = np.ones(raw.shape, bool)
+                ends[:, :-1] = raw[:, 1:] & 0xC0 != 0x80
+                found, lengths = counts[:, 1:][ends], ends.sum(axis=1)
+                starts = np.cumsum(lengths) - lengths
+                found[1:] -= found[:-1].copy()
+                found[starts] = counts[np.arange(len(raw)), 1 + ends.argmax(axis=1)]
+                # So short a piece has changes that fit in a byte each.
+                changes, starts = found.astype(np.int8).tobytes(), starts.tolist()
+                self._changes_of.update([(p, changes[a:b]) for p, a, b in zip(some, starts, [*starts[1:], len(changes)])])
+                self._held += size * len(some)
+                for p in filter(self._look, some):
+                    self._know(p, p.encode(), self.prefixes_many(np.frombuffer(p.encode(), np.uint8)[None])[0].tolist())
+
+    @staticmethod
+    def _look(piece: str) -> bool:
+        return piece.isspace() or piece in CONTRACTIONS
 
     def _know(self, piece: str, raw: bytes, counts: list[int]) -> None:
         self._changes_of[piece] = changes = self._changes(piece, raw, counts)
-        self._tokens_of[piece] = counts[-1]
         self._held += len(raw)
         if not isinstance(changes, bytes) or self._blank(piece):
             self._odd.add(piece)
@@ -219,12 +235,12 @@ class PrefixCounter:
                     break
         return counts
 
-    def piece(self, piece: str) -> tuple[bytes | list[int], int]:
-        """(change of the count at each code point, tokens) of one piece."""
-        if piece not in self._tokens_of:
+    def piece(self, piece: str) -> bytes | list[int]:
+        """How much each code point of a piece changes the count; all together are its tokens."""
+        if piece not in self._changes_of:
             raw = piece.encode()
             self._know(piece, raw, self.piece_prefixes(raw))
-        return self._changes_of[piece], self._tokens_of[piece]
+        return self._changes_of[piece]
 
     def pieces(self, text: str) -> list[list[str] | str]:
         """The text in order: lists of pieces, and between them each special string."""
@@ -236,52 +252,56 @@ class PrefixCounter:
 
     def count(self, text: str) -> int:
         """Tokens of a text."""
-        return sum(1 if isinstance(p, str) else sum(self.piece(q)[1] for q in p) for p in self.pieces(text))
+        return sum(1 if isinstance(p, str) else sum(_total(self.piece(q)) for q in p) for p in self.pieces(text))
 
     def table(self, parts: list[list[str] | str], learnt: bool = False) -> "PrefixTable":
         """The prefix table of a text from its ``pieces``; learnt: all pieces went through ``learn`` just now."""
         if not learnt:
             self.learn({p for part in parts if not isinstance(part, str) for p in part})
         out: list[bytes | list[int]] = []
-        changes_of, tokens_of = self._changes_of.__getitem__, self._tokens_of.__getitem__
+        changes_of = self._changes_of.__getitem__
         base = 0
         for k, part in enumerate(parts):
             if isinstance(part, str):
                 # Cut within a special string, that is plain text, split together with what comes before it.
                 tail = parts[k - 1][-2:]
-                before = base - sum(map(tokens_of, tail))
+                before = base - sum(_total(changes_of(p)) for p in tail)
                 at = [base, *(before + self.count("".join(tail) + part[:j]) for j in range(1, len(part))), base + 1]
                 out.append([y - x for x, y in zip(at[:-1], at[1:])])
                 base += 1
                 continue
             done = 0
-            for q in np.flatnonzero(np.fromiter(map(self._odd.__contains__, part), bool, len(part))).tolist():
+            for q in np.flatnonzero(np.fromiter(map(self._odd.__contains__, part), bool, len(part))).tolist() if not self._odd.isdisjoint(part) else ():
                 if q < done:
                     continue
                 out.append(b"".join(map(changes_of, part[done:q])))
-                base += sum(map(tokens_of, part[done:q]))
+                base += _total(out[-1])
                 after = part[q + 1 : q + 3]
                 if after and self._space(part[q]) and self._space(after[0]):
                     # White space goes to its own piece but for the last one; cut there, it is one run.  The next
                     # code point brings the count to that of whole pieces.
-                    run, actual = self.piece(part[q] + after[0][0])
-                    actual += base
+                    run = self.piece(part[q] + after[0][0])
+                    actual = base + _total(run)
                     last = after[:1] if len(after[0]) > 1 else after
-                    base += tokens_of(part[q])
+                    base += _total(changes_of(part[q]))
                     whole = [base + x for x in accumulate(x for p in last for x in _listed(changes_of(p)))]
-                    base += sum(map(tokens_of, last))
+                    base = whole[-1]
                     told = [actual, *whole[1:]]
                     out += [run, [y - x for x, y in zip(told[:-1], told[1:])]]
                     done = q + 1 + len(last)
                 else:
                     out.append(changes_of(part[q]))
-                    base += tokens_of(part[q])
+                    base += _total(out[-1])
                     done = q + 1
             out.append(b"".join(map(changes_of, part[done:])))
-            base += sum(map(tokens_of, part[done:]))
+            base += _total(out[-1])
         return PrefixTable.made(out, base)
 
 
+def _total(changes: bytes | list[int]) -> int:
+    return int(np.frombuffer(changes, np.int8).sum(dtype=np.int64)) if isinstance(changes, bytes) else sum(changes)
+
+
 def _listed(changes: bytes | list[int]) -> list[int]:
     return np.frombuffer(changes, np.int8).tolist() if isinstance(changes, bytes) else changes
 
