@@ -20,8 +20,11 @@ TokenModel = Callable[[Column], Column]
 
 
 def proxy(text: Column) -> Column:
-    """Tokens of a text under the default model; null has none."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))), F.lit(0)).cast("long")
+    """Tokens of a text under the default model; null has none.
+
+    The pieces leave nothing of a text out, so they are counted by writing one character for each.
+    """
+    return F.coalesce(F.char_length(F.regexp_replace(text, PIECE, "x")), F.lit(0)).cast("long")
 
 
 #: Punctuation is a token of its own, so a list of parts costs what the parts and the marks between them cost.
@@ -60,6 +63,10 @@ def csv_quoted(text: Column) -> Column:
 
 def csv_cost(text: Column, tokens: TokenModel = proxy) -> Column:
     """Tokens of a value as a CSV field."""
+    if getattr(tokens, "additive", False):
+        # Each quote is a token: two around the text, and one more for each within it.
+        quotes = F.char_length(text) - F.char_length(F.replace(text, F.lit('"')))
+        return tokens(text) + F.when(text.rlike('[,"\n\r]'), 2 + quotes).otherwise(0)
     return tokens(csv_quoted(text))
 
 

@@ -24,23 +24,34 @@ BUNDLE_CELLS = 256
 OBJECTS, INDEX = "name string, content string", "doc_id string, cell_id string, name string"
 
 
-def stashed(encoded: DataFrame, tokens: TokenModel = proxy, least: int = LEAST_SAVING) -> DataFrame:
-    """Cells with ``cell_id``, ``handle`` and ``name`` where moving them out saves enough.
+def priced(encoded: DataFrame, tokens: TokenModel = proxy, least: int = LEAST_SAVING) -> DataFrame:
+    """(doc_id, row, col, place, size, whole, name): what each cell costs bare and as a CSV field, and the name of
+    its content if a handle (with an id of full width) saves enough; no texts."""
+    own = encoded.select("doc_id", "row", "col", "place", "cell", tokens(F.col("cell")).alias("size"), csv_cost(F.col("cell"), tokens).alias("whole"))
+    gain = F.col("whole") - csv_cost(handle(F.lit("0001"), F.col("size")), tokens)
+    return own.select("doc_id", "row", "col", "place", "size", "whole", F.when(gain >= least, content_name(F.col("cell"))).alias("name"))
+
+
+def moved_out(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(moved: doc_id, row, col, cell_id, handle, name, size; overfull: doc_id) of priced cells.
 
-    A handle is priced with an id of full width, and the cells that go are then
-    numbered in page order.  A document that would store more cells than there are ids stores none, and its cells
-    have ``overfull``; so no task sorts more cells of a document than there are ids.
+    The cells that go are numbered in page order.  A document that would store more cells than there are ids
+    stores none; so no task sorts more cells of a document than there are ids.
     """
-    size = tokens(F.col("cell"))
-    priced = encoded.withColumn("size", size)
-    gain = csv_cost(F.col("cell"), tokens) - csv_cost(handle(F.lit("0001"), F.col("size")), tokens)
-    gone = priced.filter(gain >= least)
+    gone = cells.filter("name is not null")
     counts = gone.groupBy("doc_id").agg(F.count("*").alias("n_gone")).select(F.col("doc_id").alias("of"), "n_gone")
     page = W.partitionBy("doc_id").orderBy("row", "place")
     fits = gone.join(counts.filter(F.col("n_gone") < MAX_IDS), F.col("doc_id") == F.col("of")).withColumn("cell_id", cell_id(F.row_number().over(page)))
-    named = fits.select("doc_id", "row", "col", "cell_id", handle(F.col("cell_id"), F.col("size")).alias("handle"), content_name(F.col("cell")).alias("name"))
-    full = counts.filter(F.col("n_gone") >= MAX_IDS).select(F.col("of").alias("doc_id"), F.lit(True).alias("overfull"))
-    return encoded.join(named, ["doc_id", "row", "col"], "left").join(full, "doc_id", "left").withColumn("overfull", F.coalesce("overfull", F.lit(False)))
+    moved = fits.select("doc_id", "row", "col", "cell_id", handle(F.col("cell_id"), F.col("size")).alias("handle"), "name", "size")
+    return moved, counts.filter(F.col("n_gone") >= MAX_IDS).select(F.col("of").alias("doc_id"))
+
+
+def stashed(encoded: DataFrame, tokens: TokenModel = proxy, least: int = LEAST_SAVING) -> DataFrame:
+    """Cells with ``cell_id``, ``handle`` and ``name`` where moving them out saves enough, and ``overfull`` in documents
+    that would store more cells than there are ids."""
+    moved, full = moved_out(durable(priced(encoded, tokens, least)))
+    marked = full.withColumn("overfull", F.lit(True))
+    return encoded.join(moved.drop("size"), ["doc_id", "row", "col"], "left").join(marked, "doc_id", "left").withColumn("overfull", F.coalesce("overfull", F.lit(False)))
 
 
 def document_ids(moved: DataFrame, compact: DataFrame) -> DataFrame:

@@ -260,9 +260,9 @@ def header_specs(spark, read):
 # The store
 
 
-def _stashed(read) -> DataFrame:
+def _priced(read) -> DataFrame:
     cells = typed_cells(_blocks(read), "block", "doc_id", ["lang", "text"]).withColumn("type", F.lit("str")).withColumn("place", F.when(F.col("col") == "lang", 0).otherwise(1))
-    return store.stashed(cells.select("doc_id", "row", "col", "place", encode.written().alias("cell")))
+    return durable(store.priced(cells.select("doc_id", "row", "col", "place", encode.written().alias("cell"))))
 
 
 _CELL = r"CASE WHEN v = '' THEN '\E' WHEN starts_with(v, '\') THEN '\' || v ELSE v END"
@@ -277,7 +277,7 @@ s AS (SELECT source AS doc_id, lpad((row_number() OVER (PARTITION BY source ORDE
 
 @query(f"WITH {_STASH} SELECT doc_id, cell_id, name, concat('\\@', cell_id, '[', size, 't]') AS handle FROM s")
 def stash_cells(spark, read):
-    return _stashed(read).filter("cell_id is not null").select("doc_id", "cell_id", "name", "handle")
+    return store.moved_out(_priced(read))[0].select("doc_id", "cell_id", "name", "handle")
 
 
 @query("SELECT substr(sha256(text), 1, 24) AS name, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY text")
@@ -652,7 +652,9 @@ t AS (SELECT source, before, before - coalesce(gain, 0) AS after FROM a LEFT JOI
 SELECT coalesce(source, 'TOTAL') AS source, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after, round(100.0 * (sum(before) - sum(after)) / sum(before), 1) AS percent FROM t GROUP BY ROLLUP (source)
 """)
 def savings_report(spark, read):
-    priced = _stashed(read).select(F.col("doc_id").alias("source"), csv_cost(F.col("cell")).alias("before"), csv_cost(F.coalesce("handle", "cell")).alias("after"))
+    cells = _priced(read)
+    moved = store.moved_out(cells)[0].select("doc_id", "row", "col", csv_cost(F.col("handle")).alias("instead"))
+    priced = cells.join(moved, ["doc_id", "row", "col"], "left").select(F.col("doc_id").alias("source"), F.col("whole").alias("before"), F.coalesce("instead", "whole").alias("after"))
     return measure.totals(priced.groupBy("source").agg(F.sum("before").alias("before"), F.sum("after").alias("after")), "source")
 
 
