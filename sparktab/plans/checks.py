@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import questions, verify
+from ..functions.cells import content_name
+from ..operators import encode, measure, profile, questions, store, verify
 from ..sources.payloads import decoded, extract, from_column, nodes
-from ..sources.tables import durable
+from ..sources.tables import durable, temporary
+from ..sources.typed import typed_cells
 from .compress import compress, decompress
-from .workload import query
+from .workload import _BLOCK, _blocks, _csv, _tok, query
 
 _ARMS = "arms AS (SELECT unnest(['raw', 'back']) AS arm)"
 
@@ -175,3 +177,75 @@ def json_differences(spark, read):
     after = events.withColumn("text", F.to_json(F.struct(k.alias("k"), F.when(F.col("m") == 3, two).otherwise(one).alias("list"), more.alias("more"))))
     found = verify.payload_differences(from_column(before, "event_id", "text"), from_column(after, "event_id", "text"), most=5)
     return found.select("doc_id", "problem", F.array_join("path", ".").alias("path"), "before", "after")
+
+
+# Gates, the store on disk, and what reads back
+
+
+@query(r"""
+SELECT doc_id::VARCHAR AS doc_id, CASE doc_id % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'not_utf8' WHEN 2 THEN 'plain_text' ELSE 'json' END AS state,
+  CASE WHEN doc_id % 4 = 3 THEN concat('{"id":', doc_id, '}') END AS compact FROM documents
+""")
+def payload_states(spark, read):
+    """What bytes turn out to be: nothing, no UTF-8, no JSON, or JSON."""
+    bad, text = F.concat(F.unhex(F.lit("FF")), F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.concat(F.lit("text: "), F.coalesce("text", F.lit(""))).cast("binary")
+    raw = F.when(F.col("doc_id") % 4 == 0, F.lit("").cast("binary")).when(F.col("doc_id") % 4 == 1, bad).when(F.col("doc_id") % 4 == 2, text)
+    made = raw.otherwise(F.concat(F.lit('{ "id" : '), F.col("doc_id").cast("string"), F.lit(" }")).cast("binary"))
+    return extract(read("documents").select(F.col("doc_id").cast("string").alias("doc_id"), made.alias("raw"))).select("doc_id", "state", "compact")
+
+
+@query("""
+SELECT n_nationkey::VARCHAR AS doc_id, CASE n_nationkey % 4 WHEN 0 THEN 'table' WHEN 2 THEN 'json' ELSE 'unchanged' END AS status, n_nationkey % 4 = 0 AS legend,
+  CASE n_nationkey % 4 WHEN 1 THEN concat('{"a":', n_nationkey, '}') WHEN 2 THEN concat('{"a":', n_nationkey, ',"b":"', n_name, '"}') WHEN 3 THEN concat('text of ', n_name) END AS document,
+  CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'no record array found; no improvement; the input is returned as it was' WHEN 2 THEN 'no record array found'
+    ELSE 'plain_text; no improvement; the input is returned as it was' END AS note FROM nation
+""")
+def compress_outcomes(spark, read):
+    """What each kind of payload becomes: records a table with a legend, spaced JSON compact, the rest as it came."""
+    record = lambda i: F.concat(F.lit('{"i":'), i.cast("string"), F.lit(',"name":"'), F.col("n_name"), F.lit('","tags":[1,2,'), (i + 3).cast("string"), F.lit("]}"))
+    rows = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), record), ","), F.lit("]"))
+    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    raw = (
+        F.when(F.col("n_nationkey") % 4 == 0, rows).when(F.col("n_nationkey") % 4 == 1, F.concat(F.lit('{"a":'), key, F.lit("}")))
+        .when(F.col("n_nationkey") % 4 == 2, F.concat(F.lit('{ "a" : '), key, F.lit(' , "b" : "'), name, F.lit('" }'))).otherwise(F.concat(F.lit("text of "), name))
+    )
+    done = compress(read("nation").select(key.alias("doc_id"), raw.cast("binary").alias("raw"))).documents
+    return done.select("doc_id", "status", F.contains("document", F.lit("\n#legend ")).alias("legend"), F.when(F.col("status") != "table", F.col("document")).alias("document"), "note")
+
+
+@query("SELECT source AS doc_id, 'lang' AS col, lang AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT source, 'source', source, count(*) FROM documents GROUP BY source")
+def const_roundtrip(spark, read):
+    """Cells without their constant columns, and with them again."""
+    cells = typed_cells(read("documents"), "source", "doc_id", ["source", "lang"])
+    counts = read("documents").groupBy(F.col("source").alias("doc_id")).agg(F.count("*").alias("n_rows"))
+    consts = profile.constants(profile.columns(cells, counts))
+    rest = encode.without_constants(cells, consts).select("doc_id", "row", "col", "json")
+    back = rest.unionByName(encode.with_constants(cells, consts).select("doc_id", "row", "col", "json"))
+    value = F.when(F.col("json") != "null", F.regexp_replace("json", '^"|"$', ""))
+    return back.groupBy("doc_id", "col", value.alias("value")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH i AS (SELECT source AS doc_id, lpad(doc_id::VARCHAR, 8, '0') AS cell_id, substr(sha256(text), 1, 24) AS name, text FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, cell_id, name, length(text) AS chars FROM i
+""")
+def store_sweep(spark, read):
+    """A store on disk: cells committed, objects without a reader added and swept away, and what can be read after."""
+    own = read("documents").filter("text is not null")
+    cells = own.select(F.col("source").alias("doc_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("cell_id"), content_name(F.col("text")).alias("name"), F.col("text").alias("cell"))
+    held = store.Store(spark, temporary(spark))
+    held.commit(cells, own.select(F.col("source").alias("doc_id"), F.col("source").alias("document_id")).distinct())
+    held._append(read("pages").select(content_name(F.col("html")).alias("name"), F.col("html").alias("content")).dropDuplicates(["name"]), "objects")
+    held.collect(delete=True)
+    extra = store.leaked(held.index, held.objects).select(F.lit("leaked").alias("doc_id"), F.lit(None).cast("string").alias("cell_id"), "name", F.char_length("content").cast("long").alias("chars"))
+    return store.resolve(held.index, held.objects).select("doc_id", "cell_id", "name", F.char_length("content").cast("long").alias("chars")).unionByName(extra)
+
+
+@query(f"""
+WITH g AS (SELECT {_BLOCK} AS doc_id, {_tok(_csv('text'))} AS whole, {_tok(f"'{chr(92)}@0001'")} AS bare FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, count(*) FILTER (WHERE whole - bare >= 20) AS n_stored, sum(whole)::BIGINT AS before, sum(CASE WHEN whole - bare >= 20 THEN bare ELSE whole END)::BIGINT AS after FROM g GROUP BY doc_id
+""")
+def bare_handles(spark, read):
+    """What documents would cost with cells under bare handles."""
+    cells = _blocks(read).filter("text is not null").select(F.col("block").alias("doc_id"), F.col("doc_id").alias("row"), F.lit(0).alias("place"), F.col("text").alias("cell"))
+    return measure.rendered_with_handles(cells, 20)

@@ -44,6 +44,13 @@ def _folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp("-sparktab")
 
 
+def temporary(spark: SparkSession) -> str:
+    """A new folder among the intermediate tables, removed with them."""
+    path = f"{_folder(spark)}/sparktab-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again.
 
