@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import drop, durable  # noqa: F401
 
 #: Text handed to one step of a Python worker, in bytes; bounds what a worker holds at once.
 SLICE_BYTES = 4 << 20
+#: The largest table that is sent to every executor, in bytes.
+BROADCAST_BYTES = 16 << 20
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Unless the session says otherwise: bytes of rows handed to a Python worker at once, and rows that a Parquet file is
 #: read by (columns of long texts are held whole for so many rows).
@@ -63,6 +65,15 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
+def broadcast_if_small(table: DataFrame, size: Column) -> DataFrame:
+    """A written table with a broadcast hint if it is at most ``BROADCAST_BYTES``, by the sum of each row's ``size``.
+
+    A larger one is joined as Spark sees fit, which gives the same rows.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
+
+
 def in_batches(df: DataFrame) -> DataFrame:
     """``df``; batches in its session get closer bounds unless it has some set, since rows can be very long."""
     conf = df.sparkSession.conf

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, drop, durable, slices
+from .common import as_binary, broadcast_if_small, drop, durable, slices
 from .graph import components, lowest_reachable
 from .hashing import grams, joined_words, signed, word_numbers
 
@@ -456,10 +456,10 @@ def links(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, i
         pairs = _tree_pairs(_dealt(buckets, signatures, every=not first), num, den, forest=first)
         pairs = durable(pairs if before is None else pairs.join(before.select("a", "b"), ["a", "b"], "left_anti"))
         able = durable(_checked(pairs, slim.select("set", "n", "data"), lambda n, x, m, y: possible(n, x, m, y, num, den)))
-        wanted = able.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(slim.select("set", "digest", F.col("first").alias("doc_id")), "set")
-        sets = durable(_sets(rows.join(wanted, "doc_id").select("doc_id", "text", "digest", "set"), width))
+        wanted = durable(able.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(slim.select("set", "digest", F.col("first").alias("doc_id")), "set"))
+        sets = durable(_sets(rows.join(broadcast_if_small(wanted, F.lit(64)), "doc_id").select("doc_id", "text", "digest", "set"), width))
         out = durable(_checked(able, sets, lambda n, x, m, y: similar(x, y, num, den)).select("a", "b"))
-        drop(able, sets)
+        drop(able, wanted, sets)
         return out, pairs
 
     signatures = slim.filter("sig is not null").select("set", "n", "sig")

@@ -3,7 +3,7 @@
 From each rule's pattern a Boolean trigram query is derived: every text that matches holds
 all trigrams of one of its clauses.  The index has a posting (document, trigram) for each
 trigram that any query names; postings of a document are intersected clause by clause, and
-only documents that pass are joined back and verified with the rule's pattern.  A rule whose
+only documents that pass are joined back (by broadcast where they are few) and verified with the rule's pattern.  A rule whose
 pattern has no mandatory trigram is matched against every text where it is read.
 
 Trigrams are taken of lower-cased texts, so that a query also holds for letters in either
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import from_deltas
+from .common import broadcast_if_small, durable
 
 
 @dataclass(frozen=True)
@@ -210,7 +211,8 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "d
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     more = [] if keep is None else [keep.alias("kept")]
     rows = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp"), *more)
-    found = candidates(postings(rows, rules), rules).withColumnsRenamed({"doc_id": "hit_id", "fp": "hit_fp"})
+    found = durable(candidates(postings(rows, rules), rules).withColumnsRenamed({"doc_id": "hit_id", "fp": "hit_fp"}))
+    found = broadcast_if_small(found, F.lit(128))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("fp") == F.col("hit_fp")), "left")
     none = F.expr(_NONE)
     every = []
