@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sparktab.llm import bpe, decontaminate, jaccard_join, langid
 from sparktab.llm import secrets as secret_scan
-from sparktab.llm.common import drop, durable, read
+from sparktab.llm.common import broadcast_if_small, drop, durable, read
 from sparktab.llm.queries import vocabulary
 
 #: Documents whose language is less certain than this are rejected.
@@ -44,7 +44,7 @@ def _one_of_each(docs: DataFrame) -> DataFrame:
     members = linked.unionByName(linked.select(F.col("component_id").alias("row_key"), "component_id")).distinct()
     first = members.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key"))["row_key"].alias("row_key"))
     others = durable(members.join(first, "row_key", "left_anti").select("row_key"))
-    kept = keyed.join(others, "row_key", "left_anti")
+    kept = keyed.join(broadcast_if_small(others, F.lit(16)), "row_key", "left_anti")
     # Rows that repeat a text under an id are few, if any; only they are gathered to leave one of each.
     twice = durable(keyed.groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key"))
     if not twice.isEmpty():
