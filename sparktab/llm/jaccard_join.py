@@ -53,12 +53,17 @@ FREQUENT, LEAST_FREQUENT = 1 << 19, 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingles(raw: bytes | None, width: int) -> np.ndarray:
-    """The set of shingles of a text, as sorted 64-bit digests."""
+def every_shingle(raw: bytes | None, width: int) -> np.ndarray:
+    """The shingles of a text in its order, as 64-bit digests."""
     joined, ends = joined_words(raw.translate(_LOWER)) if raw else (b"", np.zeros(0, np.int64))
     if not len(ends):
         return np.zeros(0, np.uint64)
-    return np.unique(grams(word_numbers(joined, ends), min(width, len(ends))) ^ np.uint64(min(width, len(ends))))
+    return grams(word_numbers(joined, ends), min(width, len(ends))) ^ np.uint64(min(width, len(ends)))
+
+
+def shingles(raw: bytes | None, width: int) -> np.ndarray:
+    """The set of shingles of a text, as sorted 64-bit digests."""
+    return np.unique(every_shingle(raw, width))
 
 
 def digest_of(tokens: np.ndarray) -> bytes:
@@ -79,10 +84,9 @@ def prefix_size(n: int, num: int, den: int) -> int:
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """The token bitmap of a set, as 64-bit words; its width, a power of two, goes with the size."""
     width = max(LEAST_BITS, 1 << (BITS * len(tokens) - 1).bit_length())
-    out = np.zeros(width // 64, np.uint64)
-    at = tokens & np.uint64(width - 1)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+    flags = np.zeros(width, np.uint8)
+    flags[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
@@ -112,14 +116,14 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and the magnitude of their counts.
 
-    Every document is counted; a worker passes on what occurs in at least three documents of a slice.
+    Every document is counted; a worker passes on what occurs at least three times in a slice.
     At most total / threshold shingles can pass, which bounds what the driver gets.  The list
     only decides the order of shingles; any list gives the same links.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 32 << 20):
-            found = [shingles(raw, width) for raw in batch.column(1).to_pylist()]
+            found = [every_shingle(raw, width) for raw in batch.column(1).to_pylist()]
             tokens = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
             n = np.diff(np.concatenate([starts, [len(tokens)]]))

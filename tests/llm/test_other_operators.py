@@ -73,6 +73,15 @@ def test_embedding_dedup(spark):
     assert embeddings.near_duplicates(df.limit(0)).isEmpty()
 
 
+def test_long_vectors(spark):
+    """Vectors of thousands of components, and of lengths that are no power of two."""
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(size=3000), rng.normal(size=3000)
+    rows = [(1, a.tolist(), 0), (2, (a + 0.05 * rng.normal(size=3000)).tolist(), 0), (3, b.tolist(), 0), (4, b.tolist()[:2999], 0), (5, (2 * b).tolist(), 0)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (1, 3)}
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 32))
     y = embeddings.hadamard(x)
