@@ -16,22 +16,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers of a base that were needed before, for texts of up to ``KEPT`` bytes or words.
+KEPT = 1 << 20
+_kept: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+    known = _kept.get(base)
+    if known is not None and len(known) >= n:
+        return known[:n]
+    out = np.full(max(n, 1 << 14), base, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
+    out = np.multiply.accumulate(out, dtype=np.uint64)
+    if len(out) <= KEPT:
+        _kept[base] = out
+    return out[:n]
 
 
 def word_numbers(joined: bytes, ends: np.ndarray) -> np.ndarray:
     """A 64-bit number for each word of a text whose words are joined by one space."""
-    raw = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
+    raw = np.frombuffer(joined, np.uint8).astype(np.uint64)
+    raw += np.uint64(1)
+    raw *= _powers(_ODD, len(raw))
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(raw, out=prefix[1:], dtype=np.uint64)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    lengths = ends - starts
-    place = np.arange(len(raw)) - np.repeat(starts, lengths + 1)[: len(raw)]
-    powers = _powers(_ODD, int(lengths.max()) + 1)
-    value = raw * powers[place]
-    value[ends[:-1]] = 0
-    return _mixed(np.add.reduceat(value, starts) + lengths.astype(np.uint64))
+    return _mixed((prefix[ends] - prefix[starts]) * _powers(_INVERSE, len(raw))[starts] + (ends - starts).astype(np.uint64))
 
 
 def grams(numbers: np.ndarray, k: int) -> np.ndarray:
