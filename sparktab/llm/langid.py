@@ -145,7 +145,7 @@ class Model:
 
     def learn(self, words: set[str]) -> None:
         """Score words that the cache does not hold: mean n-gram log probability by language, times
-        the length of the word (up to twelve), less the best of them."""
+        the length of the word, less the best of them."""
         if len(self._place) >= CACHE_WORDS:
             self._place, self._held = {}, self._held[:0]
         new = list(words.difference(self._place))
@@ -154,7 +154,7 @@ class Model:
         scores = np.zeros((len(new), len(self.langs)), np.float32)
         for places, grams in grams_of(new):
             scores[places] = self.table[:, grams].mean(axis=2, dtype=np.float64).T
-        scores *= np.array([min(len(w) + 1, 12) for w in new], np.float32)[:, None]
+        scores *= np.array([len(w) + 1 for w in new], np.float32)[:, None]
         scores += self._shut[scripts_of(new)]
         scores -= scores.max(axis=1, keepdims=True)
         n = len(self._held)
