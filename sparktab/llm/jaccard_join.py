@@ -47,6 +47,8 @@ from .hashing import grams, joined_words, signed, word_numbers
 PART, PART_TOKENS, FAN = 512, 1 << 21, 8
 #: Bits of a token bitmap: at least, for a shingle, and at most in a tree.
 LEAST_BITS, BITS, TREE_BITS = 256, 8, 4096
+#: Pairs that a task remembers to have told.
+TOLD = 1 << 18
 #: Frequent shingles told to the workers: at most so many, with at least so many documents each.
 FREQUENT, LEAST_FREQUENT = 1 << 19, 16
 
@@ -268,8 +270,10 @@ def _buckets(named: DataFrame) -> DataFrame:
     # The key is written anew so that the joins shuffle both sides themselves and adaptive execution can split
     # a hot bucket.
     key = F.bitwise_not("token").alias("key")
-    shared = placed.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select(key)
+    # Written first, so that its shuffle is gone before the next one.
+    shared = durable(placed.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select(key))
     members = durable(placed.select("set", "n", key).join(shared, "key", "left_semi"))
+    drop(shared)
     # Two buckets are the same if their members' digests add up to the same; sums of 32 bits cannot overflow.
     low = F.lit(0xFFFFFFFF)
     sums = [F.sum(F.col("set").bitwiseAND(low)), F.sum(F.shiftrightunsigned("set", 32)), F.sum(F.hash("set").cast("long").bitwiseAND(low))]
@@ -285,19 +289,20 @@ def _buckets(named: DataFrame) -> DataFrame:
 def _dealt(buckets: DataFrame, signatures: DataFrame, every: bool) -> DataFrame:
     """(key, low, high, part, set, n, sig, component): each class in each pair of parts it meets, sorted.
 
-    every: all pairs of parts; else a part meets itself and the next one only.
+    buckets: (key, set, n, parts, about); buckets with the same ``about``, and so the same pairs, meet in one
+    task part by part.  every: all pairs of parts; else a part meets itself and the next one only.
     """
     part = F.pmod(F.xxhash64("set"), F.col("at.parts").cast("long")).cast("int")
     around = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(1), F.lit(-1)), lambda x: F.pmod(F.col("part") + x, F.col("parts"))))
-    listed = buckets.groupBy("set").agg(F.collect_list(F.struct("key", "parts")).alias("places"))
+    listed = buckets.groupBy("set").agg(F.collect_list(F.struct("key", "parts", "about")).alias("places"))
     spread = signatures.join(listed, "set").withColumn("at", F.explode("places"))
-    placed = spread.select("set", "n", "sig", "component", "at.key", "at.parts", part.alias("part"))
+    placed = spread.select("set", "n", "sig", "component", "at.key", "at.parts", "at.about", part.alias("part"))
     others = F.sequence(F.lit(0), F.col("parts") - 1) if every else around
     place = ["key", "low", "high"]
     dealt = placed.withColumn("other", F.explode(others)).select(
-        "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "set", "n", "sig", "component"
+        "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "set", "n", "sig", "component", "about"
     )
-    return dealt.repartition(*place).sortWithinPartitions(*place)
+    return dealt.repartition("about", "low", "high").sortWithinPartitions(*place).drop("about")
 
 
 def likeliest(i: np.ndarray, j: np.ndarray, score: np.ndarray, size: int) -> np.ndarray:
@@ -357,13 +362,13 @@ def folded_rows(bits: list[np.ndarray], words: int) -> np.ndarray:
 
 def _tree_pairs(dealt: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """(a, b, key, low, high): pairs of classes of different components that the signature trees leave over,
-    each with one place where it was found.
+    each with one place where it was found.  A task tells a pair once, as far as it remembers.
 
     Rows come sorted by (key, low, high); a group of rows is at most two parts of a bucket.  forest: only a
     spanning forest of the pairs of a group.
     """
 
-    def found(at: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def found(at: tuple, rows: list[pa.RecordBatch], told: set[tuple[int, int]]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(rows)
         ids, sizes, part, comp = (table.column(c).to_numpy() for c in ("set", "n", "part", "component"))
         if len(ids) < 2 or (comp == comp[0]).all():
@@ -378,15 +383,20 @@ def _tree_pairs(dealt: DataFrame, num: int, den: int, forest: bool) -> DataFrame
         if forest:
             some = likeliest(i, j, score, len(ids))
             i, j = i[some], j[some]
-        if not len(i):
+        pairs = set(zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist())) - told
+        if not pairs:
             return None
-        a, b = ids[i], ids[j]
+        if len(told) > TOLD:
+            told.clear()
+        told |= pairs
+        a, b = zip(*pairs)
         where = [pa.array(np.full(len(a), x)) for x in at]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), where[0], where[1].cast(pa.int32()), where[2].cast(pa.int32())], ["a", "b", "key", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), where[0], where[1].cast(pa.int32()), where[2].cast(pa.int32())], ["a", "b", "key", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
         for at, rows in groups(batches, ("key", "low", "high")):
-            if (out := found(at, rows)) is not None:
+            if (out := found(at, rows, told)) is not None:
                 yield out
 
     pairs = dealt.mapInArrow(run, "a long, b long, key long, low int, high int")
@@ -467,12 +477,12 @@ def links(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, i
         return out, pairs
 
     signatures = slim.filter("sig is not null").select("set", "n", "sig")
-    near, tried = round_(buckets, signatures.withColumn("component", F.col("set")), True, None)
+    near, tried = round_(buckets.withColumn("about", F.col("key")), signatures.withColumn("component", F.col("set")), True, None)
     done = components(near).withColumnRenamed("id", "set")
     # Buckets that still hold several components.
     open_ = buckets.join(done, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.bitwise_not("key").alias("again"))
-    still = durable(buckets.withColumn("again", F.bitwise_not("key")).join(mixed, "again", "left_semi").drop("again"))
+    mixed = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.bitwise_not("key").alias("again"), F.xxhash64("low", "high").alias("about"))
+    still = durable(buckets.withColumn("again", F.bitwise_not("key")).join(mixed, "again").drop("again"))
     known = signatures.join(done, "set", "left").withColumn("component", F.coalesce("component", "set"))
     rest, others = round_(still, known, False, tried)
     out = durable(near.unionByName(rest))
