@@ -9,7 +9,7 @@ their first ones; buckets of the same members count once.
 1. Signature trees find the pairs.  The classes of a bucket are the leaves of a tree; a node holds the
    OR of the token bitmaps below it and their range of sizes.  A dual traversal compares pairs of
    nodes, drops those whose largest possible overlap is too small, and ends at pairs of classes.  Bitmaps
-   have 8 to 16 bits for a shingle, in trees at most ``TREE_BITS``; there is one tree for each width, and
+   have 4 to 8 bits for a shingle, in trees at most ``TREE_BITS``; there is one tree for each width, and
    of two widths the wider bitmaps are folded.
 2. A bucket is cut into parts of at most about ``PART`` classes and ``PART_TOKENS`` shingles, and each pair of
    parts is a task's work of its own, so no bucket is gathered whole.  In a first round a part meets itself and the
@@ -46,7 +46,7 @@ from .hashing import grams, joined_words, signed, word_numbers
 #: Classes in a part of a bucket and their shingles; children of a tree node.
 PART, PART_TOKENS, FAN = 512, 1 << 21, 8
 #: Bits of a token bitmap: at least, for a shingle, and at most in a tree.
-LEAST_BITS, BITS, TREE_BITS = 256, 8, 4096
+LEAST_BITS, BITS, TREE_BITS = 256, 4, 4096
 #: Pairs that a task remembers to have told.
 TOLD = 1 << 18
 #: Frequent shingles told to the workers: at most so many, with at least so many documents each.
