@@ -20,7 +20,8 @@ factors are the duplicate spans.  Factors from different sources may overlap.
 Work and data: texts are read twice for their blocks, first for the seeds alone (8 bytes of key and an id
 for about 18 words), then for the blocks whose seed is shared; only blocks
 whose seed occurs with different contexts hand in windows, and texts are joined twice,
-by document, with the places of those windows and with their factors (by broadcast where these are few, else by a shuffle).  Groups (a seed, a block, a window) are
+by document, with the places of those windows and with their factors.  Either join shuffles the texts of documents that
+have such places or factors (told by a broadcast bitmap of their ids) and no others.  Groups (a seed, a block, a window) are
 only counted and compared by their smallest document, with partial aggregation; a hot one
 is never gathered.  The joins that bring the smallest document back are plain equi-joins whose hot keys
 adaptive execution splits.  Every intermediate table goes as soon as it has been read.
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, broadcast_if_small, drop, durable, slices
+from .common import as_binary, drop, durable, slices, split_by
 from .hashing import grams, joined_words, signed, word_numbers
 
 WINDOW, SEED = 50, 16
@@ -227,8 +228,9 @@ def factors(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     # The document is part of the key, so that a block that many documents repeat is dealt out.
     places = opened.select(at).unionByName(further.join(opened, ["seed", "block", "doc_id"], "left_semi").select(at))
     ends = durable(places.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("seed", "first", "last")).alias("todo")))
-    few = broadcast_if_small(ends, 64 + 16 * F.size("todo"))
-    windows = durable(_windows(rows.join(few, ["doc_id", "fp"]).select("doc_id", "text", "fp", "todo"), window))
+    # Joined by the same plan at every size: only these documents' texts are shuffled.
+    listed, _ = split_by(rows, ends)
+    windows = durable(_windows(listed.join(ends.hint("merge"), ["doc_id", "fp"]).select("doc_id", "text", "fp", "todo"), window))
     earliest = windows.groupBy("seed", "win").agg(F.min(F.struct("doc_id", "at")).alias("holder"), F.max("doc_id").alias("latest")).filter("holder.doc_id < latest")
     partial = (
         windows.select(key, "win", "doc_id", "fp", "at")
@@ -263,8 +265,9 @@ def dedup(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id", te
                 ["doc_id", "n_words", "n_removed", "kept", "factors"],
             )
 
-    few = broadcast_if_small(found, 64 + 24 * F.size("factors"))
-    joined = rows.join(few, ["doc_id", "fp"], "left").select("doc_id", "text", "factors")
+    some, none = split_by(rows, found)
+    joined = some.join(found.hint("merge"), ["doc_id", "fp"], "left").select("doc_id", "text", "factors")
+    joined = joined.unionByName(none.select("doc_id", "text", F.lit(None).cast(_FACTORS_SQL).alias("factors")))
     return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept string, factors {_FACTORS_SQL}")
 
 

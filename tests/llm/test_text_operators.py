@@ -9,10 +9,11 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
-from sparktab.llm import bpe, decontaminate, graph, jaccard_join, langid, licenses, substring_dedup, token_counts
+from sparktab.llm import bpe, common, decontaminate, graph, jaccard_join, langid, licenses, substring_dedup, token_counts
 from sparktab.llm import secrets as scan
 from sparktab.llm.license_texts import LICENSES
 from sparktab.llm.queries import vocabulary
+from sparktab.sources import tables
 
 from . import data
 
@@ -65,6 +66,39 @@ def test_substring_dedup_at_every_place_of_a_first_holder(spark):
         assert by_row(substring_dedup.digests(substring_dedup.dedup(docs, window)), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want)
 
 
+def test_substring_dedup_shuffles_only_texts_with_repeats(spark, monkeypatch):
+    """Where tables are too large to broadcast: the texts of other documents stay where they are, with any filter."""
+    rng = random.Random(9)
+    words = [f"{rng.getrandbits(800):0200x}" for _ in range(300 * 60)]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, len(words), 60)]
+    texts += [f"{texts[7]} end", f"other {texts[7]}"]
+    rows = list(enumerate(texts)) + [(None, texts[7]), (300, "another text"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = [repr([i, len(spaced(t)), 60 if i in (300, 301) and t in texts else 0]) for i, t in rows]
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        path = tables.temporary(spark)
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        before = shuffled()
+        assert by_row(substring_dedup.dedup(docs), "doc_id", "n_words", "n_removed") == sorted(want)
+        assert shuffled() - before < sum(map(len, texts)) / 10
+        # A filter of one bit for each id at most, which lets many others through.
+        monkeypatch.setattr(common, "FILTER_ROW", 8)
+        monkeypatch.setattr(common, "FILTER_BITS", 8)
+        assert by_row(substring_dedup.dedup(docs), "doc_id", "n_words", "n_removed") == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_factors_stand_in_their_sources(spark):
     """Each factor is as long as its window, stands in its source word for word, and cannot be longer there."""
     rng = random.Random(6)
