@@ -16,7 +16,8 @@ their first ones; buckets of the same members count once.
    next part, and of the pairs that are left only a spanning forest of the likeliest goes on, since that is
    enough to connect a group of copies; most buckets then lie within one component.
 3. The second round takes the buckets that still hold several components, every part with every other, and
-   passes on every pair of different components.
+   passes on every pair of different components.  Buckets between the same components meet in one task, which tells a pair
+   once, as far as they hold about ``TOGETHER`` classes; more are dealt to several tasks.
 4. In both rounds pairs go on to the whole bitmaps and then to the sets themselves, each of which moves once for
    a part of a bucket and not for a pair.  Verified links give the components.
 
@@ -47,6 +48,8 @@ from .hashing import grams, joined_words, signed, word_numbers
 PART, PART_TOKENS, FAN = 512, 1 << 21, 8
 #: Bits of a token bitmap: at least, for a shingle, and at most in a tree.
 LEAST_BITS, BITS, TREE_BITS = 256, 4, 4096
+#: Classes of buckets that meet in one task, part by part, about.
+TOGETHER = 8 * PART
 #: Pairs that a task remembers to have told.
 TOLD = 1 << 18
 #: Frequent shingles told to the workers: at most so many, with at least so many documents each.
@@ -286,6 +289,15 @@ def _buckets(named: DataFrame) -> DataFrame:
     return buckets
 
 
+def _spread(mixed: DataFrame) -> DataFrame:
+    """(again, about) of buckets (again, about, size): buckets about the same, of more than ``TOGETHER`` classes in all,
+    are dealt out, so that no task grows with their number."""
+    crowded = mixed.groupBy("about").agg(F.ceil(F.sum("size") / TOGETHER).alias("turns")).filter("turns > 1").select(F.bitwise_not("about").alias("of"), "turns")
+    dealt = mixed.withColumn("of", F.bitwise_not("about")).join(crowded, "of", "left")
+    turn = F.pmod(F.xxhash64("again"), "turns")
+    return dealt.select("again", F.when(F.col("turns").isNull(), F.col("about")).otherwise(F.xxhash64("about", turn)).alias("about"))
+
+
 def _dealt(buckets: DataFrame, signatures: DataFrame, every: bool) -> DataFrame:
     """(key, low, high, part, set, n, sig, component): each class in each pair of parts it meets, sorted.
 
@@ -481,8 +493,10 @@ def links(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, i
     done = components(near).withColumnRenamed("id", "set")
     # Buckets that still hold several components.
     open_ = buckets.join(done, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.bitwise_not("key").alias("again"), F.xxhash64("low", "high").alias("about"))
-    still = durable(buckets.withColumn("again", F.bitwise_not("key")).join(mixed, "again").drop("again"))
+    ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")]
+    mixed = durable(open_.groupBy("key").agg(*ends).filter("low < high").select(F.bitwise_not("key").alias("again"), F.xxhash64("low", "high").alias("about"), "size"))
+    still = durable(buckets.withColumn("again", F.bitwise_not("key")).join(_spread(mixed), "again").drop("again"))
+    drop(mixed)
     known = signatures.join(done, "set", "left").withColumn("component", F.coalesce("component", "set"))
     rest, others = round_(still, known, False, tried)
     out = durable(near.unionByName(rest))

@@ -99,6 +99,32 @@ def test_substring_dedup_shuffles_only_texts_with_repeats(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_jaccard_join_deals_many_buckets_about_the_same_components(spark, monkeypatch):
+    """Two components with many common buckets: no task gets all of these, and the groups are the same."""
+    rng = random.Random(12)
+    base, end = data.words(rng, 200, 10**6).split(), data.words(rng, 60, 10**6).split()
+    texts = []
+    for start in (base, base[:140] + end):
+        for _ in range(7):
+            own = list(start)
+            own[rng.randrange(200)] = f"x{rng.random()}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    crowds, dealt = [], jaccard_join._dealt
+
+    def seen(buckets, signatures, every):
+        if every:
+            crowds.append([r["count"] for r in buckets.groupBy("about").count().collect()])
+        return dealt(buckets, signatures, every)
+
+    monkeypatch.setattr(jaccard_join, "_dealt", seen)
+    for together in (10**6, 32):
+        monkeypatch.setattr(jaccard_join, "TOGETHER", together, raising=False)
+        assert by_row(jaccard_join.join(docs), "doc_id", "component_id") == sorted(repr([i, 0 if i < 7 else 7]) for i in range(14))
+    (whole,), parts = crowds
+    assert whole > 50 and sum(parts) == whole and max(parts) < whole
+
+
 def test_factors_stand_in_their_sources(spark):
     """Each factor is as long as its window, stands in its source word for word, and cannot be longer there."""
     rng = random.Random(6)
